@@ -25,6 +25,8 @@ GRID = 10_000
 ENOUGH = 30
 #: Metric, and the least distances below and above the median (in grid steps; null: no bound) that a document may lie at.
 RULES = (("mean_chars", 110, 160), ("symbols", None, 100), ("dup_lines", None, 500))
+#: A mean over fewer words than this scatters more; its bounds are wider by the square root of the ratio.
+STEADY = 50
 #: The bound is this often the distance between the median and the quartile, if that is more.
 SPREAD = 5
 
@@ -105,7 +107,7 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang_key, source_key, <metric>_lo, <metric>_hi) for every group; keys are as ``group_keys`` makes them."""
+    """(lang_key, source_key, <metric>_mid, _lo, _hi: the median and the distances allowed below and above it) for every group; keys are as ``group_keys`` makes them."""
     sketch = sketch.select(*group_keys(), "metric", "bucket", "n")
     own = quartiles(sketch, ["lang_key", "source_key"])
     by_lang = quartiles(sketch, ["lang_key"]).select("lang_key", "metric", F.struct("total", "q25", "q50", "q75").alias("l"))
@@ -114,14 +116,14 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     q = q.withColumn("q", F.when(F.col("o.total") >= ENOUGH, F.col("o")).when(F.col("l.total") >= ENOUGH, F.col("l")).otherwise(F.col("a")))
 
     def bound(below: int | None, above: int | None) -> list:
-        lo = F.lit(None).cast("int") if below is None else F.expr(f"q.q50 - greatest({below}, {SPREAD} * (q.q50 - q.q25))")
-        hi = F.lit(None).cast("int") if above is None else F.expr(f"q.q50 + greatest({above}, {SPREAD} * (q.q75 - q.q50))")
+        lo = F.lit(None).cast("bigint") if below is None else F.expr(f"greatest({below}, {SPREAD} * (q.q50 - q.q25))")
+        hi = F.lit(None).cast("bigint") if above is None else F.expr(f"greatest({above}, {SPREAD} * (q.q75 - q.q50))")
         return [lo, hi]
 
     out = []
     for metric, below, above in RULES:
         lo, hi = bound(below, above)
-        out += [F.max(F.when(F.col("metric") == metric, lo)).alias(f"{metric}_lo"), F.max(F.when(F.col("metric") == metric, hi)).alias(f"{metric}_hi")]
+        out += [F.max(F.when(F.col("metric") == metric, c)).alias(f"{metric}_{part}") for part, c in (("mid", F.col("q.q50")), ("lo", lo), ("hi", hi))]
     return q.groupBy("lang_key", "source_key").agg(*out)
 
 
@@ -140,8 +142,9 @@ def judge(stats: DataFrame) -> DataFrame:
     fine = F.lit(True)
     for metric, value in per_word.items():
         over = "n_lines" if metric == "dup_lines" else "n_words"
-        v = F.expr(f"try_divide({value}, {over})")
-        fine &= F.coalesce(v >= F.col(f"{metric}_lo"), F.lit(True)) & F.coalesce(v < F.col(f"{metric}_hi") + 1, F.lit(True))
+        v = F.expr(f"try_divide({value}, {over})") - F.col(f"{metric}_mid")
+        wider = F.sqrt(F.greatest(F.lit(1.0), F.lit(STEADY) / F.greatest(F.col("n_words"), F.lit(1)))) if metric == "mean_chars" else F.lit(1.0)
+        fine &= F.coalesce(v >= -F.col(f"{metric}_lo") * wider, F.lit(True)) & F.coalesce(v < F.col(f"{metric}_hi") * wider + 1, F.lit(True))
     return s.withColumns({"base_failed": base, "kept": ~base & fine})
 
 
