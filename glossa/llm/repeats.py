@@ -10,8 +10,8 @@ bytes are repeats. So suffix arrays are built over just the text that may hold
 repeats, in many tasks, each over a bounded buffer.
 
 A hash with very many different runs (a common passage in unlike surroundings)
-would be one large buffer. It is dealt once more by the hash of all ``length``
-bytes, so that no task holds it whole, and its buffers then hold equal strings.
+would be one large buffer. It is dealt once more by hashes of all ``length`` bytes
+(128 bits, counted before they are joined), so that no task holds it whole.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from glossa.llm.suffixes import suffix_array
 
 LENGTH = 200
 K = 72
-#: Size of a buffer that is sorted at once; different runs of a hash beyond which it is dealt anew.
-BUFFER, CROWD = 1 << 18, 512
+#: Size of a buffer that is sorted at once (small enough for a processor cache); different runs of a hash beyond which it is dealt anew.
+BUFFER, CROWD = 1 << 14, 512
 
 
 def string_hashes(data: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -152,17 +152,18 @@ def sorted_groups(length: int):
 
 
 def single_starts(length: int):
-    """Every start of a run as a row of its own: (m, did, th, start, bytes), m from all ``length`` bytes."""
+    """The starts of a run by what they hold: (m, x, did, th, starts), m and x hashes of ``length`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 did, th, start, raw = (batch.column(c)[i].as_py() for c in (2, 3, 4, 6))
-                m = string_hashes(np.frombuffer(raw, np.uint8), length, 11)
-                yield pa.RecordBatch.from_arrays(
-                    [scan.signed(m), pa.array([did] * len(m)), pa.array([th] * len(m), pa.int32()), pa.array(np.arange(start, start + len(m))), pa.array([raw[j : j + length] for j in range(len(m))], pa.binary())],
-                    ["m", "did", "th", "start", "bytes"],
-                )
+                h = string_hashes(np.frombuffer(raw, np.uint8), length, 11)
+                m, first, n = np.unique(h, return_index=True, return_counts=True)
+                places = np.argsort(h, kind="stable") + start
+                cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                x = np.array([xxhash.xxh3_64_intdigest(raw[j : j + length]) for j in first.tolist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([scan.signed(m), scan.signed(x), pa.array([did] * len(m)), pa.array([th] * len(m), pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(places))], ["m", "x", "did", "th", "starts"])
 
     return run
 
@@ -208,11 +209,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     unlike = keep(once.select("did", "th", "text", "wanted").mapInArrow(contents(length), "m long, seg long, did long, th int, start long, n int, bytes binary"), "unlike-runs")
     crowd = unlike.groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("m")
     few = unlike.join(crowd, "m", "left_anti").select("m", "did", "th", "start", "bytes")
-    many = unlike.join(crowd, "m", "left_semi").mapInArrow(single_starts(length), "m long, did long, th int, start long, bytes binary")
-    # equal strings need no more than two in a buffer to be found; the others get their verdict from the first two
-    ranked = many.select("m", "did", "th", "start", F.xxhash64("bytes").alias("x"), "bytes")
-    pair = ranked.groupBy("m", "x").agg(F.count("*").alias("c")).where("c > 1")
-    again = ranked.join(pair, ["m", "x"]).select("did", "th", "start", F.lit(1).cast("int").alias("n"))
+    many = unlike.join(crowd, "m", "left_semi").mapInArrow(single_starts(length), "m long, x long, did long, th int, starts array<long>")
+    again = many.groupBy("m", "x").agg(F.sum(F.size("starts")).alias("c")).where("c > 1").select("m", "x")
+    again = many.join(again, ["m", "x"]).select("did", "th", F.explode("starts").alias("start"), F.lit(1).alias("n"))
     sort = few.repartition("m").sortWithinPartitions("m").mapInArrow(sorted_groups(length), "did long, th int, start long, n int")
     found = whole.unionByName(sort).unionByName(again)
     spans = keep(found.select("did", "th", "start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("end")), "spans")

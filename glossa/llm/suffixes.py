@@ -37,9 +37,24 @@ def suffix_array(data: bytes | np.ndarray) -> list[int]:
     end = n - 1
     while end > 0:
         start = start_of[place[end]]
-        members = place[start : end + 1] if start < end else (place[end],)
-        if start < end:
-            members = sorted(members)
+        if start == end:  # most groups: one suffix, which moves one other
+            s = place[end]
+            p = s - 1
+            while p >= 0 and start_of[p] >= start:
+                p = before[p]
+            before[s] = p
+            if p >= 0 and size[g := start_of[p]] > 1:
+                size[g] = last = size[g] - 1
+                last += g
+                q, here = place[last], pos[p]
+                place[here] = q
+                pos[q] = here
+                place[last] = p
+                pos[p] = start_of[p] = last
+                size[last] = 1
+            end -= 1
+            continue
+        members = sorted(place[start : end + 1])
         found: dict[int, int] = {}
         for s in members:
             p = s - 1
