@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import scan
@@ -88,6 +88,26 @@ def close_sketches(least: float):
     return run
 
 
+BITS = ("b0", "b1", "b2", "b3")
+
+
+def with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds one bit of each of the first 256 coordinates, as four longs."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, :256] & 1
+        x = np.pad(x, ((0, 0), (0, 256 - x.shape[1])))
+        words = np.packbits(x, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(words[:, j].copy()) for j in range(4))], [*batch.schema.names, *BITS])
+
+
+def max_unequal(percent: int, coordinates: int) -> int:
+    """Unequal bits that a pair of the least linked similarity exceeds with a chance below 1e-8 (six standard deviations)."""
+    n, p = min(256, coordinates), (1 - percent / 100) / 2
+    return int(n * p + 6 * (n * p * (1 - p)) ** 0.5)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows: int = 6, n_bands: int = 42) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, th, n_shingles, component_id, kept.
 
@@ -114,25 +134,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
     ).where("lo <> hi")
     shared = keep(buckets.join(tops, "bucket").select("bucket", "node", F.array("lo", "c1", "c2").alias("centres")), "buckets")
     names = shared.select("node.did", "node.th").distinct()
-    brief = keep(own.join(names, ["did", "th"], "left_semi").select("did", "th", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["did", "th"]), "brief")
+    brief = own.join(names, ["did", "th"], "left_semi").select("did", "th", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["did", "th"])
+    brief = keep(brief.mapInArrow(with_bits, "did long, th int, n long, sketch binary, " + ", ".join(f"{b} long" for b in BITS)), "brief")
+    sized = brief.drop("sketch")
+    apart = max_unequal(percent, rows * n_bands)
+
+    def near(x: str, y: str) -> Column:
+        """Sizes and bit sketches allow a link."""
+        unequal = sum((F.bit_count(F.col(f"{b}_{x}").bitwiseXOR(F.col(f"{b}_{y}"))) for b in BITS), F.lit(0))
+        return F.expr(f"100 * least(n_{x}, n_{y}) >= {percent} * greatest(n_{x}, n_{y})") & (unequal <= apart)
+
+    def sized_side(s: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_{s}") for c in sized.columns[2:]]
     sets = keep(d.join(names, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).mapInArrow(full_sets(k), "did long, th int, items array<long>"), "sets")
 
     def pairs_of(x: DataFrame) -> DataFrame:
-        p = x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        return p.select(F.col("a.did").alias("a"), F.col("a.th").alias("at"), F.col("b.did").alias("b"), F.col("b.th").alias("bt"))
+        return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.col("a.did").alias("a"), F.col("a.th").alias("at"), F.col("b.did").alias("b"), F.col("b.th").alias("bt"))
 
     def side(table: DataFrame, s: str) -> DataFrame:
         return table.select(F.col("did").alias(s), F.col("th").alias(f"{s}t"), *(F.col(c).alias(f"{c}_{s}") for c in table.columns[2:]))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(side(brief, "a"), ["a", "at"]).join(side(brief, "b"), ["b", "bt"])
-        sized = sized.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+        sketch = brief.select("did", "th", "sketch")
+        sized = pairs.join(side(sketch, "a"), ["a", "at"]).join(side(sketch, "b"), ["b", "bt"])
         likely = sized.select("a", "at", "b", "bt", "sketch_a", "sketch_b").mapInArrow(close_sketches(percent / 100 - 0.15), "a long, at int, b long, bt int")
         both = likely.join(side(sets, "a"), ["a", "at"]).join(side(sets, "b"), ["b", "bt"])
         common = both.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("common"), (F.size("items_a") + F.size("items_b")).alias("total"))
         return common.where(f"100 * common >= {percent} * (total - common)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    tried = keep(pairs_of(shared.select(F.explode("centres").alias("a"), F.col("node").alias("b"))), "pairs")
+    central = shared.select(F.explode("centres").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    of_a = sized.select(F.col("did"), F.col("th"), *sized_side("a"))
+    of_b = sized.select(F.col("did"), F.col("th"), *sized_side("b"))
+    central = central.select(F.col("a.did").alias("did"), F.col("a.th").alias("th"), "a", "b").join(of_a, ["did", "th"]).drop("did", "th")
+    central = central.select(F.col("b.did").alias("did"), F.col("b.th").alias("th"), "*").join(of_b, ["did", "th"]).where(near("a", "b"))
+    tried = keep(pairs_of(central.select("a", "b")), "pairs")
     found = keep(linked(tried), "links")
     label = keep(components(found), "labels")
     named = (
@@ -142,9 +177,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
     )
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     most = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    split = keep(named.join(most, "bucket").select("bucket", "member", "label", "most"), "split")
-    rest = split.where("label <> most").select("bucket", F.col("member").alias("a"), F.col("label").alias("la"))
-    more = rest.join(split.select("bucket", F.col("member").alias("b"), F.col("label").alias("lb")), "bucket").where("la <> lb")
+    split = named.join(most, "bucket").select("bucket", "member", "label", "most", F.col("member.did").alias("did"), F.col("member.th").alias("th"))
+    split = keep(split.join(sized, ["did", "th"]).drop("did", "th"), "split")
+    rest = split.where("label <> most").select("bucket", F.col("member").alias("a"), F.col("label").alias("la"), *sized_side("a"))
+    more = rest.join(split.select("bucket", F.col("member").alias("b"), F.col("label").alias("lb"), *sized_side("b")), "bucket").where((F.col("la") != F.col("lb")) & near("a", "b"))
     found2 = linked(pairs_of(more.select("a", "b")).join(tried, ["a", "at", "b", "bt"], "left_anti"))
     label2 = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found2))
     of_class = keep(
