@@ -7,8 +7,9 @@ on. Its sketch is cut into bands, whose hashes are buckets.
 
 Links are confirmed on full sets. No bucket is turned into all its pairs: three
 centres of each bucket are compared with its members; afterwards only pairs of
-one bucket that still lie in different components are compared. So every pair
-that shares a bucket ends in one component or has been refused by an exact
+one bucket that still lie in different components are compared, in cells of at
+most some hundred members, which give out nothing but links. So every pair that
+shares a bucket ends in one component or has been refused by an exact
 comparison or by a sketch more than 5 standard deviations too far off.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import scan
@@ -88,24 +89,51 @@ def close_sketches(least: float):
     return run
 
 
-BITS = ("b0", "b1", "b2", "b3")
+#: Members of a bucket on each side of a cell.
+BLOCK = 128
+
+
+def cell_links(percent: int):
+    """Reads cells (sorted by cell, bucket): compares left rows with right ones of other labels; gives linked pairs of dids."""
+
+    def compare(rows: list[dict]) -> Iterator[tuple[int, int]]:
+        left, right = [r for r in rows if r["left"]], [r for r in rows if not r["left"]]
+        if not left or not right:
+            return
+        sketch = np.frombuffer(b"".join(r["sketch"] for r in right), np.uint8).reshape(len(right), -1)
+        marks = np.array([r["bands"] for r in right])
+        labels, sizes = np.array([r["label"] for r in right]), np.array([len(r["items"]) for r in right])
+        for x in left:
+            n = len(x["items"])
+            same = marks == np.array(x["bands"])
+            # a pair is compared in the first bucket that it shares
+            first = np.array(x["bands"])[same.argmax(axis=1)] == x["bucket"]
+            close = (sketch == np.frombuffer(x["sketch"], np.uint8)).mean(axis=1) >= percent / 100 - 0.15
+            fits = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (labels != x["label"]) & first & close
+            for i in np.flatnonzero(fits).tolist():
+                common = len(np.intersect1d(x["items"], right[i]["items"], assume_unique=True))
+                if 100 * common >= percent * (n + sizes[i] - common):
+                    yield x["did"], right[i]["did"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
 
-def with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds one bit of each of the first 256 coordinates, as four longs."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, :256] & 1
-        x = np.pad(x, ((0, 0), (0, 256 - x.shape[1])))
-        words = np.packbits(x, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(words[:, j].copy()) for j in range(4))], [*batch.schema.names, *BITS])
+        def done() -> pa.RecordBatch:
+            links = list(compare(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
 
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(c)[i].as_py() for c, name in enumerate(("cell", "left", "label", "bucket", "did", "th", "sketch"))}
+                if held and (held[-1]["cell"], held[-1]["bucket"]) != (row["cell"], row["bucket"]):
+                    yield done()
+                row["bands"], row["items"] = (np.asarray(batch.column(c)[i].values) for c in (7, 8))
+                held.append(row)
+        if held:
+            yield done()
 
-def max_unequal(percent: int, coordinates: int) -> int:
-    """Unequal bits that a pair of the least linked similarity exceeds with a chance below 1e-8 (six standard deviations)."""
-    n, p = min(256, coordinates), (1 - percent / 100) / 2
-    return int(n * p + 6 * (n * p * (1 - p)) ** 0.5)
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows: int = 6, n_bands: int = 42) -> DataFrame:
@@ -135,17 +163,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
     shared = keep(buckets.join(tops, "bucket").select("bucket", "node", F.array("lo", "c1", "c2").alias("centres")), "buckets")
     names = shared.select("node.did", "node.th").distinct()
     brief = own.join(names, ["did", "th"], "left_semi").select("did", "th", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["did", "th"])
-    brief = keep(brief.mapInArrow(with_bits, "did long, th int, n long, sketch binary, " + ", ".join(f"{b} long" for b in BITS)), "brief")
-    sized = brief.drop("sketch")
-    apart = max_unequal(percent, rows * n_bands)
-
-    def near(x: str, y: str) -> Column:
-        """Sizes and bit sketches allow a link."""
-        unequal = sum((F.bit_count(F.col(f"{b}_{x}").bitwiseXOR(F.col(f"{b}_{y}"))) for b in BITS), F.lit(0))
-        return F.expr(f"100 * least(n_{x}, n_{y}) >= {percent} * greatest(n_{x}, n_{y})") & (unequal <= apart)
-
-    def sized_side(s: str) -> list[Column]:
-        return [F.col(c).alias(f"{c}_{s}") for c in sized.columns[2:]]
+    brief = keep(brief, "brief")
     sets = keep(d.join(names, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).mapInArrow(full_sets(k), "did long, th int, items array<long>"), "sets")
 
     def pairs_of(x: DataFrame) -> DataFrame:
@@ -155,20 +173,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
         return table.select(F.col("did").alias(s), F.col("th").alias(f"{s}t"), *(F.col(c).alias(f"{c}_{s}") for c in table.columns[2:]))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        sketch = brief.select("did", "th", "sketch")
-        sized = pairs.join(side(sketch, "a"), ["a", "at"]).join(side(sketch, "b"), ["b", "bt"])
+        sized = pairs.join(side(brief, "a"), ["a", "at"]).join(side(brief, "b"), ["b", "bt"])
+        sized = sized.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
         likely = sized.select("a", "at", "b", "bt", "sketch_a", "sketch_b").mapInArrow(close_sketches(percent / 100 - 0.15), "a long, at int, b long, bt int")
         both = likely.join(side(sets, "a"), ["a", "at"]).join(side(sets, "b"), ["b", "bt"])
         common = both.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("common"), (F.size("items_a") + F.size("items_b")).alias("total"))
         return common.where(f"100 * common >= {percent} * (total - common)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    central = shared.select(F.explode("centres").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    of_a = sized.select(F.col("did"), F.col("th"), *sized_side("a"))
-    of_b = sized.select(F.col("did"), F.col("th"), *sized_side("b"))
-    central = central.select(F.col("a.did").alias("did"), F.col("a.th").alias("th"), "a", "b").join(of_a, ["did", "th"]).drop("did", "th")
-    central = central.select(F.col("b.did").alias("did"), F.col("b.th").alias("th"), "*").join(of_b, ["did", "th"]).where(near("a", "b"))
-    tried = keep(pairs_of(central.select("a", "b")), "pairs")
-    found = keep(linked(tried), "links")
+    found = keep(linked(pairs_of(shared.select(F.explode("centres").alias("a"), F.col("node").alias("b")).where("a <> b"))), "links")
     label = keep(components(found), "labels")
     named = (
         shared.select("bucket", F.col("node").alias("member"), F.col("node.did").alias("node")).distinct()
@@ -176,17 +188,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
         .select("bucket", "member", F.coalesce("label", "node").alias("label"))
     )
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    most = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    split = named.join(most, "bucket").select("bucket", "member", "label", "most", F.col("member.did").alias("did"), F.col("member.th").alias("th"))
-    split = keep(split.join(sized, ["did", "th"]).drop("did", "th"), "split")
-    rest = split.where("label <> most").select("bucket", F.col("member").alias("a"), F.col("label").alias("la"), *sized_side("a"))
-    more = rest.join(split.select("bucket", F.col("member").alias("b"), F.col("label").alias("lb"), *sized_side("b")), "bucket").where((F.col("la") != F.col("lb")) & near("a", "b"))
-    found2 = linked(pairs_of(more.select("a", "b")).join(tried, ["a", "at", "b", "bt"], "left_anti"))
+    most = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("all"), F.max("n").alias("top")).where("labels > 1")
+    split = named.join(most, "bucket").withColumn("odd", F.col("label") != F.col("most"))
+    wide, high = (F.ceil(c / F.lit(BLOCK)).cast("int") for c in (F.col("all"), F.col("all") - F.col("top")))
+    block = F.xxhash64("member")
+    sides = F.array(F.struct(F.lit(False).alias("left"), F.pmod(block, wide).alias("own"), high.alias("others")))
+    odd_sides = F.array_append(sides, F.struct(F.lit(True).alias("left"), F.pmod(block, high).alias("own"), wide.alias("others")))
+    cells = split.select("bucket", "member", "label", F.explode(F.when(F.col("odd"), odd_sides).otherwise(sides)).alias("s"))
+    cells = cells.select("bucket", "member", "label", "s", F.explode(F.sequence(F.lit(0), F.col("s.others") - 1)).alias("other"))
+    row, column = (F.when(F.col("s.left") == left, F.col("s.own")).otherwise(F.col("other")) for left in (True, False))
+    cells = cells.select(F.xxhash64("bucket", row, column).alias("cell"), F.col("s.left").alias("left"), "label", "bucket", F.col("member.did").alias("did"), F.col("member.th").alias("th"))
+    full = brief.select("did", "th", "sketch").join(sets, ["did", "th"]).join(own.select("did", "th", "bands").dropDuplicates(["did", "th"]), ["did", "th"])
+    cells = cells.join(full, ["did", "th"]).select("cell", "left", "label", "bucket", "did", "th", "sketch", "bands", "items")
+    found2 = cells.repartition("cell").sortWithinPartitions("cell", "bucket", "left").mapInArrow(cell_links(percent), "u long, v long")
     label2 = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found2))
     of_class = keep(
         classes.select("d1", "d2", F.col("rep.did").alias("node"), F.col("rep.th").alias("rep_th")).join(label2, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), F.col("node"), "rep_th"), "classes"
     )
-    discard(tried, found, label, shared, brief, sets, split)
+    discard(found, label, shared, brief, sets)
     out = sig.select("did", "th", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     component = F.coalesce("label", "did")
     return out.select(
