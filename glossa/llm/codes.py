@@ -15,6 +15,7 @@ for each level uint64 n, n chunk bytes, ceil(n / 64) x uint64 bits,
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,7 +32,8 @@ from glossa.llm.store import NO_ID, keep, keyed
 MAGIC = b"DAC1"
 SEGMENT = 1 << 18
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 1 << 20
+REMEMBER = 1 << 19
+_coders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def encode(ids: np.ndarray, doc_ids: np.ndarray, firsts: np.ndarray) -> bytes:
@@ -105,11 +107,11 @@ class WordEncoder:
     """Encodes texts with a tokenizer of which no token spans white space, so each distinct word is encoded once and remembered."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
         self.known: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
         self.clear()
 
     def clear(self) -> None:
@@ -120,8 +122,8 @@ class WordEncoder:
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
             for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 ids, k = e.ids, len(self.known)
                 if k >= len(self.lengths):
@@ -154,11 +156,18 @@ class WordEncoder:
         return out, sizes
 
 
+def coder_of(path: str, end_id: int) -> WordEncoder:
+    """One encoder for each worker process, so that its tasks share what it remembers."""
+    if (path, end_id) not in _coders:
+        _coders[path, end_id] = WordEncoder(path, end_id)
+    return _coders[path, end_id]
+
+
 def segments(path: Callable[[], str], end_id: int):
     """(did, th, text), sorted, to (part, seq, n_docs, n_ids, segment)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq = WordEncoder(path(), end_id), TaskContext.get().partitionId(), 0
+        coder, part, seq = coder_of(path(), end_id), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -188,7 +197,7 @@ def write_codes(docs: DataFrame, path: Callable[[], str], end_id: int = 1) -> Da
     the tokenizer file's place on the machine that runs a task.
     """
     ordered = keyed(docs).repartitionByRange("did", "th").sortWithinPartitions("did", "th")
-    return keep(ordered.mapInArrow(segments(path, end_id), "part long, seq long, n_docs long, n_ids long, segment binary"), "codes")
+    return keep(ordered.mapInArrow(segments(path, end_id), "part long, seq long, n_docs long, n_ids long, segment binary"), "codes", row_group=16 << 20)
 
 
 def read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
