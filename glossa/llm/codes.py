@@ -16,6 +16,7 @@ for each level uint64 n, n chunk bytes, ceil(n / 64) x uint64 bits,
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,7 +33,9 @@ from glossa.llm.store import NO_ID, keep, keyed
 MAGIC = b"DAC1"
 SEGMENT = 1 << 18
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 1 << 19
+REMEMBER = 3 << 19
+#: What keeps a word from standing in a text with others: letters that normalisation may move, special tokens.
+OTHER = re.compile(r"[^\x00-\xff]|<\|")
 _coders: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -116,25 +119,39 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.known.clear()
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.begins = np.zeros(1 << 16, np.int64)
+        self.lengths = np.zeros(1 << 16, np.int32)
+        self.begins = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.known)
-                if k >= len(self.lengths):
-                    self.lengths = np.append(self.lengths, np.zeros(k, np.int64))
-                    self.begins = np.append(self.begins, np.zeros(k, np.int64))
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.begins[k], self.lengths[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[word] = k
+        """Latin-1 words stand in one text with a blank between them, and offsets tell whose an id is; others are encoded each."""
+        plain, others = [], []
+        for raw in words:
+            word = raw.decode()
+            (plain if OTHER.search(word) is None else others).append((raw, word))
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            e = self.tokenizer.encode(" ".join(w for _, w in some), add_special_tokens=False)
+            lengths = np.array([len(w) + 1 for _, w in some])
+            own = np.searchsorted(np.cumsum(lengths), np.array([o[0] for o in e.offsets], np.int64), "right")
+            self.store([r for r, _ in some], np.array(e.ids, np.uint32), np.bincount(own, minlength=len(some)))
+        for raw, word in others:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            self.store([raw], np.array(ids, np.uint32), np.array([len(ids)]))
+
+    def store(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        k, m = len(self.known), len(words)
+        if k + m > len(self.lengths):
+            self.lengths = np.append(self.lengths, np.zeros(k + m, np.int32))
+            self.begins = np.append(self.begins, np.zeros(k + m, np.int32))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(len(self.pool) + len(ids), np.uint32))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.lengths[k : k + m] = n
+        self.begins[k : k + m] = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        self.known.update(zip(words, range(k, k + m), strict=True))
 
     def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each."""
@@ -146,7 +163,7 @@ class WordEncoder:
         names = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         self.learn([w for w in names if w not in self.known])
         code = np.fromiter((self.known[w] for w in names), np.int64, len(names))[which]
-        n = self.lengths[code]
+        n = self.lengths[code].astype(np.int64)
         m = len(offs) - 1
         sizes = np.bincount(own, weights=n, minlength=m).astype(np.int64) + 1
         total = int(n.sum())
