@@ -16,6 +16,11 @@ PUNCT_CLASS = r"!-/:-@\[-`{-~"
 NOT_APOSTROPHE = r"!-&(-/:-@\[-`{-~"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     """Outer white space of any kind removed."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -44,17 +49,18 @@ def split_punctuation(c: Column, abbreviations: tuple[str, ...] = ()) -> Column:
     # abbreviations are kept whole by matching them first; what follows one directly gets no space either
     pieces = F.regexp_extract_all(c, F.lit(f"(?s)({held}|[{PUNCT_CLASS}]+|[^{PUNCT_CLASS}])"), F.lit(1))
 
-    def piece(x: Column, i: Column) -> Column:
-        punct = x.rlike(f"^[{PUNCT_CLASS}]+$") & ~x.rlike(f"^{held}$")
-        prev = F.when(i > 0, F.get(pieces, i - 1))
-        free = ~F.coalesce(prev.rlike(f"^{held}$"), F.lit(False))
-        last = i == F.size(pieces) - 1
-        next_held = F.coalesce(F.get(pieces, i + 1).rlike(f"^{held}$"), F.lit(False))
-        head = F.when(punct & free & ~x.startswith("'"), F.lit(" ")).otherwise(F.lit(""))
-        tail = F.when(punct & ~last & ~next_held & ~x.endswith("'"), F.lit(" ")).otherwise(F.lit(""))
-        return F.concat(head, x, tail)
-
-    return F.array_join(F.transform(pieces, piece), "")
+    def spaced(ps: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            punct = x.rlike(f"^[{PUNCT_CLASS}]+$") & ~x.rlike(f"^{held}$")
+            free = ~F.coalesce(F.get(ps, i - 1).rlike(f"^{held}$"), F.lit(False))
+            next_held = F.coalesce(F.get(ps, i + 1).rlike(f"^{held}$"), F.lit(False))
+            head = F.when(punct & free & ~x.startswith("'"), F.lit(" ")).otherwise(F.lit(""))
+            tail = F.when(punct & (i < F.size(ps) - 1) & ~next_held & ~x.endswith("'"), F.lit(" ")).otherwise(F.lit(""))
+            return F.concat(head, x, tail)
+
+        return F.array_join(F.transform(ps, piece), "")
+
+    return once(pieces, spaced)
 
 
 def split_french_contractions(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.guards import ratio_or_nan
-from glossa.functions.text import ngrams
+from glossa.functions.text import ngrams, once
 
 
 def ngram_precision(candidate: Column, references: list[Column], n: int) -> Column:
@@ -19,7 +19,7 @@ def ngram_precision(candidate: Column, references: list[Column], n: int) -> Colu
     for r in references[1:]:
         known = F.array_union(known, ngrams(r, n))
     own = ngrams(candidate, n)
-    hits = F.size(F.filter(own, lambda g: F.array_contains(known, g)))
+    hits = once(known, lambda k: F.size(F.filter(own, lambda g: F.array_contains(k, g))))
     return F.when(F.size(own) > 0, hits / F.size(own))
 
 
@@ -33,13 +33,9 @@ def brevity_penalty(candidate: Column, references: list[Column]) -> Column:
 
 def bleu(candidate: Column, references: list[Column], n: int) -> Column:
     """Brevity penalty times the geometric mean of the precisions of orders 1 to n; a zero precision gives 0."""
-    p = [ngram_precision(candidate, references, k) for k in range(1, n + 1)]
-    any_null = p[0].isNull()
-    any_zero = p[0] == 0
-    for x in p[1:]:
-        any_null, any_zero = any_null | x.isNull(), any_zero | (x == 0)
-    logs = sum((F.log(x) for x in p[1:]), F.log(p[0]))
-    return F.when(any_null, None).when(any_zero, 0.0).otherwise(brevity_penalty(candidate, references) * F.exp(logs / n))
+    ps = F.array(*(ngram_precision(candidate, references, k) for k in range(1, n + 1)))
+    mean = once(ps, lambda p: F.when(F.exists(p, lambda x: x.isNull()), None).when(F.exists(p, lambda x: x == 0), 0.0).otherwise(F.exp(F.aggregate(p, F.lit(0.0), lambda s, x: s + F.log(x)) / n)))
+    return brevity_penalty(candidate, references) * mean
 
 
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:

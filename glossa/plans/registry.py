@@ -1,19 +1,381 @@
-"""All queries of the library with their SQL counterparts."""
+"""All queries of the library over the driver's tables; each reads its whole tables and texts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glossa.functions import comments, text
+from glossa.operators import alignment, evaluation, features, language_model, mixtures, statistics
+from glossa.plans import sql
+
+DELTAS = (0.0, 1e-4, 1e-3, 1e-2, 0.1, 1.0)
+LANGS = ("en", "fr")
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    REGISTRY[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, lang, line_no, toks): each line of an English or French document as a normalised sentence."""
+    docs = table(spark, d, "documents").where(F.col("lang").isin(*LANGS)).select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    norm = F.when(F.col("lang") == "fr", text.normalise_sentence(F.col("line"), "f")).otherwise(text.normalise_sentence(F.col("line"), "e"))
+    return docs.select("doc_id", "lang", "line_no", text.tokens(norm).alias("toks"))
+
+
+def turn_pairs(spark: SparkSession, d: str, step: int = 1) -> DataFrame:
+    """(conv_id, turn, a, b, c): a turn and the next two of its conversation (c may be null), as transcript tokens."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", text.normalise_transcript(F.col("text")).alias("a"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t.select("conv_id", "turn", "a", F.lead("a", 1).over(w).alias("b"), F.lead("a", 2).over(w).alias("c")).where("b is not null")
+
+
+def bitext(spark: SparkSession, d: str) -> DataFrame:
+    """(pid, e_toks, f_toks) from turns 0-1, 2-3, ... of a conversation."""
+    return turn_pairs(spark, d).where("turn % 2 = 0").select(F.concat_ws(":", "conv_id", "turn").alias("pid"), F.col("a").alias("e_toks"), F.col("b").alias("f_toks"))
+
+
+# Text
+
+
+@query
+def text_newline_strip(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.remove_newlines(F.col("text"))).alias("body_md5"))
+
+
+@query
+def text_url_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(text.remove_urls(F.col("html"))).alias("body_md5"))
+
+
+@query
+def text_punct_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.split_punctuation(F.col("text"))).alias("body_md5"))
+
+
+@query
+def text_entity_ascii(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(comments.decode_entities("html")).alias("body_md5"))
+
+
+@query
+def text_clitic_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(comments.split_clitics("text")).alias("body_md5"))
+
+
+@query
+def preprocess_comments(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("source").alias("cat"), comments.preprocess(F.col("text"), stopwords=("the", "of", "and"), abbreviations=("e.g.", "etc.")).alias("body"))
+
+
+@query
+def sent_normalise(spark, d):
+    return lines(spark, d).select("doc_id", "line_no", F.array_join("toks", " ").alias("sentence"))
+
+
+@query
+def transcript_normalise(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.normalise_transcript(F.col("text")), " ").alias("words"))
+
+
+@query
+def ngram_uni_counts(spark, d):
+    return lines(spark, d).select("lang", F.explode("toks").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+
+
+@query
+def ngram_bi_counts(spark, d):
+    b = lines(spark, d).select("lang", F.explode(text.ngrams(F.col("toks"), 2)).alias("b"))
+    return b.groupBy("lang", F.col("b")[0].alias("w1"), F.col("b")[1].alias("w2")).agg(F.count("*").alias("n"))
+
+
+# Language model: documents whose id is a multiple of 5 are held out
+
+
+def scores(spark, d, deltas):
+    rows = lines(spark, d)
+    return language_model.sentence_scores(rows.where("doc_id % 5 = 0"), rows.where("doc_id % 5 <> 0"), deltas, keys=("doc_id", "line_no"), group=("lang",))
+
+
+@query
+def lm_sentence_logprob(spark, d):
+    return scores(spark, d, (0.01,)).select("lang", "doc_id", "line_no", F.col("n_tokens").cast("long").alias("n_tokens"), r6("logprob").alias("logprob"))
+
+
+@query
+def lm_perplexity_sweep(spark, d):
+    return language_model.perplexity(scores(spark, d, DELTAS), ("lang",)).select("lang", "delta", "sentences", "tokens", F.round("perplexity", 4).alias("perplexity"))
+
+
+# Alignment and decoding
+
+
+@query
+def cooc_pairs(spark, d):
+    return alignment.cooccurrence(bitext(spark, d)).groupBy("pid").agg(F.count("*").alias("n"), F.sum("ce").alias("ce"))
+
+
+@query
+def ibm1_init(spark, d):
+    return alignment.initial(alignment.cooccurrence(bitext(spark, d))).groupBy("e").agg(F.count("*").alias("n_f"), r6(F.max("p")).alias("p"))
+
+
+def em(spark, d, n):
+    cooc = alignment.cooccurrence(bitext(spark, d))
+    model = alignment.initial(cooc)
+    for _ in range(n):
+        model = alignment.em_step(cooc, model)
+    return model.groupBy("e").agg(F.count("*").alias("n_f"), r6(F.max("p")).alias("top_p"), r6(F.sum(F.col("p") * F.col("p"))).alias("sum_p2"))
+
+
+@query
+def ibm1_em_step(spark, d):
+    return em(spark, d, 1)
+
+
+@query
+def ibm1_em2(spark, d):
+    return em(spark, d, 2)
+
+
+@query
+def ibm1_train(spark, d):
+    return alignment.train(bitext(spark, d), 3).groupBy("e").agg(F.count("*").alias("n_f"), r6(F.max("p")).alias("top_p"))
+
+
+@query
+def decode_candidates_top5(spark, d):
+    model = alignment.initial(alignment.cooccurrence(bitext(spark, d)))
+    source = bitext(spark, d).select(F.explode("f_toks").alias("f")).distinct().select(F.lit(0).alias("sid"), F.lit(0).alias("pos"), "f")
+    return alignment.candidates(source, model).select("f", "rank", "e", r6("p").alias("p"))
+
+
+@query
+def decode_search(spark, d):
+    pairs = bitext(spark, d)
+    model = alignment.initial(alignment.cooccurrence(pairs))
+    sents = pairs.select(F.col("e_toks").alias("toks"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("sid"), F.posexplode(text.normalise_transcript(F.col("text"))).alias("pos", "f"))
+    out = alignment.decode(items, model, language_model.unigrams(sents), language_model.bigrams(sents))
+    return out.select("sid", "trial", "score", F.array_join("words", " ").alias("words"))
+
+
+# BLEU and word errors
+
+
+@query
+def bleu_precision(spark, d):
+    t = turn_pairs(spark, d).where("c is not null")
+    refs = [F.col("b"), F.col("c")]
+    return t.select("conv_id", "turn", *(r6(evaluation.ngram_precision(F.col("a"), refs, n)).alias(f"p{n}") for n in (1, 2, 3)))
+
+
+@query
+def bleu_brevity(spark, d):
+    t = turn_pairs(spark, d).where("c is not null")
+    return t.select("conv_id", "turn", r6(evaluation.brevity_penalty(F.col("a"), [F.col("b"), F.col("c")])).alias("bp"))
+
+
+@query
+def bleu_combined(spark, d):
+    t = turn_pairs(spark, d).where("c is not null")
+    return t.select("conv_id", "turn", *(r6(evaluation.bleu(F.col("a"), [F.col("b"), F.col("c")], n)).alias(f"bleu{n}") for n in (1, 2, 3)))
+
+
+def word_errors(spark, d):
+    return evaluation.word_errors(turn_pairs(spark, d).select("conv_id", "turn", F.col("a").alias("ref"), F.col("b").alias("hyp")), ["conv_id", "turn"])
+
+
+@query
+def wer_lines(spark, d):
+    return word_errors(spark, d).withColumn("wer", r6("wer"))
+
+
+@query
+def wer_summary(spark, d):
+    return evaluation.error_summary(word_errors(spark, d).withColumn("first_turn", F.col("turn") == 0), ["first_turn"]).select("first_turn", "n_lines", r6("mean_wer").alias("mean_wer"), r6("std_wer").alias("std_wer"))
+
+
+# Features
+
+
+def rule_tagged(c: Column) -> Column:
+    """Tokens with tags by simple rules, so that SQL can follow."""
+    tag = lambda w: F.when(w.endswith(","), ",").when(w.endswith("."), ".").when(w.endswith("ed"), "VBD").when(w.endswith("ly"), "RB").when(w.rlike("^[A-Z]"), "NNP").otherwise("NN")
+    return F.array_join(F.transform(F.split(c, "\n", -1), lambda s: F.array_join(F.transform(F.split(s, " ", -1), lambda w: F.concat(w, F.lit("/"), tag(w))), " ")), "\n")
+
+
+@query
+def feat_native(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", rule_tagged(F.col("text")).alias("body"))
+    return docs.select("doc_id", *(r6(c).alias(k) for k, c in features.native_features().items()))
+
+
+def benchmark_lexicon(spark, d):
+    w = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct()
+    n = F.length("word")
+    return w.select("word", (100 + 10 * n).cast("string").alias("aoa"), F.ascii("word").cast("string").alias("img"), F.when(n % 2 == 0, "n/a").otherwise(n.cast("string")).alias("fam"))
+
+
+@query
+def feat_lexicon_stats(spark, d):
+    toks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(text.tokens(F.col("text"))).alias("word"))
+    out = features.lexicon_stats(toks, benchmark_lexicon(spark, d), features.LEXICON_A)
+    return out.select("id", *(r6(c).alias(c) for c in out.columns if c != "id"))
+
+
+@query
+def feat_matrix(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.array(*map(F.lit, features.CLASS_CODES)), (F.col("doc_id") % 4 + 1).cast("int")).alias("cat"), rule_tagged(F.col("text")).alias("body"))
+    lex = benchmark_lexicon(spark, d)
+    rows = features.feature_rows(docs, lex, lex.select("word", F.col("aoa").alias("v"), F.col("img").alias("a"), F.col("fam").alias("d")))
+    external = docs.select("id", F.array_repeat((F.col("id") % 7).cast("double"), 144).alias("feats"))
+    return features.with_external(rows, external)
+
+
+@query
+def lexicon_last_wins(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return features.last_wins(rows, "user_id", ["event_id"])
+
+
+# Samples, metrics, statistics
+
+
+@query
+def circular_sample(spark, d):
+    return statistics.circular_sample(table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 1000000007, statistics.check_sample_size(10000))
+
+
+def label_pairs(spark, d):
+    return table(spark, d, "labels").select(F.col("quality").alias("label"), F.col("toxic").alias("pred"))
+
+
+@query
+def confusion_matrix(spark, d):
+    return evaluation.confusion(label_pairs(spark, d))
+
+
+@query
+def class_metrics(spark, d):
+    m = evaluation.class_metrics(evaluation.confusion(label_pairs(spark, d)))
+    return m.select("label", *(r6(c).alias(c) for c in ("recall", "precision", "accuracy")))
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+
+
+@query
+def anova_f(spark, d):
+    return statistics.anova(vectors(spark, d)).select("feature", r6("f").alias("f"))
+
+
+@query
+def anova_p(spark, d):
+    return statistics.anova(vectors(spark, d))
+
+
+@query
+def class_means(spark, d):
+    return statistics.class_means(vectors(spark, d)).select("label", "feature", r6("mean").alias("mean"))
+
+
+@query
+def paired_t(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_discount", "l_tax")
+    return statistics.paired_t(rows, "l_returnflag", "l_discount", "l_tax").select("l_returnflag", F.round("t", 4).alias("t"), "df")
+
+
+@query
+def train_test_split(spark, d):
+    return statistics.train_test(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query
+def kfold_assign(spark, d):
+    return statistics.folds(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query
+def learning_curve_sample(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey")
+    return statistics.first_rows(rows, statistics.shuffle_key(401, F.col("c_custkey")), 1000)
+
+
+@query
+def classify_compare(spark, d):
+    from glossa.operators import classifiers
+
+    rows = statistics.train_test(vectors(spark, d), "id").cache()
+    return classifiers.compare(rows.where("not test"), rows.where("test"), ["random_forest"])
+
+
+# Gaussian mixtures: labels as speakers; two components by the parity of vec_id
+
+
+def frames(spark, d):
+    return vectors(spark, d).select("id", F.col("label").cast("string").alias("speaker"), F.col("features").alias("x"))
+
+
+def parity_model(spark, d, parts: int = 2):
+    f = frames(spark, d).select("speaker", (F.col("id") % parts).cast("int").alias("m"), F.posexplode("x").alias("dim", "x"))
+    dims = f.groupBy("speaker", "m", "dim").agg(F.count("*").alias("n"), F.avg("x").alias("mu"), (F.var_pop("x") + 0.01).alias("var"))
+    comp = dims.groupBy("speaker", "m").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("dim", "mu", "var"))).alias("d"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("speaker"))
+    return comp.select("speaker", "m", share.alias("w"), F.transform("d", lambda s: s["mu"]).alias("mu"), F.transform("d", lambda s: s["var"]).alias("var"))
+
+
+@query
+def gmm_responsibility(spark, d):
+    r = mixtures.responsibilities(frames(spark, d), parity_model(spark, d))
+    return r.select("id", "m", F.round("logb", 4).alias("logb"), F.round(F.exp("logp"), 4).alias("p"), F.round("loglik", 4).alias("loglik"))
+
+
+@query
+def gmm_m_step(spark, d):
+    m = mixtures.m_step(mixtures.responsibilities(frames(spark, d), parity_model(spark, d)), 1e-6)
+    return m.select("speaker", "m", F.round("w", 5).alias("w"), F.posexplode(F.arrays_zip("mu", "var")).alias("dim", "z")).select("speaker", "m", "w", "dim", F.round("z.mu", 5).alias("mu"), F.round("z.var", 5).alias("var"))
+
+
+@query
+def gmm_identify(spark, d):
+    tests = frames(spark, d).select(F.col("speaker").alias("truth"), F.col("id").alias("utt"), "x")
+    return mixtures.identify(tests, parity_model(spark, d, 1), 3).select("truth", "utt", "speaker", F.round("loglik", 4).alias("loglik"), "rank", "correct")
+
+
+@query
+def gmm_hold_out(spark, d):
+    return mixtures.hold_out(frames(spark, d).select("speaker", "id"), "id")
+
+
+@query
+def gmm_train(spark, d):
+    return mixtures.train(frames(spark, d), m=2, max_iter=5, var_floor=1e-3).select("speaker", "m", "w")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Perplexity of held-out English documents under an add-delta bigram model."""
+    return language_model.perplexity(scores(spark, sf_dir, (0.01,)), ("lang",)).where("lang = 'en'")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)

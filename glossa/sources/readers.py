@@ -13,7 +13,7 @@ from glossa.operators.features import last_wins
 
 def read_comments(spark: SparkSession, folder: str) -> DataFrame:
     """(id, body, cat, file_pos) from files that each hold a JSON array of JSON strings; the file's name is the class."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(folder).select("value", F.col("_metadata.file_name").alias("cat"))
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("cat"))
     rows = raw.select("cat", F.posexplode(F.from_json("value", "array<string>")).alias("file_pos", "j"))
     return rows.select(F.get_json_object("j", "$.id").alias("id"), F.get_json_object("j", "$.body").alias("body"), "cat", "file_pos")
 
@@ -31,7 +31,7 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """(doc, line_no, text) of the files in ``folder`` with that suffix; doc is the name without it."""
-    raw = spark.read.option("pathGlobFilter", f"*.{suffix}").option("wholetext", "true").text(folder)
+    raw = spark.read.option("pathGlobFilter", f"*.{suffix}").text(folder, wholetext=True)
     rows = raw.select(F.regexp_replace(F.col("_metadata.file_name"), rf"\.{suffix}$", "").alias("doc"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("line_no", "text"))
     return rows.select("doc", F.col("line_no").cast("long").alias("line_no"), "text")
 
@@ -46,7 +46,7 @@ def read_test_triples(spark: SparkSession, source: str, human: str, machine: str
     """(line_no, src, ref_human, ref_machine) of three aligned files."""
 
     def one(path: str, name: str) -> DataFrame:
-        raw = spark.read.option("wholetext", "true").text(path)
+        raw = spark.read.text(path, wholetext=True)
         return raw.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("line_no", name))
 
     return one(source, "src").join(one(human, "ref_human"), "line_no").join(one(machine, "ref_machine"), "line_no")
@@ -72,7 +72,7 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_transcripts(spark: SparkSession, folder: str, names: dict[str, str]) -> DataFrame:
     """(speaker, line_no, system, text) of <speaker>/<file> for the speakers that have all of ``names`` (system to file name)."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(folder)
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     table = F.create_map(*(F.lit(x) for s, n in names.items() for x in (n, s)))
     rows = raw.select(F.element_at(parts, -2).alias("speaker"), table[F.element_at(parts, -1)].alias("system"), "value").where("system is not null")
