@@ -33,7 +33,7 @@ from glossa.llm.store import NO_ID, keep, keyed
 MAGIC = b"DAC1"
 SEGMENT = 1 << 18
 #: Distinct words whose ids a worker remembers.
-REMEMBER = 3 << 19
+REMEMBER = 1 << 22
 #: What keeps a word from standing in a text with others: letters that normalisation may move, special tokens.
 OTHER = re.compile(r"[^\x00-\xff]|<\|")
 _coders: dict[tuple[str, int], WordEncoder] = {}
@@ -114,55 +114,51 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
-        self.known: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known.clear()
-        self.lengths = np.zeros(1 << 16, np.int32)
-        self.begins = np.zeros(1 << 16, np.int32)
+        """Words are remembered by their 64-bit hash: sorted ``keys``, each with the place and number of its ids in ``pool``."""
+        self.keys = np.zeros(0, np.uint64)
+        self.begins, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Latin-1 words stand in one text with a blank between them, and offsets tell whose an id is; others are encoded each."""
+        begins, lengths = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
         plain, others = [], []
-        for raw in words:
+        for k, raw in enumerate(words):
             word = raw.decode()
-            (plain if OTHER.search(word) is None else others).append((raw, word))
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
+            (plain if OTHER.search(word) is None else others).append((k, word))
+        for some in [plain[at : at + 500] for at in range(0, len(plain), 500)] + [[x] for x in others]:
             e = self.tokenizer.encode(" ".join(w for _, w in some), add_special_tokens=False)
-            lengths = np.array([len(w) + 1 for _, w in some])
-            own = np.searchsorted(np.cumsum(lengths), np.array([o[0] for o in e.offsets], np.int64), "right")
-            self.store([r for r, _ in some], np.array(e.ids, np.uint32), np.bincount(own, minlength=len(some)))
-        for raw, word in others:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            self.store([raw], np.array(ids, np.uint32), np.array([len(ids)]))
-
-    def store(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
-        k, m = len(self.known), len(words)
-        if k + m > len(self.lengths):
-            self.lengths = np.append(self.lengths, np.zeros(k + m, np.int32))
-            self.begins = np.append(self.begins, np.zeros(k + m, np.int32))
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.append(self.pool, np.zeros(len(self.pool) + len(ids), np.uint32))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.lengths[k : k + m] = n
-        self.begins[k : k + m] = self.used + np.cumsum(n) - n
-        self.used += len(ids)
-        self.known.update(zip(words, range(k, k + m), strict=True))
+            if len(some) > 1:
+                ends = np.cumsum([len(w) + 1 for _, w in some])
+                n = np.bincount(np.searchsorted(ends, np.array([o[0] for o in e.offsets], np.int64), "right"), minlength=len(some))
+            else:
+                n = np.array([len(e.ids)])
+            if self.used + len(e.ids) > len(self.pool):
+                self.pool = np.append(self.pool, np.zeros(len(self.pool) + len(e.ids), np.uint32))
+            self.pool[self.used : self.used + len(e.ids)] = e.ids
+            at = [k for k, _ in some]
+            begins[at], lengths[at] = self.used + np.cumsum(n) - n, n
+            self.used += len(e.ids)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.begins, self.lengths = np.insert(self.keys, place, keys), np.insert(self.begins, place, begins), np.insert(self.lengths, place, lengths)
 
     def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each."""
-        if len(self.known) > REMEMBER:
+        if len(self.keys) > REMEMBER:
             self.clear()
         starts, ends, h, own = scan.words(data, offs)
-        raw = data.tobytes()
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        names = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        self.learn([w for w in names if w not in self.known])
-        code = np.fromiter((self.known[w] for w in names), np.int64, len(names))[which]
+        names, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, names)
+        new = np.ones(len(names), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != names
+        if new.any():
+            raw = data.tobytes()
+            self.learn(names[new], [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, names)
+        code = at[which]
         n = self.lengths[code].astype(np.int64)
         m = len(offs) - 1
         sizes = np.bincount(own, weights=n, minlength=m).astype(np.int64) + 1
@@ -196,7 +192,7 @@ def segments(path: Callable[[], str], end_id: int):
 
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, offs, data in scan.chunks(batch, 2, 1 << 19):
+            for a, b, offs, data in scan.chunks(batch, 2):
                 held.append((*coder.texts(data, offs), names[a:b]))
                 if sum(len(h[0]) for h in held) >= SEGMENT:
                     yield flush()
