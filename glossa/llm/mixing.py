@@ -16,6 +16,11 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def drawn(seed: int, name: Column) -> Column:
+    """32 bits that seed and name decide; null as the empty name."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(name, F.lit("")))), 1, 8), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
@@ -50,8 +55,8 @@ def copies(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1
     from counts per (source, class, slot), so that no task holds a source.
     Equal sizes stand together, so the sizes taken come near the target too.
     """
-    cls = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
-    slot = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(SALTS)).cast("int")
+    cls = F.expr("length(bin(size + 1)) * 4 + shiftright((size + 1) * 4, length(bin(size + 1)) - 1)").cast("int")  # four classes an octave
+    slot = (drawn(seed, F.col("doc_id").cast("string")) % SALTS).cast("int")
     names = {"name": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull()}
     d = rows.withColumns({"class": cls, "slot": slot} | names)
     key = ["name", "unnamed", "class", "slot"]
@@ -61,7 +66,7 @@ def copies(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1
     d = d.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id")))
     d = d.join(starts.join(targets, ["name", "unnamed"]), key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), "name", "unnamed"), F.lit(65536)) / F.lit(65536.0)
+    offset = (drawn(seed, F.when(~F.col("unnamed"), F.concat(F.lit("="), "name"))) % 65536) / F.lit(65536.0)
     end = F.col("start") + F.col("at")
     crossed = F.floor(end * rate + offset) - F.floor((end - 1) * rate + offset)
     return d.withColumn("copies", F.least(crossed, F.lit(int(-(-cap // 1)))).cast("long")).drop(*key, "start", "at")

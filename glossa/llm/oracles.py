@@ -1,3 +1,102 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
 
-SQL: dict[str, str] = {}
+None for op2 (keyed permutations), op4 (every 200-byte string), op5 (a
+tokenizer), op6 (a hash and a checksum that DuckDB lacks), op9 (edit
+distances) and the pipeline: tests hold those against plain Python.
+"""
+
+WORD = r"[^\x20\x09-\x0D]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CONTROL = r"/?s>|/?ROLE\]|/?NEXT\]|/?INST\]|\|[a-z_]{1,32}\|>"
+
+
+def escaped(c: str) -> str:
+    return rf"regexp_replace(replace({c}, '\', '\\'), '([<\[])({CONTROL})', '\1\\\2', 'g')"
+
+
+OP1 = f"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER w AS pos, coalesce(lag(role) OVER w <> role, true) AS head FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(length({escaped("text")}) + CASE WHEN head THEN 17 + length({escaped("role")}) ELSE 6 END))::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id"""
+
+OP3 = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(g) AS g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id"""
+
+OP8 = f"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) AS h FROM w WHERE len(w) >= 20),
+again AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM x) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM again CROSS JOIN range(20) t(j)),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w.w) AS n_words, len(w.w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+def rule(metric: str, value: str, below: str, above: int, wider: str) -> str:
+    """A document passes if its value lies within the distances allowed around the median of its group."""
+    low = f"{value} - {metric}[2] >= -greatest({below}, 5 * ({metric}[2] - {metric}[1])) * {wider}" if below else "true"
+    return f"coalesce({low} AND {value} - {metric}[2] < greatest({above}, 5 * ({metric}[3] - {metric}[2])) * {wider} + 1, true)"
+
+
+WIDER = "sqrt(greatest(1.0, 50 / greatest(n_words, 1)::DOUBLE))"
+OP7 = rf"""WITH w AS MATERIALIZED (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) AS g FROM w WHERE len(w) >= 5),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again CROSS JOIN range(5) t(j) GROUP BY doc_id),
+s AS MATERIALIZED (
+  SELECT doc_id, lang, source, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)),
+v AS (
+  SELECT lang, source, unnest(['mean_chars', 'symbols', 'dup_lines']) AS metric,
+    unnest([least(10000, word_chars * 100 // n_words), least(10000, n_symbols * 1000 // n_words), least(10000, n_dup_lines * 1000 // n_lines)]) AS x
+  FROM s WHERE n_words > 0),
+o AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY ALL),
+l AS (SELECT lang, metric, count(*) AS n, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY ALL),
+a AS (SELECT metric, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY ALL),
+q AS (
+  SELECT o.lang, o.source, o.metric, CASE WHEN o.n >= 30 THEN o.q WHEN l.n >= 30 THEN l.q ELSE a.q END AS q
+  FROM o JOIN l ON o.metric = l.metric AND o.lang IS NOT DISTINCT FROM l.lang JOIN a ON a.metric = o.metric),
+p AS (SELECT lang, source, max(q) FILTER (metric = 'mean_chars') AS mean_chars, max(q) FILTER (metric = 'symbols') AS symbols, max(q) FILTER (metric = 'dup_lines') AS dup_lines FROM q GROUP BY ALL),
+b AS (SELECT s.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, mean_chars, symbols, dup_lines FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {rule("mean_chars", "word_chars * 100 / nullif(n_words, 0)::DOUBLE", "110", 160, WIDER)}
+  AND {rule("symbols", "n_symbols * 1000 / nullif(n_words, 0)::DOUBLE", "", 100, "1.0")}
+  AND {rule("dup_lines", "n_dup_lines * 1000 / nullif(n_lines, 0)::DOUBLE", "", 500, "1.0")} AS kept
+FROM b"""
+
+OP10 = f"""WITH d AS (
+  SELECT doc_id, source, size, length(bin(size + 1)) AS bits, ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 64 AS slot
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS top FROM s),
+l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (
+  SELECT source, source_size, CASE WHEN top <= level * w THEN top ELSE max(CASE WHEN top > level * w THEN level END) OVER () * w END AS target,
+    (('0x' || substr(md5('0|' || coalesce('=' || source, '')), 1, 8))::BIGINT % 65536) / 65536.0::DOUBLE AS start FROM l),
+x AS (
+  SELECT doc_id, size, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY bits * 4 + ((size + 1) * 4 >> (bits - 1)), slot, size, doc_id NULLS FIRST) AS at_
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies
+FROM (SELECT *, least(floor(at_ * rate + start) - floor((at_ - 1) * rate + start), 2)::BIGINT AS copies FROM x)"""
+
+SQL: dict[str, str] = {"op1_chat": OP1, "op3_near_duplicates": OP3, "op7_quality": OP7, "op8_substrings": OP8, "op10_mixing": OP10}
