@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import PUNCT_CLASS, tagged_token
+from glossa.functions.text import PUNCT_CLASS, once, tagged_token
 
 # Word lists and tag sets of the features.
 FIRST_PERSON = ("i", "me", "my", "mine", "we", "us", "our", "ours")
@@ -27,18 +27,18 @@ def tagged_sentences(body: Column) -> Column:
     return F.transform(F.split(body, "\n", -1), lambda s: F.transform(F.split(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), " ", -1), tagged_token))
 
 
-def count_words(sents: Column, words: tuple[str, ...]) -> Column:
-    return F.size(F.filter(F.flatten(sents), lambda t: F.lower(t["word"]).isin(*words))).cast("double")
+def count_words(toks: Column, words: tuple[str, ...]) -> Column:
+    return F.size(F.filter(toks, lambda t: F.lower(t["word"]).isin(*words))).cast("double")
 
 
-def count_tags(sents: Column, tags: tuple[str, ...]) -> Column:
+def count_tags(toks: Column, tags: tuple[str, ...]) -> Column:
     low = [t.lower() for t in tags]
-    return F.size(F.filter(F.flatten(sents), lambda t: F.coalesce(F.lower(t["tag"]).isin(*low), F.lit(False)))).cast("double")
+    return F.size(F.filter(toks, lambda t: F.coalesce(F.lower(t["tag"]).isin(*low), F.lit(False)))).cast("double")
 
 
 def future_verbs(sents: Column, strict: bool = True) -> Column:
     """Single future words; not ``strict``: also going + to + VB within a sentence, which strict semantics never find."""
-    single = count_words(sents, FUTURE)
+    single = count_words(F.flatten(sents), FUTURE)
     if strict:
         return single
 
@@ -49,33 +49,39 @@ def future_verbs(sents: Column, strict: bool = True) -> Column:
     return single + F.aggregate(F.transform(sents, in_sentence), F.lit(0), lambda a, x: a + x)
 
 
-def native_features(body: str = "body", strict: bool = True) -> dict[str, Column]:
-    """Features 1 to 17 of a preprocessed comment; no shuffle."""
-    s = tagged_sentences(F.col(body))
-    words = F.transform(F.flatten(s), lambda t: t["word"])
-    n_sents = F.size(s)
-    real = F.filter(words, lambda w: w.rlike(f"[^{PUNCT_CLASS}]"))
-    chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    real_chars = F.aggregate(real, F.lit(0), lambda a, w: a + F.length(w))
-    return {
-        "f01_first_person": count_words(s, FIRST_PERSON),
-        "f02_second_person": count_words(s, SECOND_PERSON),
-        "f03_third_person": count_words(s, THIRD_PERSON),
-        "f04_conjunctions": count_tags(s, ("CC",)),
-        "f05_past_verbs": count_tags(s, ("VBD",)),
-        "f06_future_verbs": future_verbs(s, strict).cast("double"),
-        "f07_commas": count_tags(s, (",",)),
-        "f08_multi_punctuation": F.size(F.filter(words, lambda w: w.rlike(f"^[{PUNCT_CLASS}]{{2,}}$"))).cast("double"),
-        "f09_common_nouns": count_tags(s, ("NN", "NNS")),
-        "f10_proper_nouns": count_tags(s, ("NNP", "NNPS")),
-        "f11_adverbs": count_tags(s, ("RB", "RBR", "RBS")),
-        "f12_wh_words": count_tags(s, ("WDT", "WP", "WP$", "WRB")),
-        "f13_slang": count_words(s, SLANG),
-        "f14_upper_case": F.size(F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"))).cast("double"),
-        "f15_sentence_chars": F.try_divide(chars.cast("double"), n_sents),
-        "f16_token_chars": F.coalesce(F.try_divide(real_chars.cast("double"), F.size(real)), F.lit(0.0)),
-        "f17_sentences": n_sents.cast("double"),
-    }
+def native_features(body: str = "body", strict: bool = True) -> Column:
+    """Features 1 to 17 of a preprocessed comment as a struct of doubles; the tokens are made once, no shuffle."""
+
+    def of(s: Column) -> Column:
+        return once(F.flatten(s), lambda t: once(F.transform(t, lambda x: x["word"]), lambda words: F.struct(*(c.cast("double").alias(k) for k, c in values(s, t, words).items()))))
+
+    def values(s: Column, t: Column, words: Column) -> dict[str, Column]:
+        real = F.filter(words, lambda w: w.rlike(f"[^{PUNCT_CLASS}]"))
+
+        def chars(ws: Column) -> Column:
+            return F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)).cast("double")
+
+        return {
+            "f01_first_person": count_words(t, FIRST_PERSON),
+            "f02_second_person": count_words(t, SECOND_PERSON),
+            "f03_third_person": count_words(t, THIRD_PERSON),
+            "f04_conjunctions": count_tags(t, ("CC",)),
+            "f05_past_verbs": count_tags(t, ("VBD",)),
+            "f06_future_verbs": future_verbs(s, strict),
+            "f07_commas": count_tags(t, (",",)),
+            "f08_multi_punctuation": F.size(F.filter(words, lambda w: w.rlike(f"^[{PUNCT_CLASS}]{{2,}}$"))),
+            "f09_common_nouns": count_tags(t, ("NN", "NNS")),
+            "f10_proper_nouns": count_tags(t, ("NNP", "NNPS")),
+            "f11_adverbs": count_tags(t, ("RB", "RBR", "RBS")),
+            "f12_wh_words": count_tags(t, ("WDT", "WP", "WP$", "WRB")),
+            "f13_slang": count_words(t, SLANG),
+            "f14_upper_case": F.size(F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"))),
+            "f15_sentence_chars": F.try_divide(chars(words), F.size(s)),
+            "f16_token_chars": F.coalesce(once(real, lambda ws: F.try_divide(chars(ws), F.size(ws))), F.lit(0.0)),
+            "f17_sentences": F.size(s),
+        }
+
+    return once(tagged_sentences(F.col(body)), of)
 
 
 def lexicon_stats(tokens: DataFrame, lexicon: DataFrame, columns: tuple[str, ...], key: str = "word", fold: bool = True) -> DataFrame:
@@ -91,11 +97,12 @@ def lexicon_stats(tokens: DataFrame, lexicon: DataFrame, columns: tuple[str, ...
 
 def feature_rows(comments: DataFrame, lexicon_a: DataFrame, lexicon_b: DataFrame, strict: bool = True) -> DataFrame:
     """(id, cat, features): 29 features of ``comments`` (id, body preprocessed, cat)."""
-    base = comments.select("id", "cat", "body", *(c.alias(k) for k, c in native_features("body", strict).items()))
+    base = comments.select("id", "cat", native_features("body", strict).alias("f"))
+    base = base.select("id", "cat", "f.*")
     toks = comments.select("id", F.explode(F.transform(F.flatten(tagged_sentences(F.col("body"))), lambda t: t["word"])).alias("word"))
     a = lexicon_stats(toks, lexicon_a, LEXICON_A, fold=True)
     b = lexicon_stats(toks, lexicon_b, LEXICON_B, fold=False)
-    names = [*native_features().keys(), *(f"{p}_{c}" for cols in (LEXICON_A, LEXICON_B) for p in ("mean", "std") for c in cols)]
+    names = [*base.columns[2:], *(f"{p}_{c}" for cols in (LEXICON_A, LEXICON_B) for p in ("mean", "std") for c in cols)]
     joined = base.join(a, "id", "left").join(b, "id", "left")
     return joined.select("id", "cat", F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in names)).alias("features"))
 

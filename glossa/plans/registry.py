@@ -23,7 +23,12 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; text that comes in fewer splits than there are cores (so a small one) is dealt over all of them."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def r6(c: Column | str) -> Column:
@@ -222,7 +227,8 @@ def rule_tagged(c: Column) -> Column:
 @query
 def feat_native(spark, d):
     docs = table(spark, d, "documents").select("doc_id", rule_tagged(F.col("text")).alias("body"))
-    return docs.select("doc_id", *(r6(c).alias(k) for k, c in features.native_features().items()))
+    out = docs.select("doc_id", features.native_features().alias("f")).select("doc_id", "f.*")
+    return out.select("doc_id", *(r6(k).alias(k) for k in out.columns[1:]))
 
 
 def benchmark_lexicon(spark, d):

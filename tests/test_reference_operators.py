@@ -160,9 +160,9 @@ def test_word_errors(spark):
 
 def test_features(spark):
     body = "I/PRP am/VBP going/VBG to/TO go/VB ,/, lol/NN !!/. ABC/NNP\nsmh/NN you/PRP they/PRP will/MD\n"
-    row = spark.createDataFrame([(body,)], "body string").select(*(c.alias(k) for k, c in features.native_features().items())).first()
+    row = spark.createDataFrame([(body,)], "body string").select(features.native_features().alias("f")).select("f.*").first()
     assert (row.f01_first_person, row.f02_second_person, row.f03_third_person, row.f06_future_verbs, row.f07_commas, row.f08_multi_punctuation, row.f13_slang, row.f14_upper_case, row.f17_sentences) == (1, 1, 1, 1, 1, 1, 1, 1, 3)
-    loose = spark.createDataFrame([(body,)], "body string").select(*(c.alias(k) for k, c in features.native_features(strict=False).items())).first()
+    loose = spark.createDataFrame([(body,)], "body string").select(features.native_features(strict=False).alias("f")).select("f.*").first()
     assert loose.f06_future_verbs == 2
     toks = spark.createDataFrame([(1, "Cat"), (1, "dog"), (1, "cat"), (2, "zzz")], "id long, word string")
     lex = spark.createDataFrame([("cat", "1", ""), ("dog", "4", "2")], "word string, v string, a string")
