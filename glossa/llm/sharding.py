@@ -88,9 +88,10 @@ def assign(docs: DataFrame, slot_map: DataFrame, n_slots: int = SLOTS) -> tuple[
     Rows of a shard stand in order of virtual slot, then doc_id, then text
     hash. Places come from counts per virtual slot, so that no task holds a
     shard. Null text: size 16. Null doc_id: hashed as one value. Rows that
-    share a doc_id share a shard. Empty table: no rows.
+    share a doc_id share a shard. Empty table: no rows. Columns of ``docs``
+    named vslot, shard, slot, slot_at, slot_start or record_size give way.
     """
-    d = docs.withColumns({"vslot": slot_of(n_slots), "record_size": record_size()})
+    d = docs.drop("vslot", "shard", "slot", "slot_at", "slot_start", "record_size").withColumns({"vslot": slot_of(n_slots), "record_size": record_size()})
     newest = slot_map.where(F.col("version") == slot_map.agg(F.max("version")).first()[0]).drop("version")
     weighed = newest.join(d.groupBy("vslot").agg(F.count("*").alias("n_rows"), F.sum("record_size").alias("n_bytes")), "vslot", "left").na.fill(0, ["n_rows", "n_bytes"])
     along = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
