@@ -1,8 +1,9 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-None for op2 (keyed permutations), op4 (every 200-byte string), op5 (a
-tokenizer), op6 (a hash and a checksum that DuckDB lacks), op9 (edit
-distances) and the pipeline: tests hold those against plain Python.
+None for op2 (keyed permutations), op5 (a tokenizer), op9 (edit distances)
+and the pipeline: tests hold those against plain Python. Op4 hashes strings of
+1, 2, 4 ... 128 and then 200 bytes; op6 spells out xxHash64 of a long and
+CRC-32, both of which DuckDB lacks.
 """
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,4 +100,66 @@ x AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies
 FROM (SELECT *, least(floor(at_ * rate + start) - floor((at_ - 1) * rate + start), 2)::BIGINT AS copies FROM x)"""
 
-SQL: dict[str, str] = {"op1_chat": OP1, "op3_near_duplicates": OP3, "op7_quality": OP7, "op8_substrings": OP8, "op10_mixing": OP10}
+
+def pairs(span: int) -> str:
+    """Hashes of all strings of twice ``span`` bytes from those of ``span`` bytes."""
+    return f"list_transform(range(1, greatest(len(h) - {span - 1}, 1)), lambda i: hash(h[i], h[i + {span}]))"
+
+
+OP4 = f"""WITH b AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h1 AS (SELECT doc_id, regexp_extract_all(x, '..') AS h FROM b WHERE length(x) >= 400),
+h2 AS (SELECT doc_id, {pairs(1)} AS h FROM h1),
+h4 AS (SELECT doc_id, {pairs(2)} AS h FROM h2),
+h8 AS (SELECT doc_id, {pairs(4)} AS h FROM h4),
+h16 AS (SELECT doc_id, h AS h8, {pairs(8)} AS h FROM h8),
+h32 AS (SELECT doc_id, h8, {pairs(16)} AS h FROM h16),
+h64 AS (SELECT doc_id, h8, {pairs(32)} AS h FROM h32),
+h128 AS (SELECT doc_id, h8, h AS h64, {pairs(64)} AS h FROM h64),
+w AS (SELECT doc_id, unnest(range(0, len(h8) - 192)) AS i, unnest(list_transform(range(1, len(h8) - 191), lambda i: hash(h[i], h64[i + 128], h8[i + 192]))) AS g FROM h128),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM w) WHERE k > 1),
+edge AS (SELECT *, coalesce(i > lag(i) OVER o + 200, true) AS head FROM again WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+run AS (SELECT doc_id, min(i) AS first, max(i) + 200 AS past FROM (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge) GROUP BY doc_id, r),
+cut AS (SELECT doc_id, first, past FROM run UNION ALL SELECT doc_id, length(x) // 2, length(x) // 2 + 1 FROM b),
+gap AS (SELECT doc_id, coalesce(lag(past) OVER o, 0) AS at_, first AS until FROM cut WINDOW o AS (PARTITION BY doc_id ORDER BY first, past)),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * at_ + 1, 2 * (until - at_)), '' ORDER BY at_, until) AS t, count(*) - 1 AS n FROM gap JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, (length(x) - length(t)) // 2 AS n_removed, n AS n_spans, sha256(unhex(t)) AS kept_sha256 FROM b JOIN kept USING (doc_id)"""
+
+#: The five primes of xxHash64, and the polynomial of CRC-32.
+XX = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+CRC = 3988292384
+WHOLE = "18446744073709551616::UHUGEINT"
+
+
+def times(x: str, factor: int) -> str:
+    return f"(({x})::UHUGEINT * {factor}::UHUGEINT % {WHOLE})::UBIGINT"
+
+
+def plus(x: str, summand: int) -> str:
+    return f"((({x})::UHUGEINT + {summand}::UHUGEINT) % {WHOLE})::UBIGINT"
+
+
+def turned(x: str, bits: int) -> str:
+    return f"({times(x, 1 << bits)} | ({x} >> {64 - bits}))"
+
+
+OP6 = f"""WITH RECURSIVE owner AS (
+  SELECT 1 AS n, range AS vslot, 0 AS shard FROM range(4096)
+  UNION ALL
+  SELECT n + 1, vslot, CASE WHEN row_number() OVER (ORDER BY held - given DESC, shard) <= 4096 // (n + 1) THEN n ELSE shard END
+  FROM (SELECT *, count(*) OVER (PARTITION BY shard) AS held, row_number() OVER (PARTITION BY shard ORDER BY vslot DESC) AS given FROM owner WHERE n < 41)),
+m AS MATERIALIZED (SELECT vslot, max(shard) FILTER (n = 40)::INT AS shard, max(shard) FILTER (n = 41)::INT AS grown_shard FROM owner GROUP BY vslot),
+byte AS (SELECT list(list_reduce(range(8)::UBIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {CRC}::UBIGINT) ELSE c >> 1 END, range::UBIGINT) ORDER BY range) AS t FROM range(256)),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::UBIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM documents, byte),
+x0 AS (SELECT *, {times("doc_id::UBIGINT", XX[1])} AS k FROM d),
+x1 AS (SELECT *, xor({42 + XX[4] + 8}::UBIGINT, {times(turned("k", 31), XX[0])}) AS k1 FROM x0),
+x2 AS (SELECT *, {plus(times(turned("k1", 27), XX[0]), XX[3])} AS k2 FROM x1),
+x3 AS (SELECT *, {times("xor(k2, k2 >> 33)", XX[1])} AS k3 FROM x2),
+x4 AS (SELECT *, {times("xor(k3, k3 >> 29)", XX[2])} AS k4 FROM x3),
+x5 AS (SELECT doc_id, size, text_crc32, (xor(k4, k4 >> 32) & 4095)::INT AS virtual_slot FROM x4)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id) - 1 AS slot, grown_shard, virtual_slot
+FROM x5 JOIN m ON vslot = virtual_slot"""
+
+SQL: dict[str, str] = {"op1_chat": OP1, "op3_near_duplicates": OP3, "op4_repeats": OP4, "op6_shards": OP6, "op7_quality": OP7, "op8_substrings": OP8, "op10_mixing": OP10}
