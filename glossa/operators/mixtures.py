@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.guards import NEG_INF, log_sum_exp, nan_low, safe_ln
+from glossa.session import cut_folder
 
 MODEL = "speaker string, m int, w double, mu array<double>, var array<double>"
 
@@ -22,24 +23,69 @@ def log_density(x: Column, mu: Column, var: Column) -> Column:
     return F.lit(-0.5) * (total + F.size(x) * math.log(2 * math.pi))
 
 
+def packed(model: DataFrame) -> DataFrame:
+    """(speaker, parts): the components of a speaker as one array, in order of m."""
+    return model.groupBy("speaker").agg(F.sort_array(F.collect_list(F.struct("m", "w", "mu", "var"))).alias("parts"))
+
+
 def responsibilities(frames: DataFrame, model: DataFrame) -> DataFrame:
-    """(keys of frames, x, m, logb, logp) for every component of the frame's speaker; models are a few rows each."""
-    rows = frames.join(model, "speaker").withColumn("logb", log_density(F.col("x"), F.col("mu"), F.col("var")))
-    joint = safe_ln(F.col("w")) + F.col("logb")
+    """(keys of frames, x, m, logb, logp, loglik) for every component of the frame's speaker.
+
+    A frame meets its speaker's whole mixture in one row, so that frames
+    aren't shuffled and equal ones stay apart.
+    """
     keys = [c for c in frames.columns if c != "x"]
-    total = log_sum_exp(F.collect_list(joint).over(Window.partitionBy(*keys)))
-    return rows.select(*keys, "x", "m", "logb", (joint - total).alias("logp"), total.alias("loglik"))
+    rows = frames.join(packed(model), "speaker")
+    dense = F.transform("parts", lambda p: F.struct(p["m"].alias("m"), p["w"].alias("w"), log_density(F.col("x"), p["mu"], p["var"]).alias("logb")))
+    joint = F.transform("dense", lambda p: safe_ln(p["w"]) + p["logb"])
+    rows = rows.select(*keys, "x", dense.alias("dense")).withColumn("joint", joint).withColumn("loglik", log_sum_exp(F.col("joint")))
+    each = rows.select(*keys, "x", "loglik", F.explode(F.arrays_zip("dense", "joint")).alias("z"))
+    return each.select(*keys, "x", "z.dense.m", "z.dense.logb", (F.col("z.joint") - F.col("loglik")).alias("logp"), "loglik")
 
 
 def m_step(resp: DataFrame, var_floor: float = 0.0) -> DataFrame:
-    """The next model: weights are mean responsibilities, variances E[x2] - mu2, not below ``var_floor``."""
+    """The next model: weights are mean responsibilities, variances E[x2] - mu2, not below ``var_floor``; loglik is that of the old model."""
     r = F.exp("logp")
-    per_dim = resp.select("speaker", "m", r.alias("r"), F.posexplode("x").alias("dim", "x"))
-    sums = per_dim.groupBy("speaker", "m", "dim").agg(F.sum("r").alias("r"), F.sum(F.col("r") * F.col("x")).alias("rx"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("rxx"), F.count("*").alias("n"))
+    per_dim = resp.select("speaker", "m", "loglik", r.alias("r"), F.posexplode("x").alias("dim", "x"))
+    sums = per_dim.groupBy("speaker", "m", "dim").agg(
+        F.sum("r").alias("r"), F.sum(F.col("r") * F.col("x")).alias("rx"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("rxx"), F.count("*").alias("n"), F.sum("loglik").alias("loglik")
+    )
     mu = F.try_divide(F.col("rx"), F.col("r"))
-    dims = sums.select("speaker", "m", "dim", F.try_divide(F.col("r"), F.col("n")).alias("w"), mu.alias("mu"), F.greatest(F.try_divide(F.col("rxx"), F.col("r")) - mu * mu, F.lit(var_floor)).alias("var"))
-    packed = dims.groupBy("speaker", "m").agg(F.first("w").alias("w"), F.sort_array(F.collect_list(F.struct("dim", "mu", "var"))).alias("d"))
-    return packed.select("speaker", "m", "w", F.transform("d", lambda s: s["mu"]).alias("mu"), F.transform("d", lambda s: s["var"]).alias("var"))
+    dims = sums.select("speaker", "m", "dim", "loglik", F.try_divide(F.col("r"), F.col("n")).alias("w"), mu.alias("mu"), F.greatest(F.try_divide(F.col("rxx"), F.col("r")) - mu * mu, F.lit(var_floor)).alias("var"))
+    whole = dims.groupBy("speaker", "m").agg(F.max(F.struct("dim", "w", "loglik")).alias("any"), F.sort_array(F.collect_list(F.struct("dim", "mu", "var"))).alias("d"))
+    return whole.select("speaker", "m", "any.w", F.transform("d", lambda s: s["mu"]).alias("mu"), F.transform("d", lambda s: s["var"]).alias("var"), "any.loglik")
+
+
+def initial_model(frames: DataFrame, id_: str, m: int = 8, seed: int = 401) -> DataFrame:
+    """Means are frames drawn by hash, with replacement; weights and variances come from hashes."""
+    unit = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+    drawn = frames.groupBy(F.col("speaker").cast("string").alias("speaker")).agg(*(F.min_by("x", F.struct(F.xxhash64(F.lit(seed), F.lit(k), F.col(id_)), F.col(id_), F.col("x"))).alias(f"x{k}") for k in range(m)))
+    each = drawn.select("speaker", F.posexplode(F.array(*(f"x{k}" for k in range(m)))).alias("m", "mu"))
+    w = unit(F.lit("w"), "speaker", "m")
+    return each.select("speaker", "m", (w / F.sum(w).over(Window.partitionBy("speaker"))).alias("w"), "mu", F.transform("mu", lambda _, i: unit(F.lit("v"), F.col("speaker"), F.col("m"), i)).alias("var"))
+
+
+def train_in_steps(frames: DataFrame, model: DataFrame, max_iter: int = 20, epsilon: float = 0.0, var_floor: float = 0.0) -> DataFrame:
+    """``train`` from a first ``model`` by aggregates over all tasks, for speakers of any size.
+
+    As there, max_iter + 1 passes at most, and a speaker rests once its last
+    gain was below epsilon. Each pass reads the frames once; the model, some
+    rows a speaker, is checkpointed in the shared folder.
+    """
+    cut_folder(frames.sparkSession)
+    names = [c.split()[0] for c in MODEL.split(", ")]
+    model = model.select(*names, F.lit(NEG_INF).alias("loglik"), F.lit(float("inf")).alias("gain"))
+    frames = frames.select(F.col("speaker").cast("string").alias("speaker"), "x")
+    for _ in range(max_iter + 1):
+        model = model.checkpoint()
+        live, rest = model.where(F.col("gain") >= epsilon), model.where(F.col("gain") < epsilon)
+        if live.isEmpty():
+            break
+        before = live.groupBy("speaker").agg(F.max("loglik").alias("before"))
+        done = m_step(responsibilities(frames, live.select(*names)), var_floor).join(before, "speaker")
+        gain = F.coalesce(nan_low(F.col("loglik") - F.col("before")), F.lit(NEG_INF))
+        model = done.select(*names, "loglik", gain.alias("gain")).unionByName(rest)
+    return model.select(*names)
 
 
 def log_b(x: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
@@ -75,7 +121,7 @@ def fit(x: np.ndarray, m: int, max_iter: int, epsilon: float, seed: int, var_flo
 def train(frames: DataFrame, m: int = 8, max_iter: int = 20, epsilon: float = 0.0, seed: int = 401, var_floor: float = 0.0) -> DataFrame:
     """A mixture for each speaker of ``frames`` (speaker, x). Speakers are independent; one speaker's frames meet in one task.
 
-    For a speaker whose frames don't fit a task, iterate ``responsibilities`` and ``m_step``.
+    For speakers whose frames don't fit a task there is ``train_in_steps``.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,9 +147,10 @@ def identify(tests: DataFrame, model: DataFrame, k: int = 1) -> DataFrame:
     NaN likelihoods rank last; ties by speaker.
     """
     small = model.count() <= MOST_MODELS
-    scored = tests.join(F.broadcast(model) if small else model)
-    joint = safe_ln(F.col("w")) + log_density(F.col("x"), F.col("mu"), F.col("var"))
-    frames = scored.groupBy("truth", "utt", "x", "speaker").agg(log_sum_exp(F.collect_list(joint)).alias("ll"))
+    mixes = packed(model)
+    scored = tests.crossJoin(F.broadcast(mixes) if small else mixes)
+    joint = F.transform("parts", lambda p: safe_ln(p["w"]) + log_density(F.col("x"), p["mu"], p["var"]))
+    frames = scored.select("truth", "utt", "speaker", log_sum_exp(joint).alias("ll"))
     total = frames.groupBy("truth", "utt", "speaker").agg(F.coalesce(nan_low(F.sum("ll")), F.lit(NEG_INF)).alias("loglik"))
     rank = F.row_number().over(Window.partitionBy("truth", "utt").orderBy(F.col("loglik").desc(), "speaker"))
     out = total.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -374,6 +374,12 @@ def gmm_train(spark, d):
     return mixtures.train(frames(spark, d), m=2, max_iter=5, var_floor=1e-3).select("speaker", "m", "w")
 
 
+@query
+def gmm_train_in_steps(spark, d):
+    f = frames(spark, d)
+    return mixtures.train_in_steps(f, mixtures.initial_model(f, "id", 2), 3, var_floor=1e-3).select("speaker", "m", "w")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of held-out English documents under an add-delta bigram model."""
     return language_model.perplexity(scores(spark, sf_dir, (0.01,)), ("lang",)).where("lang = 'en'")

@@ -147,6 +147,23 @@ r AS (SELECT *, exp(joint - loglik) AS p FROM t)"""
 
 HASH = "('0x' || substr(md5('401|' || doc_id), 1, 8))::BIGINT"
 
+COST, LOW = 1 << 42, (1 << 21) - 1
+#: The edit table by diagonals: a cell holds cost, substitutions and insertions in one number; place i + 1 of a diagonal is row i.
+WORD_ERRORS = f"""WITH RECURSIVE {TURNS},
+pr AS (SELECT conv_id, turn, list_transform(a, lambda x: hash(x)) AS r, list_transform(b, lambda x: hash(x)) AS h FROM turns WHERE b IS NOT NULL),
+d AS (
+  SELECT conv_id, turn, r, h, 0 AS k, []::BIGINT[] AS older, [0::BIGINT] || list_transform(r, lambda x: NULL::BIGINT) AS cells FROM pr
+  UNION ALL
+  SELECT conv_id, turn, r, h, k + 1, cells, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN k + 1 - i BETWEEN 0 AND len(h) THEN
+    CASE WHEN i > 0 AND coalesce(cells[i] // {COST} <= least(cells[i + 1] // {COST}, older[i] // {COST} + (r[i] <> h[k + 1 - i])::INT - 1), true) THEN cells[i] + {COST}
+    WHEN i = 0 OR coalesce(cells[i + 1] // {COST} + 1 <= older[i] // {COST} + (r[i] <> h[k + 1 - i])::INT, false) THEN cells[i + 1] + {COST + 1}
+    ELSE older[i] + (r[i] <> h[k + 1 - i])::INT * {COST + LOW + 1} END END)
+  FROM d WHERE k < len(r) + len(h)),
+e AS (SELECT conv_id, turn, cells[len(r) + 1] AS c, len(r) AS n_ref FROM d WHERE k = len(r) + len(h)),
+we AS (
+  SELECT conv_id, turn, (c // {LOW + 1}) & {LOW} AS s, c & {LOW} AS i, c // {COST} - ((c // {LOW + 1}) & {LOW}) - (c & {LOW}) AS d, n_ref,
+    CASE WHEN n_ref = 0 THEN 'inf'::DOUBLE ELSE (c // {COST}) / n_ref::DOUBLE END AS wer FROM e)"""
+
 SQL: dict[str, str] = {
     "text_newline_strip": f"SELECT doc_id, md5({STRIP.format('replace(text, chr(10), chr(32))')}) AS body_md5 FROM documents",
     "text_url_strip": f"SELECT page_id, md5(regexp_replace(html, {q(URL)}, ' ', 'g')) AS body_md5 FROM pages",
@@ -157,7 +174,7 @@ SQL: dict[str, str] = {
     "ngram_bi_counts": f"WITH {LINES} SELECT lang, b[1] AS w1, b[2] AS w2, count(*) AS n FROM (SELECT lang, unnest({grams('toks', 2)}) AS b FROM lines) GROUP BY ALL",
     "lm_sentence_logprob": SCORED.replace("%DELTAS%", "0.01") + " SELECT lang, doc_id, line_no::INT AS line_no, n_tokens, round(logprob, 6) AS logprob FROM scores",
     "lm_perplexity_sweep": SCORED.replace("%DELTAS%", "0, 0.0001, 0.001, 0.01, 0.1, 1")
-    + " SELECT lang, delta, count_if(NOT bad) AS sentences, coalesce(sum(n_tokens) FILTER (NOT bad), 0)::BIGINT AS tokens, round(CASE WHEN count_if(NOT bad) = 0 THEN 0.0 ELSE pow(2, -sum(logprob) FILTER (NOT bad) / sum(n_tokens) FILTER (NOT bad)) END, 4) AS perplexity FROM scores GROUP BY lang, delta",
+    + " SELECT lang, delta, count_if(NOT bad)::BIGINT AS sentences, coalesce(sum(n_tokens) FILTER (NOT bad), 0)::BIGINT AS tokens, round(CASE WHEN count_if(NOT bad) = 0 THEN 0.0 ELSE pow(2, -sum(logprob) FILTER (NOT bad) / sum(n_tokens) FILTER (NOT bad)) END, 4) AS perplexity FROM scores GROUP BY lang, delta",
     "cooc_pairs": f"WITH {BITEXT} SELECT pid, count(*) AS n, sum(ce)::BIGINT AS ce FROM cooc GROUP BY pid",
     "ibm1_init": f"WITH {BITEXT} SELECT e, count(*) AS n_f, round(max(p), 6) AS p FROM m0 GROUP BY e",
     "ibm1_em_step": em_query(1),
@@ -166,6 +183,8 @@ SQL: dict[str, str] = {
     "bleu_precision": f"WITH {BLEU_ROWS} SELECT conv_id, turn, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3 FROM x",
     "bleu_brevity": f"WITH {BLEU_ROWS} SELECT conv_id, turn, round({BREVITY}, 6) AS bp FROM x",
     "bleu_combined": f"WITH {BLEU_ROWS} SELECT conv_id, turn, {bleu(1)}, {bleu(2)}, {bleu(3)} FROM x",
+    "wer_lines": f"{WORD_ERRORS} SELECT conv_id, turn, s, i, d, n_ref, round(wer, 6) AS wer FROM we",
+    "wer_summary": f"{WORD_ERRORS} SELECT turn = 0 AS first_turn, count(*) AS n_lines, round(avg(wer), 6) AS mean_wer, round(stddev_pop(wer), 6) AS std_wer FROM we GROUP BY ALL",
     "feat_native": FEATURES,
     "feat_lexicon_stats": f"WITH {LEXICON}, t AS (SELECT doc_id AS id, lower(unnest({toks('text')})) AS word FROM documents) SELECT id, "
     + ", ".join(f"round(coalesce(avg({c}), 0.0), 6) AS mean_{c}, round(coalesce(stddev_pop({c}), 0.0), 6) AS std_{c}" for c in ("aoa", "img", "fam"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +14,10 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def cut_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the session names in spark.checkpoint.dir; only where it names none, as in tests, to one of our own."""
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="glossa-"))

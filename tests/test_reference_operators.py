@@ -233,3 +233,36 @@ def test_mixtures(spark):
     got = mixtures.identify(many.select(F.col("speaker").alias("truth"), F.monotonically_increasing_id().alias("utt"), "x"), trained, 1)
     assert got.agg(F.avg(F.col("correct").cast("double"))).first()[0] > 0.95
     assert mixtures.hold_out(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "speaker string, id long"), "id").where("test").count() == 2
+
+
+def test_mixtures_of_equal_frames(spark):
+    """Equal frames of an utterance count each; no key is needed to tell frames apart."""
+    model = spark.createDataFrame([("s", 0, 0.4, [0.0], [1.0]), ("s", 1, 0.6, [1.0], [0.5])], mixtures.MODEL)
+    tests = spark.createDataFrame([("s", 1, [0.5])] * 3 + [("s", 2, [0.5])], "truth string, utt long, x array<double>")
+    ll = {r.utt: r.loglik for r in mixtures.identify(tests, model).collect()}
+    assert abs(ll[1] - 3 * ll[2]) < 1e-9
+    resp = mixtures.responsibilities(tests.select(F.col("truth").alias("speaker"), "x"), model).collect()
+    assert len(resp) == 8 and all(abs(r.loglik - ll[2]) < 1e-9 for r in resp)
+
+
+def test_mixtures_in_steps(spark):
+    r = np.random.default_rng(4)
+    data = {s: r.normal(3 * (np.arange(60) % 2)[:, None] + s, 1, (60, 2)) for s in range(2)}
+    rows = [(i, str(s), [float(v) for v in x]) for s, xs in data.items() for i, x in enumerate(xs)]
+    frames = spark.createDataFrame(rows, "id long, speaker string, x array<double>")
+    first = mixtures.initial_model(frames, "id", 2)
+    start = {(x.speaker, x.m): x for x in first.collect()}
+    assert {round(sum(start[s, m].w for m in range(2)), 9) for s in "01"} == {1.0} and all(0 < v <= 1 for x in start.values() for v in x["var"])
+    got = {(x.speaker, x.m): x for x in mixtures.train_in_steps(frames, first, 3, var_floor=1e-3).collect()}
+    for s, x in data.items():
+        w, mu, var = (np.array([start[str(s), m][c] for m in range(2)]) for c in ("w", "mu", "var"))
+        for _ in range(4):
+            joint = np.log(w) + mixtures.log_b(x, mu, var)
+            p = np.exp(joint - np.logaddexp.reduce(joint, axis=1, keepdims=True))
+            w, mu = p.mean(axis=0), (p.T @ x) / p.sum(axis=0)[:, None]
+            var = np.maximum((p.T @ x**2) / p.sum(axis=0)[:, None] - mu**2, 1e-3)
+        for m in range(2):
+            assert np.allclose([got[str(s), m].w, *got[str(s), m].mu, *got[str(s), m]["var"]], [w[m], *mu[m], *var[m]])
+    once = mixtures.train_in_steps(frames, first, 9, epsilon=math.inf).collect()
+    assert len(once) == 4 and all(x.w == x.w for x in once)
+    assert mixtures.train_in_steps(frames.limit(0), first.limit(0), 2).count() == 0
