@@ -30,6 +30,9 @@ STEADY = 50
 #: The bound is this often the distance between the median and the quartile, if that is more.
 SPREAD = 5
 
+#: Groups whose thresholds (some 100 bytes each) go to every task; more are joined over salted keys.
+MOST_GROUPS, SALTS = 100_000, 64
+
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -133,10 +136,16 @@ def group_keys() -> list:
 
 
 def judge(stats: DataFrame) -> DataFrame:
-    """``stats`` with base_failed, kept and the thresholds used."""
-    limits = thresholds(sketches(stats))
-    keyed = stats.select("*", *group_keys())
-    s = keyed.join(limits, ["lang_key", "source_key"], "left").drop("lang_key", "source_key")
+    """``stats`` with base_failed, kept and the thresholds used; a group may hold any share of the rows."""
+    limits = keep(thresholds(sketches(stats)), "limits")
+    on, keyed = ["lang_key", "source_key"], stats.select("*", *group_keys())
+    if limits.count() <= MOST_GROUPS:
+        limits = F.broadcast(limits)
+    else:
+        on = [*on, "salt"]
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
+        limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    s = keyed.join(limits, on, "left").drop(*on)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     per_word = {"mean_chars": "word_chars * 100", "symbols": "n_symbols * 1000", "dup_lines": "n_dup_lines * 1000"}
     fine = F.lit(True)

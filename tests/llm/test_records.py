@@ -160,6 +160,15 @@ def test_quality(spark):
     assert quality(frame(spark, [])).count() == 0
 
 
+def test_quality_of_many_groups(spark, monkeypatch):
+    """Salted thresholds give the rows that broadcast ones give; a group holds most rows."""
+    rows = [(i, " ".join(["word", "other", "third"][(i + j) % 3] * (1 + j % 4) for j in range(12 + i % 30)), "en", "hot" if i % 5 else f"s{i % 7}") for i in range(200)] + [(None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    few = sorted(map(repr, quality(docs).collect()))
+    monkeypatch.setattr("glossa.llm.quality.MOST_GROUPS", 0)
+    assert sorted(map(repr, quality(docs).collect())) == few and len(few) == 202
+
+
 def test_quality_thresholds_follow_the_group(spark):
     """Long words are usual in one language and odd in the other."""
     r = random.Random(3)
