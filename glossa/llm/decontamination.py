@@ -29,6 +29,8 @@ EDITS = 5
 REPEATS, SAMPLE = 24, 2
 #: Bytes of benchmark text that go to each task at once; more items take further passes.
 BLOCK = 4 << 20
+#: Windows that are compared at once: a piece may stand in many items and often in a text.
+MOST_HITS = 1 << 18
 
 
 class Items:
@@ -52,25 +54,27 @@ class Items:
         for size, rows in found.items():
             rows.sort()
             self.pieces[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        longest = int(self.lengths.max(initial=0))
-        self.table = np.zeros((len(self.words), longest + 1), np.uint64)
-        for k, h in enumerate(self.words):
-            self.table[k, : len(h)] = h
-        rng = np.random.Generator(np.random.PCG64(5))
-        self.seeds = rng.integers(0, 2**63, (REPEATS, 2 * longest + 1), dtype=np.uint64)
-        self.places = rng.random((REPEATS, SAMPLE))
-        self.codes = [self.embed(r, self.table, self.lengths) for r in range(REPEATS)]
-
-    def embed(self, r: int, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The words of walk r over each row at its sampled places, which are a share of twice the item's length."""
+        self.places = np.random.Generator(np.random.PCG64(5)).random((REPEATS, SAMPLE))
+        flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        stops = np.cumsum(self.lengths)
+        self.codes = [self.embed(r, flat, stops - self.lengths, stops, self.lengths) for r in range(REPEATS)]
+
+    def embed(self, r: int, source: np.ndarray, first: np.ndarray, stop: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The words of walk r over each stretch of ``source`` at its sampled places, which are a share of twice the item's length n."""
         at = (self.places[r][None, :] * 2 * n[:, None]).astype(np.int64)
-        out = np.zeros(at.shape, np.uint64)
-        i, all_ = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        for step in range(int(at.max(initial=-1)) + 1):
-            word = rows[all_, i]
-            hit = at == step
-            out[hit] = np.broadcast_to(word[:, None], at.shape)[hit]
-            i = np.minimum(i + (scan.mix(word ^ self.seeds[r, step]) & scan.U(1)).astype(np.int64), rows.shape[1] - 1)
+        order = np.argsort(-at.max(axis=1, initial=-1))
+        at, first, stop = at[order], first[order], stop[order]
+        last = at.max(axis=1, initial=-1)
+        walked, i = np.zeros(at.shape, np.uint64), np.zeros(len(at), np.int64)
+        for step in range(int(last.max(initial=-1)) + 1):
+            live = int(np.searchsorted(-last, -step, "right"))
+            place = first[:live] + i[:live]
+            word = np.where(place < stop[:live], source[np.minimum(place, len(source) - 1)], scan.U(0))
+            hit = at[:live] == step
+            walked[:live][hit] = np.broadcast_to(word[:, None], hit.shape)[hit]
+            i[:live] += (scan.mix(word ^ scan.mix(np.array([r << 32 | step], np.uint64))) & scan.U(1)).astype(np.int64)
+        out = np.empty_like(walked)
+        out[order] = walked
         return out
 
 
@@ -90,36 +94,15 @@ def least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 def search(items: Items):
     """(did, th, text) to (did, th, item_id, start, n_words, edits): a row for each item in a text, at its best place."""
 
-    def in_chunk(offs: np.ndarray, data: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-        _, _, h, own = scan.words(data, offs, fold_case=True)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        begins = np.searchsorted(own, np.arange(len(offs) - 1))
-        ends = np.searchsorted(own, np.arange(len(offs) - 1), "right")
-        found = []
-        for size, (keys, item, place) in items.pieces.items():
-            g = scan.grams(h, size)
-            if not len(g):
-                continue
-            lo = np.searchsorted(keys, g)
-            at = np.flatnonzero((keys[np.minimum(lo, len(keys) - 1)] == g) & (own[: len(g)] == own[size - 1 :][: len(g)]))
-            n = np.searchsorted(keys, g[at], "right") - lo[at]
-            which = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pos = np.repeat(at, n)
-            found.append(np.stack([own[pos], item[which], pos - place[which]], axis=1))
-        if not found:
-            return best
-        hits = np.unique(np.concatenate(found), axis=0)
+    def compare(hits: np.ndarray, h: np.ndarray, begins: np.ndarray, ends: np.ndarray, best: dict[tuple[int, int], tuple[int, int]]) -> None:
         for a in range(0, len(hits), 16384):
             doc, item, start = hits[a : a + 16384].T
             n = items.lengths[item]
             first = np.maximum(start, begins[doc])
-            cols = np.arange(items.table.shape[1])
-            at = first[:, None] + cols
-            inside = (cols < n[:, None]) & (at < ends[doc][:, None])
-            rows = np.where(inside, h[np.minimum(at, len(h) - 1)], scan.U(0))
+            stop = np.minimum(first + n, ends[doc])
             near = np.zeros(len(doc), bool)
             for r in range(REPEATS):
-                near |= (items.embed(r, rows, n) == items.codes[r][item]).all(axis=1)
+                near |= (items.embed(r, h, first, stop, n) == items.codes[r][item]).all(axis=1)
             for d, k, s in zip(doc[near].tolist(), item[near].tolist(), start[near].tolist(), strict=True):
                 if best.get((d, k), (1, 0))[0] == 0:
                     continue
@@ -128,6 +111,28 @@ def search(items: Items):
                 edits, _ = least_edits(items.words[k], h[lo:hi])
                 if edits <= most and edits < best.get((d, k), (most + 1, 0))[0]:
                     best[(d, k)] = (edits, max(0, s - int(begins[d])))
+
+    def in_chunk(offs: np.ndarray, data: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        _, _, h, own = scan.words(data, offs, fold_case=True)
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        begins = np.searchsorted(own, np.arange(len(offs) - 1))
+        ends = np.searchsorted(own, np.arange(len(offs) - 1), "right")
+        for size, (keys, item, place) in items.pieces.items():
+            g = scan.grams(h, size)
+            if not len(g):
+                continue
+            lo = np.searchsorted(keys, g)
+            at = np.flatnonzero((keys[np.minimum(lo, len(keys) - 1)] == g) & (own[: len(g)] == own[size - 1 :][: len(g)]))
+            n = np.searchsorted(keys, g[at], "right") - lo[at]
+            upto = np.cumsum(n)
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] - n[a] + MOST_HITS, "right")))
+                m = n[a:b]
+                which = np.repeat(lo[at[a:b]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                pos = np.repeat(at[a:b], m)
+                compare(np.unique(np.stack([own[pos], item[which], pos - place[which]], axis=1), axis=0), h, begins, ends, best)
+                a = b
         return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

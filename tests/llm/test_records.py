@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,22 @@ def test_leaks(spark, monkeypatch):
     assert decontamination.found_items(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_long_and_common_items(monkeypatch):
+    """A very long item takes no more room beside short ones; pieces that many items share are compared in parts, with one result."""
+    r = random.Random(8)
+    common = "a piece of many items stands here"
+    items = [(i, f"{common} {' '.join(f'w{r.randrange(500)}' for _ in range(14))}") for i in range(60)] + [(99, " ".join(f"l{i}" for i in range(3_000)))]
+    texts = [" ".join([common] * 300 + [items[7][1]] + [common] * 300), " ".join(f"l{i}" for i in range(3_000)), common, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([0] * 4, pa.int32()), pa.array(texts)], ["did", "th", "text"])
+    whole = decontamination.Items(items[:-1])
+    table = [next(decontamination.search(whole)(iter([batch]))).to_pylist()]
+    monkeypatch.setattr(decontamination, "MOST_HITS", 64)
+    table.append(next(decontamination.search(whole)(iter([batch]))).to_pylist())
+    assert table[0] == table[1] and [(x["did"], x["item_id"], x["edits"]) for x in table[0]] == [(0, 7, 0)]
+    longest = decontamination.Items(items[-1:] + items[:3])
+    assert [len(c) for c in longest.codes] == [4] * decontamination.REPEATS and sum(h.nbytes for h in longest.words) < 1 << 16
+
+
 # Mixing
 
 
