@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from glossa.llm import scan
 from glossa.llm.components import components
 from glossa.llm.sketches import bands, fast_sketches, short
-from glossa.llm.store import discard, doc_id_back, keep, keyed
+from glossa.llm.store import discard, doc_id_back, keep, keyed, small_batches
 
 SHINGLE = 5
 
@@ -91,6 +91,8 @@ def close_sketches(least: float):
 
 #: Members of a bucket on each side of a cell.
 BLOCK = 128
+#: Rows of an Arrow batch: of texts, and of sets in cells, each of which may be long.
+TEXTS, SETS = 1024, 256
 
 
 def cell_links(percent: int):
@@ -150,7 +152,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
     component help.
     """
     d = keyed(docs)
-    sig = keep(d.mapInArrow(signatures(k, rows, n_bands), "did long, th int, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"), "signatures")
+    spark = docs.sparkSession
+    with small_batches(spark, TEXTS):
+        sig = keep(d.mapInArrow(signatures(k, rows, n_bands), "did long, th int, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"), "signatures")
     node = F.struct("did", "th")
     classes = sig.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(node).alias("rep"))
     reps = classes.select("rep.did", "rep.th")
@@ -164,7 +168,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
     names = shared.select("node.did", "node.th").distinct()
     brief = own.join(names, ["did", "th"], "left_semi").select("did", "th", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["did", "th"])
     brief = keep(brief, "brief")
-    sets = keep(d.join(names, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).mapInArrow(full_sets(k), "did long, th int, items array<long>"), "sets")
+    with small_batches(spark, TEXTS):
+        sets = keep(d.join(names, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).mapInArrow(full_sets(k), "did long, th int, items array<long>"), "sets")
 
     def pairs_of(x: DataFrame) -> DataFrame:
         return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.col("a.did").alias("a"), F.col("a.th").alias("at"), F.col("b.did").alias("b"), F.col("b.th").alias("bt"))
@@ -200,12 +205,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
     cells = cells.select(F.xxhash64("bucket", row, column).alias("cell"), F.col("s.left").alias("left"), "label", "bucket", F.col("member.did").alias("did"), F.col("member.th").alias("th"))
     full = brief.select("did", "th", "sketch").join(sets, ["did", "th"]).join(own.select("did", "th", "bands").dropDuplicates(["did", "th"]), ["did", "th"])
     cells = cells.join(full, ["did", "th"]).select("cell", "left", "label", "bucket", "did", "th", "sketch", "bands", "items")
-    found2 = cells.repartition("cell").sortWithinPartitions("cell", "bucket", "left").mapInArrow(cell_links(percent), "u long, v long")
+    with small_batches(spark, SETS):
+        found2 = keep(cells.repartition("cell").sortWithinPartitions("cell", "bucket", "left").mapInArrow(cell_links(percent), "u long, v long"), "more-links")
     label2 = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found2))
     of_class = keep(
         classes.select("d1", "d2", F.col("rep.did").alias("node"), F.col("rep.th").alias("rep_th")).join(label2, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), F.col("node"), "rep_th"), "classes"
     )
-    discard(found, label, shared, brief, sets)
+    discard(found, found2, label, shared, brief, sets)
     out = sig.select("did", "th", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     component = F.coalesce("label", "did")
     return out.select(
