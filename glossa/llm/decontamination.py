@@ -9,7 +9,9 @@ embeds window and item (Chakraborty, Goldenberg, Koucky, 2016): at each step
 the current word is put out and a shared random bit of step and word decides
 whether to go on to the next, which turns few edits into few unequal places. In
 each of ``REPEATS`` walks a sample of places must agree; a window that agrees
-in any is compared exactly.
+in any is compared exactly first. The walks lose windows of long items, so they
+only give the order: the other windows are compared exactly too, unless so few
+of their words are the item's that too many edits are certain.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ REPEATS, SAMPLE = 24, 2
 BLOCK = 4 << 20
 #: Windows that are compared at once: a piece may stand in many items and often in a text.
 MOST_HITS = 1 << 18
+#: Words of windows that are counted at once.
+MOST_WORDS = 1 << 21
 
 
 class Items:
@@ -57,8 +61,29 @@ class Items:
         self.places = np.random.Generator(np.random.PCG64(5)).random((REPEATS, SAMPLE))
         flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
         stops = np.cumsum(self.lengths)
+        owner = np.repeat(np.arange(len(self.words)), self.lengths)
+        self.own_words = np.zeros(1 << (16 * len(flat) + 1).bit_length(), bool)
+        self.own_words[self.slots(flat, owner)] = True
         self.codes = [self.embed(r, flat, stops - self.lengths, stops, self.lengths) for r in range(REPEATS)]
 
+    def slots(self, words: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The places of words of items in ``own_words``; words of other items may share them, so counts are never too small."""
+        return (scan.mix(words ^ scan.mix(item.astype(np.uint64) + scan.U(1))) & scan.U(len(self.own_words) - 1)).astype(np.int64)
+
+    def may_hold(self, item: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether h[lo:hi] has enough words of the item, one for each that at most a fifth of edits leaves."""
+        out, upto, a = np.zeros(len(item), bool), np.cumsum(hi - lo), 0
+        while a < len(item):
+            size = (hi - lo)[a]
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] - size + MOST_WORDS, "right")))
+            sizes = (hi - lo)[a:b]
+            first = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(lo[a:b] - first, sizes)
+            found = np.add.reduceat(self.own_words[self.slots(h[at], np.repeat(item[a:b], sizes))], first, dtype=np.int64)
+            out[a:b] = found >= self.lengths[item[a:b]] - self.lengths[item[a:b]] // EDITS
+            a = b
+        return out
+
     def embed(self, r: int, source: np.ndarray, first: np.ndarray, stop: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The words of walk r over each stretch of ``source`` at its sampled places, which are a share of twice the item's length n."""
         at = (self.places[r][None, :] * 2 * n[:, None]).astype(np.int64)
@@ -98,19 +123,36 @@ def search(items: Items):
         for a in range(0, len(hits), 16384):
             doc, item, start = hits[a : a + 16384].T
             n = items.lengths[item]
+            lo, hi = np.maximum(begins[doc], start - n // EDITS), np.minimum(ends[doc], start + n + 2 * (n // EDITS))
+            likely = items.may_hold(item, h, lo, hi)
+            doc, item, start, n, lo, hi = (x[likely] for x in (doc, item, start, n, lo, hi))
             first = np.maximum(start, begins[doc])
             stop = np.minimum(first + n, ends[doc])
             near = np.zeros(len(doc), bool)
             for r in range(REPEATS):
                 near |= (items.embed(r, h, first, stop, n) == items.codes[r][item]).all(axis=1)
-            for d, k, s in zip(doc[near].tolist(), item[near].tolist(), start[near].tolist(), strict=True):
+            for d, k, s, x, y in zip(*(c[near].tolist() for c in (doc, item, start, lo, hi)), strict=True):
                 if best.get((d, k), (1, 0))[0] == 0:
                     continue
                 most = int(items.lengths[k]) // EDITS
-                lo, hi = max(int(begins[d]), s - most), min(int(ends[d]), s + int(items.lengths[k]) + 2 * most)
-                edits, _ = least_edits(items.words[k], h[lo:hi])
+                edits, _ = least_edits(items.words[k], h[x:y])
                 if edits <= most and edits < best.get((d, k), (most + 1, 0))[0]:
                     best[(d, k)] = (edits, max(0, s - int(begins[d])))
+            # what no walk found: overlapping windows of one text and item as one stretch
+            stretches: list[list[int]] = []
+            for d, k, x, y in zip(*(c[~near].tolist() for c in (doc, item, lo, hi)), strict=True):
+                if stretches and stretches[-1][:2] == [d, k] and x <= stretches[-1][3]:
+                    stretches[-1][3] = max(y, stretches[-1][3])
+                else:
+                    stretches.append([d, k, x, y])
+            for d, k, x, y in stretches:
+                if best.get((d, k), (1, 0))[0] == 0:
+                    continue
+                most = int(items.lengths[k]) // EDITS
+                edits, end = least_edits(items.words[k], h[x:y])
+                if edits <= most and edits < best.get((d, k), (most + 1, 0))[0]:
+                    _, size = least_edits(items.words[k][::-1], h[x : x + end][::-1])
+                    best[(d, k)] = (edits, x + end - size - int(begins[d]))
 
     def in_chunk(offs: np.ndarray, data: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         _, _, h, own = scan.words(data, offs, fold_case=True)
@@ -152,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(did, th, item_id, start, n_words, edits) for each row of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) it holds.
 
     edits: word edits to the best part of the text, at most a fifth of the
-    item's n_words; start: the word where the best window begins. Items without
+    item's n_words; start: the word where the best window begins. None is missed. Items without
     words (null, empty) are found nowhere; items shorter than 5 words must
     stand unchanged. The benchmark goes to the tasks in blocks of bounded size.
     Null text: no rows. Empty tables: no rows. Other columns are ignored.

@@ -247,6 +247,28 @@ def test_decontamination_of_long_and_common_items(monkeypatch):
     assert [len(c) for c in longest.codes] == [4] * decontamination.REPEATS and sum(h.nbytes for h in longest.words) < 1 << 16
 
 
+def test_leaks_of_long_items_at_the_most_edits():
+    r = random.Random(11)
+
+    def other():
+        return f"x{r.randrange(10**6)}"
+
+    for n in (40, 60, 100, 200, 400):
+        items = [(i, " ".join(f"w{r.randrange(3_000)}" for _ in range(n))) for i in range(12)]
+        texts, want = [], []
+        for kind in range(3):
+            for i, t in items:
+                w = t.split()
+                for k in sorted(r.sample(range(n), n // 5), reverse=True):
+                    w[k : k + 1] = [[other()], [w[k], other()], []][kind]
+                want.append((len(texts), i))
+                texts.append(" ".join([other() for _ in range(r.randrange(90))] + w + [other() for _ in range(r.randrange(90))]))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(texts)], ["did", "th", "text"])
+        rows = [x for b in decontamination.search(decontamination.Items(items))(iter([batch])) for x in b.to_pylist()]
+        assert sorted((x["did"], x["item_id"]) for x in rows) == want, n
+        assert all(0 < x["edits"] <= n // 5 and 0 <= x["start"] < 90 + n // 5 for x in rows)
+
+
 # Mixing
 
 
