@@ -15,7 +15,7 @@ from glossa.llm.mixing import mix
 from glossa.llm.near_duplicates import near_duplicates
 from glossa.llm.quality import good_documents
 from glossa.llm.sharding import assign, even_map, map_table
-from glossa.llm.store import discard, keep, row_key
+from glossa.llm.store import NO_ID, discard, keep
 
 SHARDS = 40
 
@@ -26,11 +26,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8): the one with the least doc_id; repeated rows go."""
-    kept = near_duplicates(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), "th").distinct()
-    first = kept.groupBy("did").agg(F.min("th").alias("th"))
-    rows = docs.select(*row_key(), F.struct("*").alias("row")).join(first, ["did", "th"], "left_semi")
-    return rows.dropDuplicates(["did", "th"]).select("row.*")
+    """One document of each group of near copies (five words, 0.8): the one with the least doc_id; repeated rows go.
+
+    Groups are of rows, by doc_id and text: rows that share a doc_id, or have
+    none, stay unless their texts are near copies or both equal.
+    """
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce("text", F.lit("")), F.col("text").isNull())
+    groups = near_duplicates(docs.select(row.alias("doc_id"), "text")).select(F.col("doc_id").alias("row_id"), "component_id").distinct()
+    ids = docs.select(row.alias("row_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")).distinct()
+    first = groups.join(ids, "row_id").groupBy("component_id").agg(F.min_by("row_id", F.struct("did", "row_id")).alias("row_id")).select("row_id")
+    rows = docs.select(row.alias("row_id"), F.struct("*").alias("row")).join(first, "row_id", "left_semi")
+    return rows.dropDuplicates(["row_id"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,15 @@ def test_stages(spark, tmp_path):
         places[r.shard].append(int(r.slot))
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    def words(a, n=40):
+        return " ".join(f"{a}{i}" for i in range(n))
+
+    near = words("b").replace("b39", "other")
+    rows = [(None, words("a")), (None, words("b")), (None, words("c")), (None, words("c")), (7, words("d")), (7, words("e")), (7, words("e")), (3, near), (9, words("d") + " more"), (11, words("f")), (12, words("f")), (None, None), (7, None), (7, ""), (8, "")]
+    docs = frame(spark, [(d, t, "en", "a", *odd_documents()[0][4:]) for d, t in rows])
+    out = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    gone = {(3, near), (9, words("d") + " more"), (12, words("f"))}
+    assert out == Counter(set(rows) - gone)
