@@ -2,7 +2,9 @@
 
 A sketch of a metric is its histogram on a fixed integer grid (thousandths, or
 hundredths of a code point), so sketches merge by adding counts, in any order
-and with one result, and a quantile is off by less than one grid step. Groups
+and with one result, and a quantile is off by less than one grid step. From
+``GRID`` on a step is a power of two, at most one 5,000th of the value, so no
+value is too large for a sketch. Groups
 of few documents use the sketch merged over their language, and languages of
 few documents the one merged over all.
 """
@@ -20,6 +22,7 @@ from glossa.llm import scan
 from glossa.llm.store import keep
 
 SYMBOLS = b"#*$%&|<>"
+#: Values below stand for themselves; beyond, each doubling has GRID / 2 steps.
 GRID = 10_000
 #: Documents that a group needs for thresholds of its own.
 ENOUGH = 30
@@ -96,8 +99,10 @@ def sketches(stats: DataFrame) -> DataFrame:
         "symbols": F.expr("n_symbols * 1000 div n_words"),
         "dup_lines": F.expr("n_dup_lines * 1000 div n_lines"),
     }
-    rows = stats.where("n_words > 0").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.least(v, F.lit(GRID)).cast("int").alias("bucket")) for m, v in value.items()))).alias("v"))
-    return rows.groupBy("lang", "source", "v.metric", "v.bucket").agg(F.count("*").alias("n"))
+    rows = stats.where("n_words > 0").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in value.items()))).alias("v"))
+    step = f"shiftleft(1L, length(bin(v.value div {GRID})))"
+    rows = rows.select("lang", "source", "v.metric", F.expr(f"if(v.value < {GRID}, v.value, v.value - v.value % {step})").alias("bucket"))
+    return rows.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,8 +124,10 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     q = q.withColumn("q", F.when(F.col("o.total") >= ENOUGH, F.col("o")).when(F.col("l.total") >= ENOUGH, F.col("l")).otherwise(F.col("a")))
 
     def bound(below: int | None, above: int | None) -> list:
-        lo = F.lit(None).cast("bigint") if below is None else F.expr(f"greatest({below}, {SPREAD} * (q.q50 - q.q25))")
-        hi = F.lit(None).cast("bigint") if above is None else F.expr(f"greatest({above}, {SPREAD} * (q.q75 - q.q50))")
+        # two grid steps at the median, which count only where it is very large
+        steps = f"q.q50 * 2 div {GRID // 2}"
+        lo = F.lit(None).cast("bigint") if below is None else F.expr(f"greatest({below}, {SPREAD} * (q.q50 - q.q25), {steps})")
+        hi = F.lit(None).cast("bigint") if above is None else F.expr(f"greatest({above}, {SPREAD} * (q.q75 - q.q50), {steps})")
         return [lo, hi]
 
     out = []

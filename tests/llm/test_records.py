@@ -179,6 +179,20 @@ def test_quality_thresholds_follow_the_group(spark):
     assert all(out[i] for i in range(120)) and not out[500] and out[501]
 
 
+def test_quality_of_long_unspaced_words(spark):
+    """One paragraph is a word: its length has no upper end in the sketches; what is far from the group still goes."""
+    r = random.Random(4)
+
+    def text(least, most, n=12):
+        return " ".join("".join(chr(0x4E00 + r.randrange(3_000)) for _ in range(r.randint(least, most))) for _ in range(n))
+
+    rows = [(i, text(130, 170), "zh", "a") for i in range(60)] + [(i, text(85, 125), "th", "a") for i in range(100, 160)]
+    rows += [(i, text(30_000, 30_000, 10), "blob", "a") for i in range(200, 230)]
+    rows += [(900, text(900, 900), "zh", "a"), (901, text(5, 5, 60), "zh", "a"), (902, text(60_000, 60_000, 10), "blob", "a")]
+    out = {x.doc_id: x.kept for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {d for d, kept in out.items() if not kept} == {900, 901, 902}
+
+
 # Decontamination
 
 
