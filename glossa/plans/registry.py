@@ -328,7 +328,7 @@ def classify_compare(spark, d):
     from glossa.operators import classifiers
 
     rows = statistics.train_test(vectors(spark, d), "id").cache()
-    return classifiers.compare(rows.where("not test"), rows.where("test"), ["random_forest"])
+    return classifiers.compare(rows.where("not test"), rows.where("test"))
 
 
 # Gaussian mixtures: labels as speakers; two components by the parity of vec_id

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import comments, guards, text
 from glossa.operators import alignment, classifiers, evaluation, features, language_model, mixtures, statistics
+from glossa.plans import registry
 
 
 def one(spark, column):
@@ -211,6 +212,16 @@ def test_classifiers(spark):
     assert table.count() == 2 and tests.count() == 0
 
 
+def test_classify_compare_fits_all_classifiers(spark, monkeypatch):
+    rows = [(i, i % 2, [float(i % 2) + 0.01 * (i % 7), float(i % 5)]) for i in range(80)]
+    data = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    monkeypatch.setattr("glossa.plans.registry.vectors", lambda spark, d: data)
+    light = {"linear_svm": {"max_iter": 5}, "rbf_svm": {"n_features": 8, "max_iter": 5}, "random_forest": {}, "perceptron": {"hidden": 3, "max_iter": 5}, "ada_boost": {"rounds": 2}}
+    monkeypatch.setattr(classifiers, "CLASSIFIERS", {n: lambda f=f, n=n: f(**light[n]) for n, f in classifiers.CLASSIFIERS.items()})
+    out = registry.queries()["classify_compare"](spark, "").collect()
+    assert {(r.classifier, r.label) for r in out} == {(n, label) for n in light for label in (0, 1)}
+
+
 def test_mixtures(spark):
     rows = [(1, "s", [0.0, 0.0]), (2, "s", [1.0, 0.0]), (3, "s", [2.0, 1.0])]
     frames = spark.createDataFrame(rows, "id long, speaker string, x array<double>")
