@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-WALK = 64
+WALK = 128
 
 # Fixed patterns, in the order of preference.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
@@ -23,9 +23,12 @@ IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d/-])(?:\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-ANY = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
+OTHERS = "|".join((EMAIL, IP, DATE, SSN, PHONE))
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
+#: Digits of a card number, most first.
+CARD_DIGITS = range(19, 12, -1)
+#: The empty place before what may be a card number and is nothing else.
+CARD_START = rf"(?<![\d+])(?!{IP}|{DATE}|{SSN}|{PHONE})(?=\d(?:[ -]?\d){{12,18}}(?!\d))"
 
 
 def number(key: str, *parts: Column, bits: int = 60) -> Column:
@@ -138,11 +141,20 @@ def day(value: Column) -> Column:
 
 
 def date(value: Column, key: str) -> Column:
+    """Dates are permuted among each other, and those that only a month-first reading makes valid among such: so each form is one-to-one."""
+    month_first = F.substr(only_digits(value), F.lit(3), F.lit(2)).cast("int") > 12
+    us = ~value.rlike("^[0-9]{4}") & month_first
+
     def step(x: Column) -> Column:
         return bound(feistel(F.floor(x / 512), x % 512, F.lit(256).cast("long"), F.lit(512).cast("long"), key, F.lit("date")), lambda p: (p["a"] * 512 + p["b"]).cast("long"))
 
-    d = F.date_add(F.lit(FIRST).cast("date"), walk(day(value).cast("long"), step, lambda x: x < DAYS).cast("int"))
-    month_first = F.substr(only_digits(value), F.lit(3), F.lit(2)).cast("int") > 12
+    def inside(x: Column) -> Column:
+        return (x < DAYS) & (~us | (F.day(on(x)) > 12))
+
+    def on(x: Column) -> Column:
+        return F.date_add(F.lit(FIRST).cast("date"), x.cast("int"))
+
+    d = on(walk(day(value).cast("long"), step, inside))
     return bound(d, lambda x: refill(value, F.when(value.rlike("^[0-9]{4}"), F.date_format(x, "yyyyMMdd")).when(month_first, F.date_format(x, "MMddyyyy")).otherwise(F.date_format(x, "ddMMyyyy"))))
 
 
@@ -161,7 +173,6 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(whole(DATE)), F.when(day(value).isNotNull(), F.lit("date")))
         .when(value.rlike(whole(SSN)), F.when(valid_ssn(only_digits(value)), F.lit("ssn")))
         .when(value.rlike(whole(PHONE)), F.lit("phone"))
-        .when(valid_card(value), F.lit("card"))
     )
 
 
@@ -172,6 +183,53 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return c.otherwise(value)
 
 
+def piece(text: Column, kind: Column) -> Column:
+    return F.struct(text.alias("text"), kind.cast("string").alias("kind"))
+
+
+def cards(text: Column) -> Column:
+    """``text`` as pieces (text, kind): cards and what lies between. The leftmost number wins, then the longest, and numbers do not overlap.
+
+    The text is cut at each place where a card may begin; 19 cuts hold any
+    card, whatever digits stand before or after it.
+    """
+
+    def length_at(parts: Column, i: Column) -> Column:
+        return bound(
+            F.substring(F.array_join(F.slice(parts, i + 1, 19), ""), 1, 38),
+            lambda near: F.coalesce(F.length(F.get(F.filter(F.array(*(F.regexp_extract(near, rf"^\d(?:[ -]?\d){{{d - 1}}}(?!\d)", 0) for d in CARD_DIGITS)), lambda x: (x != "") & valid_card(x)), F.lit(0))), F.lit(0)),
+        )
+
+    def chosen(parts: Column) -> Column:
+        each = F.transform(parts, lambda x, i: F.struct(F.length(x).alias("chars"), length_at(parts, i).alias("card")))
+        none = F.array().cast("array<struct<start:int,end:int>>")
+
+        def step(s: Column, x: Column) -> Column:
+            hit = (x["card"] > 0) & (s["at"] >= s["until"])
+            span = F.struct(s["at"].alias("start"), (s["at"] + x["card"]).alias("end"))
+            return F.struct((s["at"] + x["chars"]).cast("int").alias("at"), F.when(hit, span["end"]).otherwise(s["until"]).cast("int").alias("until"), F.when(hit, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+        return F.aggregate(each, F.struct(F.lit(0).alias("at"), F.lit(0).alias("until"), none.alias("spans")), step)["spans"]
+
+    def cut(spans: Column) -> Column:
+        def between(i: Column) -> Column:
+            return F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+
+        inner = F.transform(spans, lambda x, i: F.array(piece(F.substr(text, between(i) + 1, x["start"] - between(i)), F.lit(None)), piece(F.substr(text, x["start"] + 1, x["end"] - x["start"]), F.lit("card"))))
+        last = F.array(piece(F.substr(text, F.coalesce(F.element_at(spans, -1)["end"], F.lit(0)) + 1, F.lit(2**31 - 1)), F.lit(None)))
+        return F.concat(F.flatten(inner), last)
+
+    whole_text = F.array(piece(text, F.lit(None)))
+    return F.when(text.rlike(CARD_START), bound(bound(F.split(text, CARD_START, -1), chosen), lambda s: F.when(F.size(s) == 0, whole_text).otherwise(cut(s)))).otherwise(whole_text)
+
+
+def others(text: Column) -> Column:
+    """``text`` as pieces: addresses, dates, numbers other than cards, and what lies between."""
+    found = F.regexp_extract_all(text, F.lit(f"({OTHERS})"), F.lit(1))
+    pairs = bound(found, lambda vs: F.zip_with(F.split(text, OTHERS, -1), vs, lambda gap, v: F.array(piece(gap, F.lit(None)), piece(F.coalesce(v, F.lit("")), kind_of(v)))))
+    return F.when(text.rlike(OTHERS), F.flatten(pairs)).otherwise(F.array(piece(text, F.lit(None))))
+
+
 def of_kind(kind: str):
     return lambda x: x["kind"] == kind
 
@@ -179,15 +237,15 @@ def of_kind(kind: str):
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text with pseudonyms, n_<kind> for each kind, n_found.
 
-    Values that match a pattern but are not valid stay as they are. Null text
-    stays null, with counts 0. Rows that share a doc_id are handled each.
-    Empty table: no rows. Other columns are ignored.
+    Values that match a pattern but are not valid stay as they are. A card
+    number is found among other digits too, as long as it begins and ends where
+    a group of digits does. Null text stays null, with counts 0. Rows that
+    share a doc_id are handled each. Empty table: no rows. Other columns are
+    ignored.
     """
-    d = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(f"({ANY})"), 1).alias("found"))
-    d = d.withColumn("values", F.transform("found", lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind"))))
-    d = d.withColumn("new", F.transform("values", lambda x: F.when(x["kind"].isNull(), x["v"]).otherwise(pseudonym(x["v"], x["kind"], key))))
-    gaps = F.split("text", ANY, -1)
-    text = F.when(F.size("found") == 0, F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with(gaps, "new", lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), ""))
-    counts = {f"n_{k}": F.size(F.filter("values", of_kind(k))) for k in KINDS}
-    d = d.select("doc_id", F.when(F.col("text").isNotNull(), text).alias("text"), *(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long").alias(k) for k, c in counts.items()))
+    d = docs.select("doc_id", "text", cards(F.coalesce("text", F.lit(""))).alias("pieces"))
+    d = d.withColumn("pieces", F.flatten(F.transform("pieces", lambda x: F.when(x["kind"].isNotNull(), F.array(piece(x["text"], x["kind"]))).otherwise(others(x["text"])))))
+    text = F.array_join(F.transform("pieces", lambda x: F.when(x["kind"].isNull(), x["text"]).otherwise(pseudonym(x["text"], x["kind"], key))), "")
+    counts = {f"n_{k}": F.size(F.filter("pieces", of_kind(k))).cast("long") for k in KINDS}
+    d = d.select("doc_id", F.when(F.col("text").isNotNull(), text).alias("text"), *(c.alias(k) for k, c in counts.items()))
     return d.withColumn("n_found", sum((F.col(k) for k in counts), F.lit(0)).cast("long"))
