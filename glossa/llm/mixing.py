@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return s.select("source", "source_size", F.when(F.col("full"), F.col("top")).otherwise(level * F.col("w")).alias("target"))
 
 
-def copies(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
+def copies(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, ties: Sequence[str] = ()) -> DataFrame:
     """``rows`` (doc_id, source, size, others) with source_size, target and copies.
 
     Each document of a source expects target / source_size copies. Within the
@@ -54,6 +54,7 @@ def copies(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1
     one copy for each integer that its own part crosses. Running sums come
     from counts per (source, class, slot), so that no task holds a source.
     Equal sizes stand together, so the sizes taken come near the target too.
+    Columns ``ties`` order rows that agree in size and doc_id.
     """
     cls = F.expr("length(bin(size + 1)) * 4 + shiftright((size + 1) * 4, length(bin(size + 1)) - 1)").cast("int")  # four classes an octave
     slot = (drawn(seed, F.col("doc_id").cast("string")) % SALTS).cast("int")
@@ -63,7 +64,7 @@ def copies(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1
     targets = source_targets(d.select("source", "size"), weights, share, cap).withColumns(names).drop("source")
     along = Window.partitionBy("name", "unnamed").orderBy("class", "slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = d.groupBy(*key).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
-    d = d.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id")))
+    d = d.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id", *ties)))
     d = d.join(starts.join(targets, ["name", "unnamed"]), key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = (drawn(seed, F.when(~F.col("unnamed"), F.concat(F.lit("="), "name"))) % 65536) / F.lit(65536.0)
@@ -76,9 +77,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     """``docs`` (doc_id, text, source, others) with each row as often as the mix takes it; sizes are words.
 
     Null text: no words. Null source: a source of its own, the last. Rows that
-    share a doc_id count each. A source without words has target 0. Empty
+    share a doc_id count each, in the order of a hash of all their columns, so
+    that reruns agree. A source without words has target 0. Empty
     table: no rows. All columns of ``docs`` stay, whatever their names.
     """
-    rows = docs.select("doc_id", "source", n_words().alias("size"), F.struct("*").alias("row"))
-    taken = copies(rows, weights, share, cap, seed).where("copies > 0")
+    row, names = F.struct("*"), ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    marked = [x for c in names for x in (F.col(c).isNull(), F.col(c))]
+    rows = docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64(*marked).alias("tie"), row.alias("row"))
+    taken = copies(rows, weights, share, cap, seed, ["tie"]).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -181,8 +181,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; the text decides, so repeated rows stay or go together."""
-    key = [F.hash("text").alias("th"), F.xxhash64("doc_id", "text", "lang", "source").alias("x")]
-    judged = quality(docs.select(F.concat_ws(":", F.hash("text"), F.xxhash64("doc_id", "text", "lang", "source")).alias("doc_id"), "text", "lang", "source"))
-    parts = F.split("doc_id", ":")
-    bad = judged.where("not kept").select(parts[0].cast("int").alias("th"), parts[1].cast("long").alias("x")).distinct()
-    return docs.select(*key, F.struct("*").alias("row")).join(bad, ["th", "x"], "left_anti").select("row.*")
+    marks = [F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("doc_id", "text", "lang", "source")]
+    key = F.concat_ws(":", *(F.xxhash64(F.lit(seed), *marks) for seed in (1, 2)))
+    judged = quality(docs.select(key.alias("doc_id"), "text", "lang", "source"))
+    bad = judged.where("not kept").select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(key.alias("key"), F.struct("*").alias("row")).join(bad, "key", "left_anti").select("row.*")
