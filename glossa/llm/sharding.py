@@ -82,7 +82,16 @@ def record_size() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(OVERHEAD)
 
 
-def assign(docs: DataFrame, slot_map: DataFrame, n_slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def slot_bytes(docs: DataFrame, n_slots: int = SLOTS) -> list[int]:
+    """The bytes of each virtual slot; one row per slot comes to the driver."""
+    sums = docs.groupBy(slot_of(n_slots).alias("vslot")).agg(F.sum(record_size()).alias("n"))
+    out = [0] * n_slots
+    for r in sums.collect():
+        out[r.vslot] = r.n
+    return out
+
+
+def assign(docs: DataFrame, slot_map: DataFrame, n_slots: int = SLOTS, size: Column | None = None, tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``docs`` with vslot, shard and slot (place within its shard, from 0), and the map's newest version with rows and bytes of each slot.
 
     Rows of a shard stand in order of virtual slot, then doc_id, then text
@@ -90,13 +99,15 @@ def assign(docs: DataFrame, slot_map: DataFrame, n_slots: int = SLOTS) -> tuple[
     shard. Null text: size 16. Null doc_id: hashed as one value. Rows that
     share a doc_id share a shard. Empty table: no rows. Columns of ``docs``
     named vslot, shard, slot, slot_at, slot_start or record_size give way.
+    ``size`` and ``tie`` stand for a record's bytes and text hash where ``docs``
+    has no text.
     """
-    d = docs.drop("vslot", "shard", "slot", "slot_at", "slot_start", "record_size").withColumns({"vslot": slot_of(n_slots), "record_size": record_size()})
+    d = docs.drop("vslot", "shard", "slot", "slot_at", "slot_start", "record_size").withColumns({"vslot": slot_of(n_slots), "record_size": record_size() if size is None else size})
     newest = slot_map.where(F.col("version") == slot_map.agg(F.max("version")).first()[0]).drop("version")
     weighed = newest.join(d.groupBy("vslot").agg(F.count("*").alias("n_rows"), F.sum("record_size").alias("n_bytes")), "vslot", "left").na.fill(0, ["n_rows", "n_bytes"])
     along = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     starts = weighed.withColumn("slot_start", F.coalesce(F.sum("n_rows").over(along), F.lit(0)))
-    here = Window.partitionBy("vslot").orderBy("doc_id", F.xxhash64("text"))
+    here = Window.partitionBy("vslot").orderBy("doc_id", F.xxhash64("text") if tie is None else tie)
     out = d.withColumn("slot_at", F.row_number().over(here)).join(F.broadcast(starts.select("vslot", "shard", "slot_start")), "vslot")  # a row per virtual slot
     out = out.withColumn("slot", (F.col("slot_start") + F.col("slot_at") - 1).cast("long")).drop("slot_start", "slot_at", "record_size")
     return out, weighed
