@@ -9,7 +9,7 @@ from glossa.llm.store import discard, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the least node reachable over ``edges`` (u, v longs); nodes with no edge are absent.
+    """(node, label): label is the least node reachable over ``edges`` (u, v of one type that has an order); nodes with no edge are absent.
 
     Each step moves as many rows as there are edges; minima are pre-aggregated
     and joined back, so that a node with very many edges is split like any

@@ -205,7 +205,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     d, out = keyed(docs), None
     for b in range(n_blocks):
         part = Items([tuple(r) for r in items.where(block == b).collect()])  # at most about BLOCK bytes
-        rows = d.mapInArrow(search(part), "did long, th int, item_id long, start long, n_words long, edits long")
+        rows = d.mapInArrow(search(part), "did long, th long, item_id long, start long, n_words long, edits long")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -7,14 +7,16 @@ on. Its sketch is cut into bands, whose hashes are buckets.
 
 Links are confirmed on full sets. No bucket is turned into all its pairs: three
 centres of each bucket are compared with its members; afterwards only pairs of
-one bucket that still lie in different components are compared, in cells of at
-most some hundred members, which give out nothing but links. So every pair that
-shares a bucket ends in one component or has been refused by an exact
-comparison or by a sketch more than 5 standard deviations too far off.
+one bucket that still lie in different components are compared, in cells of a
+bounded number of members that carry sketches, not sets; the few pairs that no
+sketch refuses meet with their sets. So every pair that shares a bucket ends in
+one component or has been refused by an exact comparison or by a sketch more
+than 5 standard deviations too far off.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from glossa.llm import scan
 from glossa.llm.components import components
 from glossa.llm.sketches import bands, fast_sketches, short
-from glossa.llm.store import discard, doc_id_back, keep, keyed, small_batches
+from glossa.llm.store import NO_ID, discard, doc_id_back, keep, keyed, small_batches
 
 SHINGLE = 5
 
@@ -89,64 +91,80 @@ def close_sketches(least: float):
     return run
 
 
-#: Members of a bucket on each side of a cell.
-BLOCK = 128
-#: Rows of an Arrow batch: of texts, and of sets in cells, each of which may be long.
-TEXTS, SETS = 1024, 256
+#: Members of a bucket on each side of a cell; pairs that leave a cell at once.
+BLOCK, PAIRS = 2048, 1 << 16
+#: Rows of an Arrow batch of texts, each of which may be long.
+TEXTS = 1024
 
 
-def cell_links(percent: int):
-    """Reads cells (sorted by cell, bucket): compares left rows with right ones of other labels; gives linked pairs of dids."""
+def refusal(percent: int, t: int) -> float:
+    """The share of equal coordinates, of t, below which a pair lies 5 standard deviations under ``percent``."""
+    q = percent / 100
+    return q - 5 * math.sqrt(q * (1 - q) / t)
 
-    def compare(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        left, right = [r for r in rows if r["left"]], [r for r in rows if not r["left"]]
-        if not left or not right:
-            return
-        sketch = np.frombuffer(b"".join(r["sketch"] for r in right), np.uint8).reshape(len(right), -1)
-        marks = np.array([r["bands"] for r in right])
-        labels, sizes = np.array([r["label"] for r in right]), np.array([len(r["items"]) for r in right])
-        for x in left:
-            n = len(x["items"])
-            same = marks == np.array(x["bands"])
-            # a pair is compared in the first bucket that it shares
-            first = np.array(x["bands"])[same.argmax(axis=1)] == x["bucket"]
-            close = (sketch == np.frombuffer(x["sketch"], np.uint8)).mean(axis=1) >= percent / 100 - 0.15
-            fits = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (labels != x["label"]) & first & close
-            for i in np.flatnonzero(fits).tolist():
-                common = len(np.intersect1d(x["items"], right[i]["items"], assume_unique=True))
-                if 100 * common >= percent * (n + sizes[i] - common):
-                    yield x["did"], right[i]["did"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+def cell_pairs(percent: int, least: float):
+    """Reads cells (sorted by cell, bucket): left rows against right ones of other labels; gives the pairs that neither sizes nor sketches refuse."""
 
-        def done() -> pa.RecordBatch:
-            links = list(compare(held))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        left = rows["left"].to_numpy()
+        sizes, vertex, label = rows["n"].to_numpy(), np.stack([rows["did"].to_numpy(), rows["th"].to_numpy()], 1), np.stack([rows["label_did"].to_numpy(), rows["label_th"].to_numpy()], 1)
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        if not len(x) or not len(y):
+            return
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(left), -1)
+        marks = np.asarray(rows["bands"].combine_chunks().flatten()).reshape(len(left), -1)
+        bucket, found, held = rows["bucket"][0].as_py(), [], 0
+        right_sketch, right_marks, right_sizes, right_label = sketch[y], marks[y], sizes[y], label[y]
+        for i in x.tolist():
+            fits = (100 * np.minimum(right_sizes, sizes[i]) >= percent * np.maximum(right_sizes, sizes[i])) & (right_label != label[i]).any(axis=1)
+            at = np.flatnonzero(fits)
+            at = at[(right_sketch[at] == sketch[i]).mean(axis=1) >= least]
+            # a pair leaves the first bucket that it shares
+            at = at[marks[i][(right_marks[at] == marks[i]).argmax(axis=1)] == bucket]
+            found.append((np.repeat(i, len(at)), y[at]))
+            held += len(at)
+            if held >= PAIRS:
+                yield pairs(vertex, found)
+                found, held = [], 0
+        yield pairs(vertex, found)
+
+    def pairs(vertex: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (vertex[np.concatenate([f[k] for f in found])] for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], ["a", "at", "b", "bt"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(c)[i].as_py() for c, name in enumerate(("cell", "left", "label", "bucket", "did", "th", "sketch"))}
-                if held and (held[-1]["cell"], held[-1]["bucket"]) != (row["cell"], row["bucket"]):
-                    yield done()
-                row["bands"], row["items"] = (np.asarray(batch.column(c)[i].values) for c in (7, 8))
-                held.append(row)
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and last != tuple(key[a]):
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(key[a])
         if held:
-            yield done()
+            yield from compare(pa.Table.from_batches(held))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows: int = 6, n_bands: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows: int = 6, n_bands: int = 42, by_row: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, th, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * intersection >= percent * union of their sets.
-    component_id is the least doc_id reachable, itself included; kept holds for
-    doc_id = component_id (of rows that share a doc_id, for those with the least
-    th). th is a hash of the text that tells such rows apart; rows that share a
-    doc_id share its links. Null text: an empty set. Null doc_id: less than all
-    others, returned as null. Empty table: no rows. Other columns are ignored.
+    A vertex is a doc_id with 64 bits of the text's hash, th, so rows of unlike
+    texts stay apart though they share a doc_id or have none. component_id is
+    the least doc_id reachable, itself included. Unless ``by_row``, rows that
+    share a doc_id share its links, and kept holds for doc_id = component_id;
+    ``by_row`` they do not, and kept holds for the least vertex of a component
+    (rows equal in doc_id and text are one vertex). Null text: an empty set,
+    linked with nothing. Null doc_id: less than all others, returned as null.
+    Empty table: no rows. Other columns are ignored.
     With 42 bands of 6 rows a link of 0.8 is missed with probability 3e-6, with
     32 bands of 8 rows one of 0.85 with 4e-5, before other members of a
     component help.
@@ -154,68 +172,70 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
     d = keyed(docs)
     spark = docs.sparkSession
     with small_batches(spark, TEXTS):
-        sig = keep(d.mapInArrow(signatures(k, rows, n_bands), "did long, th int, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"), "signatures")
+        sig = keep(d.mapInArrow(signatures(k, rows, n_bands), "did long, th long, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"), "signatures")
     node = F.struct("did", "th")
-    classes = sig.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(node).alias("rep"))
+    classes = keep(sig.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(node).alias("rep")), "classes")
     reps = classes.select("rep.did", "rep.th")
     own = sig.join(reps, ["did", "th"], "left_semi")
-    buckets = own.select(F.struct("did", "th").alias("node"), F.explode("bands").alias("bucket"))
+    buckets = own.select(node.alias("node"), F.explode("bands").alias("bucket"))
     tops = buckets.groupBy("bucket").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"),
         *(F.min_by("node", F.xxhash64(F.lit(s), "node")).alias(f"c{s}") for s in (1, 2)),
     ).where("lo <> hi")
     shared = keep(buckets.join(tops, "bucket").select("bucket", "node", F.array("lo", "c1", "c2").alias("centres")), "buckets")
     names = shared.select("node.did", "node.th").distinct()
-    brief = own.join(names, ["did", "th"], "left_semi").select("did", "th", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["did", "th"])
+    brief = own.join(names, ["did", "th"], "left_semi").select("did", "th", F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["did", "th"])
     brief = keep(brief, "brief")
     with small_batches(spark, TEXTS):
-        sets = keep(d.join(names, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).mapInArrow(full_sets(k), "did long, th int, items array<long>"), "sets")
-
-    def pairs_of(x: DataFrame) -> DataFrame:
-        return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.col("a.did").alias("a"), F.col("a.th").alias("at"), F.col("b.did").alias("b"), F.col("b.th").alias("bt"))
+        sets = keep(d.join(names, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).mapInArrow(full_sets(k), "did long, th long, items array<long>"), "sets")
+    least, pair = refusal(percent, rows * n_bands), "a long, at long, b long, bt long"
 
-    def side(table: DataFrame, s: str) -> DataFrame:
-        return table.select(F.col("did").alias(s), F.col("th").alias(f"{s}t"), *(F.col(c).alias(f"{c}_{s}") for c in table.columns[2:]))
+    def side(table: DataFrame, s: str, *columns: str) -> DataFrame:
+        return table.select(F.col("did").alias(s), F.col("th").alias(f"{s}t"), *(F.col(c).alias(f"{c}_{s}") for c in columns))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(side(brief, "a"), ["a", "at"]).join(side(brief, "b"), ["b", "bt"])
+    def likely(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(side(brief, "a", "n", "sketch"), ["a", "at"]).join(side(brief, "b", "n", "sketch"), ["b", "bt"])
         sized = sized.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-        likely = sized.select("a", "at", "b", "bt", "sketch_a", "sketch_b").mapInArrow(close_sketches(percent / 100 - 0.15), "a long, at int, b long, bt int")
-        both = likely.join(side(sets, "a"), ["a", "at"]).join(side(sets, "b"), ["b", "bt"])
-        common = both.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("common"), (F.size("items_a") + F.size("items_b")).alias("total"))
-        return common.where(f"100 * common >= {percent} * (total - common)").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return sized.select("a", "at", "b", "bt", "sketch_a", "sketch_b").mapInArrow(close_sketches(least), pair)
 
-    found = keep(linked(pairs_of(shared.select(F.explode("centres").alias("a"), F.col("node").alias("b")).where("a <> b"))), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side(sets, "a", "items"), ["a", "at"]).join(side(sets, "b", "items"), ["b", "bt"])
+        u, v = (F.struct(F.col(s).alias("did"), F.col(f"{s}t").alias("th")).alias(n) for s, n in (("a", "u"), ("b", "v")))
+        common = both.select(u, v, F.size(F.array_intersect("items_a", "items_b")).alias("common"), (F.size("items_a") + F.size("items_b")).alias("total"))
+        return common.where(f"100 * common >= {percent} * (total - common)").select("u", "v")
+
+    centred = shared.select(F.explode("centres").alias("x"), F.col("node").alias("y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    found = linked(likely(centred.select(F.col("x.did").alias("a"), F.col("x.th").alias("at"), F.col("y.did").alias("b"), F.col("y.th").alias("bt"))))
+    if not by_row:
+        # vertices of one doc_id belong together; most have but one
+        several = keep(sig.groupBy("did").agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).where("lo <> hi").select("did"), "several")
+        theirs = sig.join(several, "did", "left_semi").select("did", "d1", "d2").distinct().join(classes, ["d1", "d2"]).select("did", F.col("rep").alias("v"))
+        found = found.unionByName(theirs.join(theirs.groupBy("did").agg(F.min("v").alias("u")), "did").select("u", "v"))
+    found = keep(found, "links")
     label = keep(components(found), "labels")
-    named = (
-        shared.select("bucket", F.col("node").alias("member"), F.col("node.did").alias("node")).distinct()
-        .join(label, "node", "left")
-        .select("bucket", "member", F.coalesce("label", "node").alias("label"))
-    )
+    named = shared.select("bucket", "node").distinct().join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     most = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("all"), F.max("n").alias("top")).where("labels > 1")
     split = named.join(most, "bucket").withColumn("odd", F.col("label") != F.col("most"))
     wide, high = (F.ceil(c / F.lit(BLOCK)).cast("int") for c in (F.col("all"), F.col("all") - F.col("top")))
-    block = F.xxhash64("member")
+    block = F.xxhash64("node")
     sides = F.array(F.struct(F.lit(False).alias("left"), F.pmod(block, wide).alias("own"), high.alias("others")))
     odd_sides = F.array_append(sides, F.struct(F.lit(True).alias("left"), F.pmod(block, high).alias("own"), wide.alias("others")))
-    cells = split.select("bucket", "member", "label", F.explode(F.when(F.col("odd"), odd_sides).otherwise(sides)).alias("s"))
-    cells = cells.select("bucket", "member", "label", "s", F.explode(F.sequence(F.lit(0), F.col("s.others") - 1)).alias("other"))
+    cells = split.select("bucket", "node", "label", F.explode(F.when(F.col("odd"), odd_sides).otherwise(sides)).alias("s"))
+    cells = cells.select("bucket", "node", "label", "s", F.explode(F.sequence(F.lit(0), F.col("s.others") - 1)).alias("other"))
     row, column = (F.when(F.col("s.left") == left, F.col("s.own")).otherwise(F.col("other")) for left in (True, False))
-    cells = cells.select(F.xxhash64("bucket", row, column).alias("cell"), F.col("s.left").alias("left"), "label", "bucket", F.col("member.did").alias("did"), F.col("member.th").alias("th"))
-    full = brief.select("did", "th", "sketch").join(sets, ["did", "th"]).join(own.select("did", "th", "bands").dropDuplicates(["did", "th"]), ["did", "th"])
-    cells = cells.join(full, ["did", "th"]).select("cell", "left", "label", "bucket", "did", "th", "sketch", "bands", "items")
-    with small_batches(spark, SETS):
-        found2 = keep(cells.repartition("cell").sortWithinPartitions("cell", "bucket", "left").mapInArrow(cell_links(percent), "u long, v long"), "more-links")
+    cells = cells.select(F.xxhash64("bucket", row, column).alias("cell"), "bucket", F.col("s.left").alias("left"), "node.did", "node.th", F.col("label.did").alias("label_did"), F.col("label.th").alias("label_th"))
+    cells = cells.join(brief, ["did", "th"]).select("cell", "bucket", "left", "did", "th", "label_did", "label_th", "n", "sketch", "bands")
+    apart = cells.repartition("cell").sortWithinPartitions("cell", "bucket").mapInArrow(cell_pairs(percent, least), pair)
+    found2 = keep(linked(apart), "more-links")
     label2 = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found2))
-    of_class = keep(
-        classes.select("d1", "d2", F.col("rep.did").alias("node"), F.col("rep.th").alias("rep_th")).join(label2, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), F.col("node"), "rep_th"), "classes"
-    )
+    of_class = keep(classes.join(label2.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("label")), "of-class")
     discard(found, found2, label, shared, brief, sets)
-    out = sig.select("did", "th", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    component = F.coalesce("label", "did")
-    return out.select(
-        doc_id_back().alias("doc_id"), "th", "n_shingles",
-        F.when(component != F.lit(-(2**63)), component).alias("component_id"),
-        (F.col("did") == component).alias("kept"),
-    )
+    out = sig.select("did", "th", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left").withColumn("label", F.coalesce("label", node))
+    component, kept = F.col("label.did"), F.col("label") == node
+    if not by_row:
+        whole = out.join(several, "did", "left_semi").groupBy("did").agg(F.min("label.did").alias("least"))
+        out = out.join(whole, "did", "left")
+        component = F.coalesce("least", "label.did")
+        kept = F.col("did") == component
+    return out.select(doc_id_back().alias("doc_id"), "th", "n_shingles", F.when(component != NO_ID, component).alias("component_id"), kept.alias("kept"))

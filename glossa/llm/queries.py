@@ -12,14 +12,16 @@ from glossa.llm.codes import read_codes, write_codes
 from glossa.llm.decontamination import found_items
 from glossa.llm.mixing import copies, n_words
 from glossa.llm.near_duplicates import near_duplicates
+from glossa.llm.pipeline import run
 from glossa.llm.pseudonyms import pseudonymize
 from glossa.llm.quality import quality
 from glossa.llm.repeats import remove_repeats
-from glossa.llm.sharding import assign, even_map, grow, map_table
+from glossa.llm.sharding import assign, even_map, grow, map_table, record_size
 from glossa.llm.store import keep
 from glossa.llm.substrings import remove_earlier_windows
 
-KEY = "a key of the deployment"
+#: The setting that holds the key of pseudonyms, and the key of runs without one: it is public, so they hide nothing.
+KEY_SETTING, PUBLIC_KEY = "spark.glossa.pseudonym.key", "a public key for tests"
 SHARDS = 40
 
 
@@ -38,7 +40,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents"), KEY)
+    return pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, PUBLIC_KEY))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +64,12 @@ def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = even_map(SHARDS)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", record_size().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("tie"))
     shard_map = keep(map_table(spark, [owners, grow(owners)]), "shard-map")
-    out, _ = assign(docs, shard_map.where("version = 1"))
+    out, _ = assign(docs, shard_map.where("version = 1"), size=F.col("size"), tie=F.col("tie"))
     grown = shard_map.where("version = 2").select("vslot", F.col("shard").alias("grown_shard"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    rows = out.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "vslot")
-    return rows.join(F.broadcast(grown), "vslot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", F.col("vslot").alias("virtual_slot"))  # a row per virtual slot
+    rows = out.join(F.broadcast(grown), "vslot")  # a row per virtual slot
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", F.col("vslot").alias("virtual_slot"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +91,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpus_pipeline import run
-
     return run(spark, sf_dir)
 
 

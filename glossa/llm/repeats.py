@@ -92,7 +92,7 @@ def contents(length: int):
                 for at in range(0, len(wanted), 4096):
                     some = wanted[at : at + 4096]
                     yield pa.RecordBatch.from_pydict(
-                        {"m": [w["m"] for w in some], "seg": [w["seg"] for w in some], "did": [did] * len(some), "th": pa.array([th] * len(some), pa.int32()), "start": [w["start"] for w in some], "n": pa.array([w["n"] for w in some], pa.int32()), "bytes": pa.array([raw[w["start"] : w["start"] + w["n"] + length - 1] for w in some], pa.binary())}
+                        {"m": [w["m"] for w in some], "seg": [w["seg"] for w in some], "did": [did] * len(some), "th": pa.array([th] * len(some), pa.int64()), "start": [w["start"] for w in some], "n": pa.array([w["n"] for w in some], pa.int32()), "bytes": pa.array([raw[w["start"] : w["start"] + w["n"] + length - 1] for w in some], pa.binary())}
                     )
 
     return run
@@ -131,7 +131,7 @@ def sorted_groups(length: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         found = repeated_starts([r[4] for r in rows], length)
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[p][1] for p, _, _ in found], pa.int64()), pa.array([rows[p][2] for p, _, _ in found], pa.int32()), pa.array([rows[p][3] + s for p, s, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int32())],
+            [pa.array([rows[p][1] for p, _, _ in found], pa.int64()), pa.array([rows[p][2] for p, _, _ in found], pa.int64()), pa.array([rows[p][3] + s for p, s, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int32())],
             ["did", "th", "start", "n"],
         )
 
@@ -163,7 +163,7 @@ def single_starts(length: int):
                 places = np.argsort(h, kind="stable") + start
                 cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 x = np.array([xxhash.xxh3_64_intdigest(raw[j : j + length]) for j in first.tolist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([scan.signed(m), scan.signed(x), pa.array([did] * len(m)), pa.array([th] * len(m), pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(places))], ["m", "x", "did", "th", "starts"])
+                yield pa.RecordBatch.from_arrays([scan.signed(m), scan.signed(x), pa.array([did] * len(m)), pa.array([th] * len(m), pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(places))], ["m", "x", "did", "th", "starts"])
 
     return run
 
@@ -197,7 +197,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     """(did, th, start, end) of byte spans that strings of ``length`` bytes cover which start anywhere else too; spans may overlap."""
     d = keyed(docs)
     by_m, by_seg = Window.partitionBy("m"), Window.partitionBy("m", "seg")
-    rows = d.mapInArrow(start_runs(length, k), "m long, seg long, did long, th int, pos long")
+    rows = d.mapInArrow(start_runs(length, k), "m long, seg long, did long, th long, pos long")
     seen = rows.select("*", F.count("*").over(by_m).alias("of_m"), (F.min("seg").over(by_m) != F.max("seg").over(by_m)).alias("unlike"))
     start, n, twice = scan.unpack("pos")
     shared = seen.where((F.col("of_m") > 1) | twice).select("m", "seg", "did", "th", start.alias("start"), n.alias("n"), (F.col("unlike") | twice).alias("mixed"), F.count("*").over(by_seg).alias("of_seg"))
@@ -206,13 +206,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     first = shared.where("mixed").groupBy("m", "seg").agg(F.min(F.struct("did", "th", "start", "n")).alias("r"))
     per_doc = first.groupBy("r.did", "r.th").agg(F.collect_list(F.struct("m", "seg", F.col("r.start").alias("start"), F.col("r.n").alias("n"))).alias("wanted"))
     once = d.join(per_doc, ["did", "th"]).dropDuplicates(["did", "th"])
-    unlike = keep(once.select("did", "th", "text", "wanted").mapInArrow(contents(length), "m long, seg long, did long, th int, start long, n int, bytes binary"), "unlike-runs")
+    unlike = keep(once.select("did", "th", "text", "wanted").mapInArrow(contents(length), "m long, seg long, did long, th long, start long, n int, bytes binary"), "unlike-runs")
     crowd = unlike.groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("m")
     few = unlike.join(crowd, "m", "left_anti").select("m", "did", "th", "start", "bytes")
-    many = unlike.join(crowd, "m", "left_semi").mapInArrow(single_starts(length), "m long, x long, did long, th int, starts array<long>")
+    many = unlike.join(crowd, "m", "left_semi").mapInArrow(single_starts(length), "m long, x long, did long, th long, starts array<long>")
     again = many.groupBy("m", "x").agg(F.sum(F.size("starts")).alias("c")).where("c > 1").select("m", "x")
     again = many.join(again, ["m", "x"]).select("did", "th", F.explode("starts").alias("start"), F.lit(1).alias("n"))
-    sort = few.repartition("m").sortWithinPartitions("m").mapInArrow(sorted_groups(length), "did long, th int, start long, n int")
+    sort = few.repartition("m").sortWithinPartitions("m").mapInArrow(sorted_groups(length), "did long, th long, start long, n int")
     found = whole.unionByName(sort).unionByName(again)
     spans = keep(found.select("did", "th", "start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("end")), "spans")
     discard(shared, unlike)

@@ -15,9 +15,11 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one only where the setting is unset (tests, local runs)."""
+    """The folder for intermediate tables that the session names; without one a temporary folder, which only a local session can share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="glossa-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -51,15 +53,14 @@ def discard(*tables: DataFrame) -> None:
         if path:
             jvm = t.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
-            with contextlib.suppress(Exception):
-                at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     if tables:
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(did, th, text): did is doc_id (null: the least long), th tells rows apart that share a doc_id.
+    """(did, th, text): did is doc_id (null: the least long), th, 64 bits of the text's hash, tells rows apart that share a doc_id.
 
     Rows equal in both doc_id and text share one key.
     """
@@ -67,7 +68,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def row_key() -> tuple[Column, Column]:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.hash("text").alias("th")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("th")
 
 
 def doc_id_back(col: str = "did") -> Column:

@@ -71,7 +71,7 @@ def wanted_windows(window: int):
                     at = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])) if runs else np.zeros(0, np.int64)
                     x = at + begins[i - a]
                     yield pa.RecordBatch.from_arrays(
-                        [scan.signed(w1[x]), scan.signed(w2[x]), pa.array([batch.column(0)[i].as_py()] * len(x), pa.int64()), pa.array([batch.column(1)[i].as_py()] * len(x), pa.int32()), pa.array(at)],
+                        [scan.signed(w1[x]), scan.signed(w2[x]), pa.array([batch.column(0)[i].as_py()] * len(x), pa.int64()), pa.array([batch.column(1)[i].as_py()] * len(x), pa.int64()), pa.array(at)],
                         ["w1", "w2", "did", "th", "start"],
                     )
 
@@ -110,7 +110,7 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """Spans (did, th, start, end) of words in ``batch`` (did, th, text) that earlier windows cover; ``last``: no batch will follow, so its run isn't written."""
-        new = batch.mapInArrow(window_runs(self.window, self.k), "m long, seg long, did long, th int, pos long")
+        new = batch.mapInArrow(window_runs(self.window, self.k), "m long, seg long, did long, th long, pos long")
         if not last:
             new = keep(new.repartition("m").sortWithinPartitions("m", "seg"), "batch")
         both = new.withColumn("new", F.lit(True))
@@ -126,7 +126,7 @@ class FingerprintIndex:
         per_doc = met.where("mixed and first").groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("wanted"), F.max("new").alias("fresh"))
         texts = reduce(DataFrame.unionByName, [*self.texts, batch])
         read = texts.join(per_doc, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", "th", "text", "wanted")
-        seen = read.mapInArrow(wanted_windows(self.window), "w1 long, w2 long, did long, th int, start long")
+        seen = read.mapInArrow(wanted_windows(self.window), "w1 long, w2 long, did long, th long, start long")
         here = F.struct("did", "th", "start")
         earlier = seen.select("did", "th", "start", (F.min(here).over(Window.partitionBy("w1", "w2")) < here).alias("repeat")).where("repeat")
         earlier = earlier.join(met.where("new").select("did", "th").distinct(), ["did", "th"], "left_semi")

@@ -2,7 +2,7 @@
 
 from collections import Counter, defaultdict
 
-import corpus_pipeline
+from glossa.llm import pipeline as corpus_pipeline
 from glossa.llm.quality import quality
 from tests.llm.fixtures import SCHEMA, frame, odd_documents
 from tests.llm.test_duplicates import brute_components
