@@ -1,70 +1,5 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; its result is written as Parquet and read again as the next one's docs.
-All but the last return the columns of ``documents``.
-"""
+from glossa.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from glossa.llm.decontamination import clean_documents
-from glossa.llm.mixing import mix
-from glossa.llm.near_duplicates import near_duplicates
-from glossa.llm.quality import good_documents
-from glossa.llm.sharding import assign, even_map, map_table
-from glossa.llm.store import NO_ID, discard, keep
-
-SHARDS = 40
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep."""
-    return good_documents(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8): the one with the least doc_id; repeated rows go.
-
-    Groups are of rows, by doc_id and text: rows that share a doc_id, or have
-    none, stay unless their texts are near copies or both equal.
-    """
-    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce("text", F.lit("")), F.col("text").isNull())
-    groups = near_duplicates(docs.select(row.alias("doc_id"), "text")).select(F.col("doc_id").alias("row_id"), "component_id").distinct()
-    ids = docs.select(row.alias("row_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")).distinct()
-    first = groups.join(ids, "row_id").groupBy("component_id").agg(F.min_by("row_id", F.struct("did", "row_id")).alias("row_id")).select("row_id")
-    rows = docs.select(row.alias("row_id"), F.struct("*").alias("row")).join(first, "row_id", "left_semi")
-    return rows.dropDuplicates(["row_id"]).select("row.*")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mix(docs)
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with virtual slot, shard and place within the shard."""
-    shard_map = keep(map_table(spark, [even_map(SHARDS)]), "shard-map")
-    return assign(docs, shard_map)[0]
-
-
-STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix_sources), ("shard", shard)]
-#: No SQL: near-duplicate groups and edit distances are beyond it. Tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        done = keep(stage(spark, docs, sf_dir), f"stage-{name}")
-        if name != STAGES[0][0]:
-            discard(docs)
-        docs = done
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

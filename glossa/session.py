@@ -17,7 +17,9 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def cut_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names in spark.checkpoint.dir; only where it names none, as in tests, to one of our own."""
+    """Checkpoints go to the folder that the session names in spark.checkpoint.dir; a local session without one gets a folder of our own."""
     if not spark.sparkContext.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="glossa-"))
