@@ -12,6 +12,9 @@ FRENCH_CONTRACTIONS = ("l'", "c'", "j'", "t'", "qu'", "puisqu'", "lorsqu'")
 URL = r"https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 SPLIT_OFF = r"([.!?,:;()+\-<>=\"])"
 
+#: White space as regular expressions take it, with the four separators that they leave out.
+WHITE = r"[\s\x1C-\x1F]"
+
 PUNCT_CLASS = r"!-/:-@\[-`{-~"
 NOT_APOSTROPHE = r"!-&(-/:-@\[-`{-~"
 
@@ -23,7 +26,7 @@ def once(value: Column, use) -> Column:
 
 def strip(c: Column) -> Column:
     """Outer white space of any kind removed."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"(?U)^{WHITE}+|{WHITE}+$", "")
 
 
 def remove_newlines(c: Column) -> Column:
@@ -41,26 +44,17 @@ def split_punctuation(c: Column, abbreviations: tuple[str, ...] = ()) -> Column:
     No space goes in where an abbreviation (a substring, no word boundary
     needed) stands, from its start through its end.
     """
-    if not abbreviations:
-        before = F.regexp_replace(c, f"(^|[^{PUNCT_CLASS}])([{NOT_APOSTROPHE}])", "$1 $2")
-        return F.regexp_replace(before, f"([{NOT_APOSTROPHE}])([^{PUNCT_CLASS}])", "$1 $2")
-    names = "|".join(sorted((r"\Q" + a + r"\E" for a in abbreviations), key=len, reverse=True))
-    held = f"(?:{names})"
-    # abbreviations are kept whole by matching them first; what follows one directly gets no space either
-    pieces = F.regexp_extract_all(c, F.lit(f"(?s)({held}|[{PUNCT_CLASS}]+|[^{PUNCT_CLASS}])"), F.lit(1))
 
-    def spaced(ps: Column) -> Column:
-        def piece(x: Column, i: Column) -> Column:
-            punct = x.rlike(f"^[{PUNCT_CLASS}]+$") & ~x.rlike(f"^{held}$")
-            free = ~F.coalesce(F.get(ps, i - 1).rlike(f"^{held}$"), F.lit(False))
-            next_held = F.coalesce(F.get(ps, i + 1).rlike(f"^{held}$"), F.lit(False))
-            head = F.when(punct & free & ~x.startswith("'"), F.lit(" ")).otherwise(F.lit(""))
-            tail = F.when(punct & (i < F.size(ps) - 1) & ~next_held & ~x.endswith("'"), F.lit(" ")).otherwise(F.lit(""))
-            return F.concat(head, x, tail)
-
-        return F.array_join(F.transform(ps, piece), "")
+    def spaced(text: Column, start: str) -> Column:
+        before = F.regexp_replace(text, f"({start}[^{PUNCT_CLASS}])([{NOT_APOSTROPHE}])", "$1 $2")
+        return F.regexp_replace(before, f"([{NOT_APOSTROPHE}])([^{PUNCT_CLASS}])", "$1 $2")
 
-    return once(pieces, spaced)
+    if not abbreviations:
+        return spaced(c, "^|")
+    held = "(" + "|".join(sorted((r"\Q" + a + r"\E" for a in abbreviations), key=len, reverse=True)) + ")"
+    # what stands between abbreviations; only the first piece begins where the text does
+    gaps = F.transform(F.split(c, held, -1), lambda gap, i: F.when(i == 0, spaced(gap, "^|")).otherwise(spaced(gap, "")))
+    return F.array_join(F.flatten(F.zip_with(gaps, F.regexp_extract_all(c, F.lit(held), F.lit(1)), lambda gap, x: F.array(gap, F.coalesce(x, F.lit(""))))), "")
 
 
 def split_french_contractions(c: Column) -> Column:
@@ -87,7 +81,7 @@ def normalise_transcript(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """White-space tokens, none of them empty."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(c, rf"(?U){WHITE}+"), lambda x: x != "")
 
 
 def single_space_tokens(c: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,23 @@ def error_summary(lines: DataFrame, by: list[str]) -> DataFrame:
     return lines.groupBy(*by).agg(F.count("*").alias("n_lines"), F.avg("wer").alias("mean_wer"), F.stddev_pop("wer").alias("std_wer"))
 
 
+def bleu_report(scores: DataFrame, by: Sequence[str], orders: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """(by, n, lines, mean_bleu) of ``scores`` (by, bleu1, bleu2, ...): a row per model and n. Lines without a score don't count."""
+    rows = scores.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"bleu{n}").alias("bleu")) for n in orders))).alias("s"))
+    return rows.groupBy(*by, "s.n").agg(F.count("s.bleu").alias("lines"), F.avg("s.bleu").alias("mean_bleu"))
+
+
+def system_errors(lines: DataFrame, keys: Sequence[str], systems: Sequence[str]) -> DataFrame:
+    """``word_errors`` of each of ``systems`` (columns of ``lines`` with their tokens, beside ref), a row per line and system.
+
+    A line that one of them lacks (null) counts for none, as files that are
+    read side by side end with the shortest.
+    """
+    whole = lines.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in ("ref", *systems)]))
+    pairs = whole.select(*keys, "ref", F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.col(s).alias("hyp")) for s in systems))).alias("x"))
+    return word_errors(pairs.select(*keys, "x.system", "ref", "x.hyp"), [*keys, "system"])
+
+
 def confusion(pred: DataFrame) -> DataFrame:
     """(label, pred, n) over all pairs of the labels that occur on either side, absent ones with 0."""
     labels = pred.select(F.explode(F.array("label", "pred")).alias("label")).distinct()
@@ -116,6 +134,21 @@ def confusion(pred: DataFrame) -> DataFrame:
     return labels.crossJoin(labels.select(F.col("label").alias("pred"))).join(counts, ["label", "pred"], "left").na.fill(0, ["n"])
 
 
+def metrics_row(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, accuracy, recall, precision, confusion): a confusion table (by, label, pred, n) as one row, classes in order, counts row by row."""
+    w = {k: F.sum("n").over(Window.partitionBy(*by, k)) for k in ("label", "pred")}
+    m = matrix.withColumns({"row": w["label"], "col": w["pred"]})
+    same = F.col("label") == F.col("pred")
+
+    def of_classes(total: str) -> Column:
+        each = F.sort_array(F.collect_list(F.when(same, F.struct("label", ratio_or_nan(F.col("n"), F.col(total)).alias("x")))))
+        return F.transform(each, lambda s: s["x"])
+
+    counts = F.transform(F.sort_array(F.collect_list(F.struct("label", "pred", "n"))), lambda s: s["n"])
+    accuracy = ratio_or_nan(F.sum(F.when(same, F.col("n")).otherwise(0)), F.sum("n"))
+    return m.groupBy(*by).agg(accuracy.alias("accuracy"), of_classes("row").alias("recall"), of_classes("col").alias("precision"), counts.alias("confusion"))
+
+
 def class_metrics(matrix: DataFrame) -> DataFrame:
     """(label, recall, precision, accuracy) of a confusion table; 0 / 0 is NaN."""
     m = matrix.withColumns({"row": F.sum("n").over(Window.partitionBy("label")), "col": F.sum("n").over(Window.partitionBy("pred"))})

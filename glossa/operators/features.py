@@ -91,8 +91,13 @@ def lexicon_stats(tokens: DataFrame, lexicon: DataFrame, columns: tuple[str, ...
     """
     words = tokens.groupBy("id", (F.lower("word") if fold else F.col("word")).alias("w")).agg(F.count("*").alias("n"))
     lex = lexicon.select(F.col(key).alias("w"), *(F.col(c).try_cast("double").alias(c) for c in columns))
-    hits = words.join(lex, "w").withColumn("each", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return hits.groupBy("id").agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in columns), *(F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"std_{c}") for c in columns))
+    hits = words.join(lex, "w")
+    own = {c: F.when(F.col(c).isNotNull(), F.col("n")) for c in columns}
+    mean = {c: F.try_divide(F.sum(F.col("n") * F.col(c)), F.sum(own[c])) for c in columns}
+    # squares about a value of the column itself, so that no digits are lost
+    sums = hits.groupBy("id").agg(*(m.alias(f"mean_{c}") for c, m in mean.items()))
+    spread = hits.join(sums, "id").groupBy("id").agg(*(F.first(f"mean_{c}").alias(f"mean_{c}") for c in columns), *(F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col(c) - F.col(f"mean_{c}")) * (F.col(c) - F.col(f"mean_{c}"))), F.sum(own[c]))).alias(f"std_{c}") for c in columns))
+    return spread.select("id", *(F.coalesce(f"{p}_{c}", F.lit(0.0)).alias(f"{p}_{c}") for p in ("mean", "std") for c in columns))
 
 
 def feature_rows(comments: DataFrame, lexicon_a: DataFrame, lexicon_b: DataFrame, strict: bool = True) -> DataFrame:
@@ -116,6 +121,13 @@ def with_external(rows: DataFrame, external: DataFrame) -> DataFrame:
     return joined.select("id", feats.alias("features"), codes[F.col("cat")].alias("label"))
 
 
+def positional_features(ids: DataFrame, matrix: DataFrame, order: tuple[str, ...] = ("Alt", "Center", "Left", "Right")) -> DataFrame:
+    """(id, feats) of ids (cat, row, id) and matrix rows (cat, row, feats) joined by place; of repeated ids the last wins, classes in ``order``."""
+    rank = F.create_map(*(F.lit(x) for i, c in enumerate(order) for x in (c, i)))
+    rows = ids.join(matrix, ["cat", "row"]).withColumn("rank", rank[F.col("cat")])
+    return rows.groupBy("id").agg(F.max_by("feats", F.struct("rank", "row")).alias("feats"))
+
+
 def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key: the last in ``order``, as when rows are put into a dictionary one after another."""
     others = [c for c in rows.columns if c != key]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -160,6 +161,33 @@ def identify(tests: DataFrame, model: DataFrame, k: int = 1) -> DataFrame:
 MOST_MODELS = 4096
 
 
+def open_set(model: DataFrame, speakers: DataFrame, trained: int) -> DataFrame:
+    """``model`` of the first ``trained`` of ``speakers`` (speaker), by name; all others get an all-zero mixture of the same shape, whose NaN likelihood ranks last."""
+    seen = speakers.select(F.col("speaker").cast("string").alias("speaker")).distinct().withColumn("rank", F.row_number().over(Window.orderBy("speaker")))  # a row per speaker
+    shape = model.groupBy("m").agg(F.first(F.size("mu")).alias("d"))
+    zero = F.array_repeat(F.lit(0.0), F.col("d"))
+    empty = seen.where(F.col("rank") > trained).crossJoin(F.broadcast(shape)).select("speaker", "m", F.lit(0.0).alias("w"), zero.alias("mu"), zero.alias("var"))  # a row per component
+    return model.join(seen.where(F.col("rank") <= trained).select("speaker"), "speaker").select("speaker", "m", "w", "mu", "var").unionByName(empty)
+
+
+def experiment(frames: DataFrame, utterance: str, m: int = 8, max_iter: int = 20, epsilon: float = 0.0, trained: int | None = None, seed: int = 401, var_floor: float = 0.0) -> DataFrame:
+    """(m, max_iter, trained, utterances, accuracy): one utterance of each speaker held out and named by models of the first ``trained`` speakers."""
+    held = hold_out(frames.select("speaker", utterance).distinct(), utterance, seed)
+    marked = frames.join(held, ["speaker", utterance])
+    known = marked.where("not test")
+    model = train(known.select("speaker", "x"), m, max_iter, epsilon, seed, var_floor)
+    if trained is not None:
+        model = open_set(model, held.select("speaker"), trained)
+    named = identify(marked.where("test").select(F.col("speaker").alias("truth"), F.col(utterance).alias("utt"), "x"), model)
+    return named.agg(F.count("*").alias("utterances"), F.avg(F.col("correct").cast("double")).alias("accuracy")).select(F.lit(m).alias("m"), F.lit(max_iter).alias("max_iter"), F.lit(trained).cast("int").alias("trained"), "utterances", "accuracy")
+
+
+def sweep(frames: DataFrame, utterance: str, ms: Sequence[int] = (8, 6, 4, 2, 1), iterations: Sequence[int] = (0, 5, 10, 15, 20), speakers: Sequence[int] = (4, 8, 16, 24, 32), **others) -> DataFrame:
+    """``experiment`` over component counts, then over iterations, then over trained speakers, each with the others at their default."""
+    settings = [{"m": m} for m in ms] + [{"max_iter": i} for i in iterations] + [{"trained": n} for n in speakers]
+    return reduce(DataFrame.unionByName, [experiment(frames, utterance, **(others | s)) for s in settings])
+
+
 def empty_models(speakers: Iterator[str], m: int, d: int) -> list[tuple]:
     """All-zero models of speakers that weren't trained (open set): their likelihood is NaN, so they rank last."""
     return [(s, i, 0.0, [0.0] * d, [0.0] * d) for s in speakers for i in range(m)]

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from glossa.functions import comments, text
 from glossa.operators import alignment, evaluation, features, language_model, mixtures, statistics
 from glossa.plans import sql
+from glossa.session import cut_folder
 
 DELTAS = (0.0, 1e-4, 1e-3, 1e-2, 0.1, 1.0)
-LANGS = ("en", "fr")
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -36,8 +36,8 @@ def r6(c: Column | str) -> Column:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, lang, line_no, toks): each line of an English or French document as a normalised sentence."""
-    docs = table(spark, d, "documents").where(F.col("lang").isin(*LANGS)).select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc_id, lang, line_no, toks): each line of a document as a normalised sentence, French ones with their contractions split; null lang: empty."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     norm = F.when(F.col("lang") == "fr", text.normalise_sentence(F.col("line"), "f")).otherwise(text.normalise_sentence(F.col("line"), "e"))
     return docs.select("doc_id", "lang", "line_no", text.tokens(norm).alias("toks"))
 
@@ -50,8 +50,8 @@ def turn_pairs(spark: SparkSession, d: str, step: int = 1) -> DataFrame:
 
 
 def bitext(spark: SparkSession, d: str) -> DataFrame:
-    """(pid, e_toks, f_toks) from turns 0-1, 2-3, ... of a conversation."""
-    return turn_pairs(spark, d).where("turn % 2 = 0").select(F.concat_ws(":", "conv_id", "turn").alias("pid"), F.col("a").alias("e_toks"), F.col("b").alias("f_toks"))
+    """(pid, doc, line_no, e_toks, f_toks) from turns 0-1, 2-3, ... of a conversation."""
+    return turn_pairs(spark, d).where("turn % 2 = 0").select(F.concat_ws(":", "conv_id", "turn").alias("pid"), F.col("conv_id").alias("doc"), F.col("turn").alias("line_no"), F.col("a").alias("e_toks"), F.col("b").alias("f_toks"))
 
 
 # Text
@@ -139,22 +139,28 @@ def ibm1_init(spark, d):
     return alignment.initial(alignment.cooccurrence(bitext(spark, d))).groupBy("e").agg(F.count("*").alias("n_f"), r6(F.max("p")).alias("p"))
 
 
-def em(spark, d, n):
-    cooc = alignment.cooccurrence(bitext(spark, d))
+def model_summary(model: DataFrame, *by: str) -> DataFrame:
+    return model.groupBy(*by, "e").agg(F.count("*").alias("n_f"), r6(F.max("p")).alias("top_p"), r6(F.sum(F.col("p") * F.col("p"))).alias("sum_p2"))
+
+
+def em(spark, d, n, limit=None):
+    cut_folder(spark)
+    pairs = bitext(spark, d)
+    cooc = alignment.cooccurrence(pairs if limit is None else alignment.first_pairs(pairs, limit)).checkpoint()
     model = alignment.initial(cooc)
     for _ in range(n):
         model = alignment.em_step(cooc, model)
-    return model.groupBy("e").agg(F.count("*").alias("n_f"), r6(F.max("p")).alias("top_p"), r6(F.sum(F.col("p") * F.col("p"))).alias("sum_p2"))
+    return model
 
 
 @query
 def ibm1_em_step(spark, d):
-    return em(spark, d, 1)
+    return model_summary(em(spark, d, 1))
 
 
 @query
 def ibm1_em2(spark, d):
-    return em(spark, d, 2)
+    return model_summary(em(spark, d, 2))
 
 
 @query
@@ -162,6 +168,12 @@ def ibm1_train(spark, d):
     return alignment.train(bitext(spark, d), 3).groupBy("e").agg(F.count("*").alias("n_f"), r6(F.max("p")).alias("top_p"))
 
 
+@query
+def ibm1_size_sweep(spark, d):
+    models = [em(spark, d, 1, n).select(F.lit(n).alias("size"), "e", "f", "p") for n in (50, 200)]
+    return model_summary(models[0].unionByName(models[1]), "size")
+
+
 @query
 def decode_candidates_top5(spark, d):
     model = alignment.initial(alignment.cooccurrence(bitext(spark, d)))
@@ -171,14 +183,24 @@ def decode_candidates_top5(spark, d):
 
 @query
 def decode_search(spark, d):
+    """The first 20 turns that the models have seen, decoded back; a turn and its reply make the pair."""
+    cut_folder(spark)
     pairs = bitext(spark, d)
-    model = alignment.initial(alignment.cooccurrence(pairs))
+    model = em(spark, d, 1).checkpoint()
     sents = pairs.select(F.col("e_toks").alias("toks"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("sid"), F.posexplode(text.normalise_transcript(F.col("text"))).alias("pos", "f"))
-    out = alignment.decode(items, model, language_model.unigrams(sents), language_model.bigrams(sents))
+    items = alignment.first_pairs(pairs, 20).select(F.col("pid").alias("sid"), F.posexplode("f_toks").alias("pos", "f"))
+    out = alignment.decode(items, model, language_model.unigrams(sents), language_model.bigrams(sents), trials=16)
     return out.select("sid", "trial", "score", F.array_join("words", " ").alias("words"))
 
 
+@query
+def decode_score(spark, d):
+    """Scores of whole turns as hypotheses of themselves, each word with probability 1 / its length."""
+    words = bitext(spark, d).select(F.col("pid").alias("sid"), F.posexplode("f_toks").alias("at", "w")).withColumn("p", 1 / F.length("w"))
+    sents = bitext(spark, d).where("line_no % 4 = 0").select(F.col("f_toks").alias("toks"))
+    return alignment.sequence_scores(words, language_model.unigrams(sents), language_model.bigrams(sents), ["sid"]).select("sid", r6("score").alias("score"))
+
+
 # BLEU and word errors
 
 
@@ -215,6 +237,29 @@ def wer_summary(spark, d):
     return evaluation.error_summary(word_errors(spark, d).withColumn("first_turn", F.col("turn") == 0), ["first_turn"]).select("first_turn", "n_lines", r6("mean_wer").alias("mean_wer"), r6("std_wer").alias("std_wer"))
 
 
+@query
+def bleu_report(spark, d):
+    t = turn_pairs(spark, d).where("c is not null")
+    scores = t.select((F.col("turn") % 3).alias("model"), *(evaluation.bleu(F.col("a"), [F.col("b"), F.col("c")], n).alias(f"bleu{n}") for n in (1, 2, 3)))
+    return evaluation.bleu_report(scores, ["model"]).select("model", "n", "lines", r6("mean_bleu").alias("mean_bleu"))
+
+
+def two_systems(spark, d):
+    """The next turn and the one after as two systems' versions of a turn; a conversation is a speaker."""
+    lines = turn_pairs(spark, d).select(F.col("conv_id").alias("speaker"), F.col("turn").alias("line_no"), F.col("a").alias("ref"), F.col("b").alias("next"), F.col("c").alias("after"))
+    return evaluation.system_errors(lines, ["speaker", "line_no"], ["next", "after"])
+
+
+@query
+def wer_by_system(spark, d):
+    return two_systems(spark, d).withColumn("wer", r6("wer"))
+
+
+@query
+def wer_system_summary(spark, d):
+    return evaluation.error_summary(two_systems(spark, d), ["system"]).select("system", "n_lines", r6("mean_wer").alias("mean_wer"), r6("std_wer").alias("std_wer"))
+
+
 # Features
 
 
@@ -244,6 +289,24 @@ def feat_lexicon_stats(spark, d):
     return out.select("id", *(r6(c).alias(c) for c in out.columns if c != "id"))
 
 
+@query
+def feat_lexicon_case(spark, d):
+    """The second lexicon is looked up as words are written."""
+    toks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(text.tokens(F.col("text"))).alias("word"))
+    lex = benchmark_lexicon(spark, d).select("word", F.col("aoa").alias("v"), F.col("img").alias("a"), F.col("fam").alias("d"))
+    out = features.lexicon_stats(toks, lex, features.LEXICON_B, fold=False)
+    return out.select("id", *(r6(c).alias(c) for c in out.columns if c != "id"))
+
+
+@query
+def matrix_join(spark, d):
+    """Vectors and ids of four classes joined by place; ids repeat."""
+    cats = F.element_at(F.array(*map(F.lit, features.CLASS_CODES)), (F.col("vec_id") % 4 + 1).cast("int"))
+    rows = table(spark, d, "embeddings").select(cats.alias("cat"), F.col("vec_id").alias("row"), (F.col("vec_id") % 97).alias("id"), F.col("embedding").cast("array<double>").alias("feats"))
+    out = features.positional_features(rows.select("cat", "row", "id"), rows.select("cat", "row", "feats"))
+    return out.select("id", r6(F.get("feats", F.lit(0))).alias("first"), r6(F.aggregate("feats", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
 @query
 def feat_matrix(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.array(*map(F.lit, features.CLASS_CODES)), (F.col("doc_id") % 4 + 1).cast("int")).alias("cat"), rule_tagged(F.col("text")).alias("body"))
@@ -301,6 +364,11 @@ def class_means(spark, d):
     return statistics.class_means(vectors(spark, d)).select("label", "feature", r6("mean").alias("mean"))
 
 
+@query
+def mean_p(spark, d):
+    return statistics.mean_p_values(statistics.anova(vectors(spark, d)).withColumn("half", F.col("feature") % 2), "half")
+
+
 @query
 def paired_t(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_discount", "l_tax")
@@ -323,6 +391,20 @@ def learning_curve_sample(spark, d):
     return statistics.first_rows(rows, statistics.shuffle_key(401, F.col("c_custkey")), 1000)
 
 
+@query
+def metrics_row(spark, d):
+    m = evaluation.metrics_row(evaluation.confusion(label_pairs(spark, d)))
+    return m.select(r6("accuracy").alias("accuracy"), *(F.concat_ws(",", F.transform(c, lambda x: F.format_string("%.4f", x))).alias(c) for c in ("recall", "precision")), F.array_join(F.col("confusion").cast("array<string>"), ",").alias("confusion"))
+
+
+@query
+def accuracy_gains(spark, d):
+    from glossa.operators import classifiers
+
+    sizes = table(spark, d, "labels").select(F.posexplode(F.array(*(F.struct(F.lit(n).alias("size"), ((F.col("quality") + F.col("doc_id") % n) % 2).alias("hit")) for n in (3, 5, 7, 11)))).alias("i", "s"))
+    return classifiers.accuracy_gains(sizes.groupBy("s.size").agg(F.avg(F.col("s.hit").cast("double")).alias("accuracy"))).select("size", r6("accuracy").alias("accuracy"), r6("gain").alias("gain"))
+
+
 @query
 def classify_compare(spark, d):
     from glossa.operators import classifiers
@@ -331,6 +413,14 @@ def classify_compare(spark, d):
     return classifiers.compare(rows.where("not test"), rows.where("test"))
 
 
+@query
+def classify_cross_validation(spark, d):
+    """The two classifiers that train fastest, so that the query stays light; ``experiments`` takes all five."""
+    from glossa.operators import classifiers
+
+    return classifiers.cross_validation(vectors(spark, d), ["linear_svm", "random_forest"], 3)[1]
+
+
 # Gaussian mixtures: labels as speakers; two components by the parity of vec_id
 
 
@@ -364,6 +454,19 @@ def gmm_identify(spark, d):
     return mixtures.identify(tests, parity_model(spark, d, 1), 3).select("truth", "utt", "speaker", F.round("loglik", 4).alias("loglik"), "rank", "correct")
 
 
+@query
+def gmm_open_set(spark, d):
+    speakers = frames(spark, d).select("speaker")
+    model = mixtures.open_set(parity_model(spark, d, 1), speakers, 5)
+    tests = frames(spark, d).select(F.col("speaker").alias("truth"), F.col("id").alias("utt"), "x")
+    return mixtures.identify(tests, model, 6).select("truth", "utt", "speaker", F.when(F.col("loglik") > float("-inf"), F.round("loglik", 4)).alias("loglik"), "rank", "correct")
+
+
+@query
+def gmm_sweep(spark, d):
+    return mixtures.sweep(frames(spark, d), "id", (2, 1), (0,), (4,), m=1, max_iter=2, var_floor=1e-3)
+
+
 @query
 def gmm_hold_out(spark, d):
     return mixtures.hold_out(frames(spark, d).select("speaker", "id"), "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glossa.functions.comments import CLITICS_AFTER_SPACE, CLITICS_ANYWHERE, CLITICS_BEFORE_SPACE
 from glossa.functions.text import FRENCH_CONTRACTIONS, NOT_APOSTROPHE, PUNCT_CLASS, SPLIT_OFF, URL
 from glossa.operators.features import FIRST_PERSON, FUTURE, SECOND_PERSON, SLANG, THIRD_PERSON
 
@@ -34,8 +35,8 @@ def split_french(c: str) -> str:
 
 
 LINES = f"""docs_lines AS (
-  SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
-  FROM documents WHERE lang IN ('en', 'fr')),
+  SELECT doc_id, coalesce(lang, '') AS lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents),
 lines AS (
   SELECT doc_id, lang, line_no,
     {toks("'SENTSTART ' || CASE WHEN lang = 'fr' THEN " + normal(split_french(STRIP.format("line"))) + " ELSE " + normal(STRIP.format("line")) + " END || ' SENTEND'")} AS toks
@@ -45,14 +46,18 @@ TRANSCRIPT = toks(r"regexp_replace(lower(text), '[!-/:-@\\^_`{-~]', ' ', 'g')")
 TURNS = f"""turns AS (
   SELECT conv_id, turn, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c
   FROM (SELECT conv_id, turn, {TRANSCRIPT} AS a FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
-BITEXT = f"""{TURNS}, bitext AS (
-  SELECT conv_id || ':' || turn AS pid, a AS e_toks, b AS f_toks FROM turns WHERE b IS NOT NULL AND turn % 2 = 0),
+PAIRS = f"""{TURNS}, bitext AS (
+  SELECT conv_id || ':' || turn AS pid, turn, a AS e_toks, b AS f_toks FROM turns WHERE b IS NOT NULL AND turn % 2 = 0%LIMIT%)"""
+BITEXT = f"""{PAIRS},
 es AS (SELECT pid, e, count(*) AS ce FROM (SELECT pid, unnest(e_toks) AS e FROM bitext) GROUP BY ALL),
 fs AS (SELECT DISTINCT pid, f FROM (SELECT pid, unnest(f_toks) AS f FROM bitext)),
 cooc AS (SELECT pid, e, f, ce FROM es JOIN fs USING (pid)),
 m0 AS (SELECT e, f, 1.0::DOUBLE / count(*) OVER (PARTITION BY e) AS p FROM (SELECT DISTINCT e, f FROM cooc))"""
 
 
+WHOLE_BITEXT = BITEXT.replace("%LIMIT%", "")
+
+
 def em(i: int) -> str:
     return f"""j{i} AS (SELECT pid, e, f, p * ce / sum(p) OVER (PARTITION BY pid, f) AS c FROM cooc JOIN m{i - 1} USING (e, f)),
 c{i} AS (SELECT e, f, sum(c) AS c FROM j{i} GROUP BY ALL),
@@ -60,10 +65,15 @@ m{i} AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS p FROM c{i})"""
 
 
 def em_query(n: int) -> str:
-    steps = ", ".join([BITEXT, *(em(i) for i in range(1, n + 1))])
+    steps = ", ".join([BITEXT.replace("%LIMIT%", ""), *(em(i) for i in range(1, n + 1))])
     return f"WITH {steps} SELECT e, count(*) AS n_f, round(max(p), 6) AS top_p, round(sum(p * p), 6) AS sum_p2 FROM m{n} GROUP BY e"
 
 
+def em_of_first(n: int) -> str:
+    steps = ", ".join([BITEXT.replace("%LIMIT%", f" ORDER BY conv_id, turn LIMIT {n}"), em(1)])
+    return f"SELECT * FROM (WITH {steps} SELECT {n} AS size, e, count(*) AS n_f, round(max(p), 6) AS top_p, round(sum(p * p), 6) AS sum_p2 FROM m1 GROUP BY e)"
+
+
 def grams(t: str, n: int) -> str:
     return f"list_transform(range(1, len({t}) - {n} + 2), lambda i: {t}[i:i + {n - 1}])"
 
@@ -149,24 +159,34 @@ HASH = "('0x' || substr(md5('401|' || doc_id), 1, 8))::BIGINT"
 
 COST, LOW = 1 << 42, (1 << 21) - 1
 #: The edit table by diagonals: a cell holds cost, substitutions and insertions in one number; place i + 1 of a diagonal is row i.
-WORD_ERRORS = f"""WITH RECURSIVE {TURNS},
-pr AS (SELECT conv_id, turn, list_transform(a, lambda x: hash(x)) AS r, list_transform(b, lambda x: hash(x)) AS h FROM turns WHERE b IS NOT NULL),
+def word_errors(keys: str, pairs: str) -> str:
+    """CTEs up to we: (keys, s, i, d, n_ref, wer) of the rows (keys, a, b) that ``pairs`` selects."""
+    return f"""WITH RECURSIVE {TURNS},
+pr AS (SELECT {keys}, list_transform(a, lambda x: hash(x)) AS r, list_transform(b, lambda x: hash(x)) AS h FROM ({pairs})),
 d AS (
-  SELECT conv_id, turn, r, h, 0 AS k, []::BIGINT[] AS older, [0::BIGINT] || list_transform(r, lambda x: NULL::BIGINT) AS cells FROM pr
+  SELECT {keys}, r, h, 0 AS k, []::BIGINT[] AS older, [0::BIGINT] || list_transform(r, lambda x: NULL::BIGINT) AS cells FROM pr
   UNION ALL
-  SELECT conv_id, turn, r, h, k + 1, cells, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN k + 1 - i BETWEEN 0 AND len(h) THEN
+  SELECT {keys}, r, h, k + 1, cells, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN k + 1 - i BETWEEN 0 AND len(h) THEN
     CASE WHEN i > 0 AND coalesce(cells[i] // {COST} <= least(cells[i + 1] // {COST}, older[i] // {COST} + (r[i] <> h[k + 1 - i])::INT - 1), true) THEN cells[i] + {COST}
     WHEN i = 0 OR coalesce(cells[i + 1] // {COST} + 1 <= older[i] // {COST} + (r[i] <> h[k + 1 - i])::INT, false) THEN cells[i + 1] + {COST + 1}
     ELSE older[i] + (r[i] <> h[k + 1 - i])::INT * {COST + LOW + 1} END END)
   FROM d WHERE k < len(r) + len(h)),
-e AS (SELECT conv_id, turn, cells[len(r) + 1] AS c, len(r) AS n_ref FROM d WHERE k = len(r) + len(h)),
+e AS (SELECT {keys}, cells[len(r) + 1] AS c, len(r) AS n_ref FROM d WHERE k = len(r) + len(h)),
 we AS (
-  SELECT conv_id, turn, (c // {LOW + 1}) & {LOW} AS s, c & {LOW} AS i, c // {COST} - ((c // {LOW + 1}) & {LOW}) - (c & {LOW}) AS d, n_ref,
+  SELECT {keys}, (c // {LOW + 1}) & {LOW} AS s, c & {LOW} AS i, c // {COST} - ((c // {LOW + 1}) & {LOW}) - (c & {LOW}) AS d, n_ref,
     CASE WHEN n_ref = 0 THEN 'inf'::DOUBLE ELSE (c // {COST}) / n_ref::DOUBLE END AS wer FROM e)"""
 
+
+WORD_ERRORS = word_errors("conv_id, turn", "SELECT conv_id, turn, a, b FROM turns WHERE b IS NOT NULL")
+SYSTEM_ERRORS = word_errors("speaker, line_no, system", "SELECT conv_id AS speaker, turn AS line_no, unnest(['next', 'after']) AS system, a, unnest([b, c]) AS b FROM turns WHERE c IS NOT NULL")
+ANOVA = "f AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+
+CLITICS = "(?i)" + "|".join([f"({'|'.join(CLITICS_BEFORE_SPACE)})" + r"\s+", r"\s+" + f"({'|'.join(CLITICS_AFTER_SPACE)})", f"({'|'.join(CLITICS_ANYWHERE)})" + r"\s*"])
+
 SQL: dict[str, str] = {
     "text_newline_strip": f"SELECT doc_id, md5({STRIP.format('replace(text, chr(10), chr(32))')}) AS body_md5 FROM documents",
     "text_url_strip": f"SELECT page_id, md5(regexp_replace(html, {q(URL)}, ' ', 'g')) AS body_md5 FROM pages",
+    "text_clitic_split": f"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, {q('(?i)(s)' + chr(39) + '[' + chr(92) + 's]*')}, '\\1 ' || chr(1), 'g'), {q(CLITICS)}, ' \\1\\2\\3 ', 'g'), chr(1), chr(39))) AS body_md5 FROM documents",
     "text_punct_split": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(^|[^{PUNCT_CLASS}])([{NOT_APOSTROPHE}])', '\\1 \\2', 'g'), '([{NOT_APOSTROPHE}])([^{PUNCT_CLASS}])', '\\1 \\2', 'g')) AS body_md5 FROM documents",
     "sent_normalise": f"WITH {LINES} SELECT doc_id, line_no::INT AS line_no, array_to_string(toks, ' ') AS sentence FROM lines",
     "transcript_normalise": f"SELECT conv_id, turn, array_to_string({TRANSCRIPT}, ' ') AS words FROM conversations",
@@ -175,11 +195,25 @@ SQL: dict[str, str] = {
     "lm_sentence_logprob": SCORED.replace("%DELTAS%", "0.01") + " SELECT lang, doc_id, line_no::INT AS line_no, n_tokens, round(logprob, 6) AS logprob FROM scores",
     "lm_perplexity_sweep": SCORED.replace("%DELTAS%", "0, 0.0001, 0.001, 0.01, 0.1, 1")
     + " SELECT lang, delta, count_if(NOT bad)::BIGINT AS sentences, coalesce(sum(n_tokens) FILTER (NOT bad), 0)::BIGINT AS tokens, round(CASE WHEN count_if(NOT bad) = 0 THEN 0.0 ELSE pow(2, -sum(logprob) FILTER (NOT bad) / sum(n_tokens) FILTER (NOT bad)) END, 4) AS perplexity FROM scores GROUP BY lang, delta",
-    "cooc_pairs": f"WITH {BITEXT} SELECT pid, count(*) AS n, sum(ce)::BIGINT AS ce FROM cooc GROUP BY pid",
-    "ibm1_init": f"WITH {BITEXT} SELECT e, count(*) AS n_f, round(max(p), 6) AS p FROM m0 GROUP BY e",
+    "cooc_pairs": f"WITH {WHOLE_BITEXT} SELECT pid, count(*) AS n, sum(ce)::BIGINT AS ce FROM cooc GROUP BY pid",
+    "ibm1_init": f"WITH {WHOLE_BITEXT} SELECT e, count(*) AS n_f, round(max(p), 6) AS p FROM m0 GROUP BY e",
     "ibm1_em_step": em_query(1),
     "ibm1_em2": em_query(2),
-    "decode_candidates_top5": f"WITH {BITEXT} SELECT f, rank, e, round(p, 6) AS p FROM (SELECT f, e, p, row_number() OVER (PARTITION BY f ORDER BY p DESC, e)::INT AS rank FROM m0) WHERE rank <= 5",
+    "ibm1_size_sweep": f"{em_of_first(50)} UNION ALL {em_of_first(200)}",
+    "decode_score": f"""WITH {WHOLE_BITEXT},
+  t AS (SELECT f_toks FROM bitext WHERE turn % 4 = 0), u AS (SELECT w, count(*) AS c FROM (SELECT unnest(f_toks) AS w FROM t) GROUP BY w),
+  g AS (SELECT b[1] AS w1, b[2] AS w2, count(*) AS c12 FROM (SELECT unnest({grams('f_toks', 2)}) AS b FROM t WHERE len(f_toks) > 1) GROUP BY ALL),
+  x AS (SELECT pid AS sid, unnest(f_toks) AS w, generate_subscripts(f_toks, 1) AS at_ FROM bitext),
+  y AS (SELECT *, lag(w) OVER (PARTITION BY sid ORDER BY at_) AS v FROM x)
+  SELECT sid, round(coalesce(sum(CASE WHEN c IS NULL OR c12 IS NULL THEN '-inf'::DOUBLE ELSE log2(1.0 / length(y.w)) + log2(c12) + log2(c) END) FILTER (at_ > 1), 0.0), 6) AS score
+  FROM y LEFT JOIN u ON u.w = y.w LEFT JOIN g ON g.w1 = y.v AND g.w2 = y.w GROUP BY sid""",
+    "bleu_report": f"WITH {BLEU_ROWS}, s AS (SELECT turn % 3 AS model, {bleu(1)}, {bleu(2)}, {bleu(3)} FROM x), u AS (SELECT model, unnest([1, 2, 3]) AS n, unnest([bleu1, bleu2, bleu3]) AS b FROM s) SELECT model, n, count(b) AS lines, round(avg(b), 6) AS mean_bleu FROM u GROUP BY ALL".replace("round(CASE", "(CASE").replace("END, 6) AS bleu", "END) AS bleu"),
+    "wer_by_system": f"{SYSTEM_ERRORS} SELECT speaker, line_no, system, s, i, d, n_ref, round(wer, 6) AS wer FROM we",
+    "wer_system_summary": f"{SYSTEM_ERRORS} SELECT system, count(*) AS n_lines, round(avg(wer), 6) AS mean_wer, round(stddev_pop(wer), 6) AS std_wer FROM we GROUP BY ALL",
+    "matrix_join": "SELECT vec_id % 97 AS id, round(arg_max(embedding[1]::DOUBLE, k), 6) AS first, round(arg_max(list_sum(embedding::DOUBLE[]), k), 6) AS total FROM (SELECT *, [2, 1, 3, 0]::BIGINT[][vec_id % 4 + 1] * 1000000000 + vec_id AS k FROM embeddings) GROUP BY ALL",
+    "metrics_row": "WITH l AS (SELECT DISTINCT unnest([quality, toxic]) AS v FROM labels), c AS (SELECT a.v AS label, b.v AS pred, (SELECT count(*) FROM labels WHERE quality = a.v AND toxic = b.v) AS n FROM l a CROSS JOIN l b), m AS (SELECT *, sum(n) OVER (PARTITION BY label) AS r, sum(n) OVER (PARTITION BY pred) AS q FROM c) SELECT round(sum(n) FILTER (label = pred) / sum(n)::DOUBLE, 6) AS accuracy, string_agg(printf('%.4f', n / r::DOUBLE), ',' ORDER BY label) FILTER (label = pred) AS recall, string_agg(printf('%.4f', n / q::DOUBLE), ',' ORDER BY label) FILTER (label = pred) AS precision, string_agg(n, ',' ORDER BY label, pred) AS confusion FROM m",
+    "accuracy_gains": "WITH s AS (SELECT unnest([3, 5, 7, 11]) AS size, unnest([(quality + doc_id % 3) % 2, (quality + doc_id % 5) % 2, (quality + doc_id % 7) % 2, (quality + doc_id % 11) % 2])::DOUBLE AS hit FROM labels), a AS (SELECT size, avg(hit) AS a FROM s GROUP BY size) SELECT size, round(a, 6) AS accuracy, round(a - lag(a) OVER (ORDER BY size), 6) AS gain FROM a",
+    "decode_candidates_top5": f"WITH {WHOLE_BITEXT} SELECT f, rank, e, round(p, 6) AS p FROM (SELECT f, e, p, row_number() OVER (PARTITION BY f ORDER BY p DESC, e)::INT AS rank FROM m0) WHERE rank <= 5",
     "bleu_precision": f"WITH {BLEU_ROWS} SELECT conv_id, turn, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3 FROM x",
     "bleu_brevity": f"WITH {BLEU_ROWS} SELECT conv_id, turn, round({BREVITY}, 6) AS bp FROM x",
     "bleu_combined": f"WITH {BLEU_ROWS} SELECT conv_id, turn, {bleu(1)}, {bleu(2)}, {bleu(3)} FROM x",
@@ -189,6 +223,9 @@ SQL: dict[str, str] = {
     "feat_lexicon_stats": f"WITH {LEXICON}, t AS (SELECT doc_id AS id, lower(unnest({toks('text')})) AS word FROM documents) SELECT id, "
     + ", ".join(f"round(coalesce(avg({c}), 0.0), 6) AS mean_{c}, round(coalesce(stddev_pop({c}), 0.0), 6) AS std_{c}" for c in ("aoa", "img", "fam"))
     + " FROM t JOIN lex USING (word) GROUP BY id",
+    "feat_lexicon_case": f"WITH {LEXICON}, t AS (SELECT doc_id AS id, unnest({toks('text')}) AS word FROM documents) SELECT id, "
+    + ", ".join(f"round(coalesce(avg({c}), 0.0), 6) AS mean_{n}, round(coalesce(stddev_pop({c}), 0.0), 6) AS std_{n}" for c, n in (("aoa", "v"), ("img", "a"), ("fam", "d")))
+    + " FROM t JOIN lex USING (word) GROUP BY id",
     "lexicon_last_wins": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "circular_sample": "WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, source FROM documents), p AS (SELECT i AS place, (1000000007 + i) % (SELECT count(*) FROM documents) AS idx FROM range(10000) r(i)) SELECT place::INT AS place, doc_id, source FROM p JOIN n USING (idx)",
     "confusion_matrix": "WITH l AS (SELECT DISTINCT unnest([quality, toxic]) AS v FROM labels) SELECT a.v AS label, b.v AS pred, (SELECT count(*) FROM labels WHERE quality = a.v AND toxic = b.v) AS n FROM l a CROSS JOIN l b",
@@ -203,5 +240,6 @@ SQL: dict[str, str] = {
     "gmm_m_step": RESP
     + " SELECT speaker, r.m, round(avg(p), 5) AS w, dim::INT AS dim, round(sum(p * x) / sum(p), 5) AS mu, round(greatest(sum(p * x * x) / sum(p) - (sum(p * x) / sum(p)) * (sum(p * x) / sum(p)), 1e-6), 5) AS var FROM r JOIN (SELECT id, dim, x FROM f) g USING (id) GROUP BY speaker, r.m, dim",
     "gmm_identify": f"WITH {FRAMES.format(parts=1)}, b AS (SELECT f.speaker AS truth, f.id AS utt, k.speaker, {DENSITY} AS ll FROM f JOIN model k ON f.dim = k.dim GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY truth, utt ORDER BY ll DESC, speaker)::INT AS rank FROM b) SELECT truth, utt, speaker, round(ll, 4) AS loglik, rank, truth = speaker AS correct FROM r WHERE rank <= 3",
+    "gmm_open_set": f"WITH {FRAMES.format(parts=1)}, sp AS (SELECT speaker, row_number() OVER (ORDER BY speaker) <= 5 AS known FROM (SELECT DISTINCT speaker FROM f)), b AS (SELECT f.speaker AS truth, f.id AS utt, k.speaker, {DENSITY} AS ll FROM f JOIN model k ON f.dim = k.dim GROUP BY ALL), s AS (SELECT truth, utt, speaker, CASE WHEN known THEN ll END AS ll FROM b JOIN sp USING (speaker)), r AS (SELECT *, row_number() OVER (PARTITION BY truth, utt ORDER BY ll DESC NULLS LAST, speaker)::INT AS rank FROM s) SELECT truth, utt, speaker, round(ll, 4) AS loglik, rank, truth = speaker AS correct FROM r WHERE rank <= 6",
     "gmm_hold_out": "SELECT label::VARCHAR AS speaker, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY md5('401|' || vec_id)) = 1 AS test FROM embeddings",
 }

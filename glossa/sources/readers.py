@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators.features import last_wins
+from glossa.functions.text import strip
+from glossa.operators.features import last_wins, positional_features
 
 
 def read_comments(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,12 +24,13 @@ def read_comments(spark: SparkSession, folder: str) -> DataFrame:
 def read_lexicon(spark: SparkSession, path: str, key: str) -> DataFrame:
     """A CSV with header, all cells text; of repeated keys the last row wins."""
     rows = spark.read.option("header", "true").csv(path)
-    placed = rows.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.monotonically_increasing_id()})
-    return last_wins(placed, key, ["_file", "_at"]).drop("_file", "_at")
+    # splits of a file may be read in any order, but each knows where it starts
+    placed = rows.withColumns({"_file": F.col("_metadata.file_name"), "_start": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    return last_wins(placed, key, ["_file", "_start", "_at"]).drop("_file", "_start", "_at")
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("entry"))
+    return spark.read.text(path).select(strip(F.col("value")).alias("entry"))
 
 
 def read_lines(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
@@ -70,6 +74,38 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     return raw.mapInPandas(load, "speaker string, utt string, t long, x array<double>")
 
 
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, features) of the sole array of each npy or npz file at ``path``; a file is one value."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import numpy as np
+
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                x = np.load(io.BytesIO(content))
+                x = x[x.files[0]] if hasattr(x, "files") else x
+                for at in range(0, len(x), 8192):
+                    part = x[at : at + 8192]
+                    yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "row": range(at, at + len(part)), "features": list(part.astype(float))})
+
+    return raw.mapInPandas(load, "file string, row long, features array<double>")
+
+
+def read_external_features(spark: SparkSession, folder: str, classes: tuple[str, ...] = ("Alt", "Center", "Left", "Right"), ids: str = "{}_IDs.txt", matrix: str = "{}_feats.dat.npy") -> DataFrame:
+    """(id, feats) from a text file of ids and a matrix file for each class, joined by line; of repeated ids the last wins, classes in the order given."""
+
+    def named(pattern: str, file: Column) -> Column:
+        head, tail = (re.escape(x) for x in pattern.split("{}"))
+        return F.regexp_extract(file, f"^{head}(.*){tail}$", 1)
+
+    lines = spark.read.text([f"{folder}/{ids.format(c)}" for c in classes], wholetext=True).select(named(ids, F.col("_metadata.file_name")).alias("cat"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("row", "id"))
+    rows = reduce(DataFrame.unionByName, [read_matrix(spark, f"{folder}/{matrix.format(c)}") for c in classes])
+    return positional_features(lines.select("cat", F.col("row").cast("long").alias("row"), strip(F.col("id")).alias("id")), rows.select(named(matrix, F.col("file")).alias("cat"), "row", F.col("features").alias("feats")), classes)
+
+
 def read_transcripts(spark: SparkSession, folder: str, names: dict[str, str]) -> DataFrame:
     """(speaker, line_no, system, text) of <speaker>/<file> for the speakers that have all of ``names`` (system to file name)."""
     raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
@@ -100,5 +136,16 @@ def cached_model(spark: SparkSession, root: str, name: str, params: dict, build)
 
 
 def write_report(df: DataFrame, path: str, order: list[str]) -> None:
-    """Rows as comma-separated lines of any width; a report is small."""
-    df.orderBy(*order).select(F.concat_ws(",", *(F.col(c).cast("string") for c in df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Rows as comma-separated lines; a report is small."""
+    write_ragged(df.select(*order, F.array(*(F.col(c).cast("string") for c in df.columns)).alias("cells")), path, order)
+
+
+def write_ragged(rows: DataFrame, path: str, order: list[str]) -> None:
+    """``rows`` (order, cells: array<string>, of any lengths) as comma-separated lines; cells with commas, quotes or line ends are quoted."""
+    quoted = F.transform("cells", lambda c: F.when(c.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))))
+    write_lines(rows.select(*order, F.array_join(quoted, ",").alias("value")), path, order)
+
+
+def write_lines(rows: DataFrame, path: str, order: list[str]) -> None:
+    """The column ``value`` of ``rows`` as one text file, in ``order``; a report is small."""
+    rows.orderBy(*order).select("value").coalesce(1).write.mode("overwrite").text(path)

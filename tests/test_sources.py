@@ -3,7 +3,8 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from glossa.sources import readers
+from glossa import cli
+from glossa.sources import readers, reports
 from glossa.streaming.stateless import normalised_stream
 
 
@@ -47,6 +48,44 @@ def test_sinks(spark, tmp_path):
     assert [r.entry for r in readers.read_words(spark, str(words)).collect()] == ["the", "of"]
 
 
+def test_matrices_and_external_features(spark, tmp_path):
+    np.savez(tmp_path / "m.npz", np.arange(6.0).reshape(3, 2))
+    assert [(r.row, r.features) for r in readers.read_matrix(spark, str(tmp_path / "m.npz")).orderBy("row").collect()] == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5])]
+    for i, c in enumerate(("Alt", "Center", "Left", "Right")):
+        (tmp_path / f"{c}_IDs.txt").write_text(f"{c}1\nboth\n")
+        np.save(tmp_path / f"{c}_feats.dat.npy", np.array([[i, 0.5], [i, 1.5]]))
+    got = {r.id: r.feats for r in readers.read_external_features(spark, str(tmp_path)).collect()}
+    assert got == {"Alt1": [0, 0.5], "Center1": [1, 0.5], "Left1": [2, 0.5], "Right1": [3, 0.5], "both": [3, 1.5]}
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(2, ["x"]), (1, ["a,b", 'say "c"', None]), (3, [])], "k int, cells array<string>")
+    readers.write_ragged(rows, str(tmp_path / "csv"), ["k"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "csv")).collect()] == ['"a,b","say ""c""",', "x", ""]
+    errors = spark.createDataFrame([("sp", "Kaldi", 0, 0.5, 1, 0, 0)], "speaker string, system string, line_no long, wer double, s long, i long, d long")
+    summary = spark.createDataFrame([("Kaldi", 0.5, 0.0)], "system string, mean_wer double, std_wer double")
+    readers.write_lines(reports.error_lines(errors, summary), str(tmp_path / "wer"), ["at"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "wer")).collect()] == ["[sp] Kaldi 0 0.500 S:1, I:0, D:0", "Kaldi WER Avg: 0.5000 Kaldi WER StD: 0.0000"]
+    p = reports.perplexity_lines(spark.createDataFrame([("e", 0.1, 12.34567)], "lang string, delta double, perplexity double"))
+    assert [r.value for r in p.orderBy("at").collect()] == ["Language, Delta, Perplexity", "E, 0.1, 12.3457"]
+
+
+def test_command_lines(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "Left").write_text(json.dumps([json.dumps({"id": str(i), "body": f"The dogs bark, {i}."}) for i in range(3)]))
+    cli.main(["preprocess", "4", "-i", str(tmp_path / "c"), "-o", str(tmp_path / "out"), "--max", "2"])
+    assert sorted((r.id, r.body, r.cat) for r in spark.read.json(str(tmp_path / "out" / "Left")).collect()) == [("1", "the/DT dog/NNS bark/NN ,/, 1/CD ./.\n", "Left"), ("2", "the/DT dog/NNS bark/NN ,/, 2/CD ./.\n", "Left")]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "d.e").write_text("the house\nthe cat\n")
+    (tmp_path / "p" / "d.f").write_text("la maison\nle chat\n")
+    for n, t in (("s", "la maison"), ("h", "the house"), ("m", "a house")):
+        (tmp_path / n).write_text(t + "\n")
+    cli.main(["evaluate", "-i", str(tmp_path / "p"), "-o", str(tmp_path / "bleu"), "--source", str(tmp_path / "s"), "--human", str(tmp_path / "h"), "--machine", str(tmp_path / "m"), "--sizes", "1", "2", "--iterations", "1"])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "bleu")).collect()]
+    assert len(lines) == 12 and lines[0].startswith("1: BLEU scores with 1-gram: (Average ")
+    assert set(cli.COMMANDS) == {"preprocess", "extract", "classify", "align", "evaluate", "identify"}
+
+
 def test_stream_matches_batch(spark, tmp_path):
     rows = spark.createDataFrame([("The cat, sat.",), ("A dog",)], "text string")
     rows.write.parquet(str(tmp_path / "in"))
