@@ -210,7 +210,7 @@ SQL: dict[str, str] = {
     "bleu_report": f"WITH {BLEU_ROWS}, s AS (SELECT turn % 3 AS model, {bleu(1)}, {bleu(2)}, {bleu(3)} FROM x), u AS (SELECT model, unnest([1, 2, 3]) AS n, unnest([bleu1, bleu2, bleu3]) AS b FROM s) SELECT model, n, count(b) AS lines, round(avg(b), 6) AS mean_bleu FROM u GROUP BY ALL".replace("round(CASE", "(CASE").replace("END, 6) AS bleu", "END) AS bleu"),
     "wer_by_system": f"{SYSTEM_ERRORS} SELECT speaker, line_no, system, s, i, d, n_ref, round(wer, 6) AS wer FROM we",
     "wer_system_summary": f"{SYSTEM_ERRORS} SELECT system, count(*) AS n_lines, round(avg(wer), 6) AS mean_wer, round(stddev_pop(wer), 6) AS std_wer FROM we GROUP BY ALL",
-    "matrix_join": "SELECT vec_id % 97 AS id, round(arg_max(embedding[1]::DOUBLE, k), 6) AS first, round(arg_max(list_sum(embedding::DOUBLE[]), k), 6) AS total FROM (SELECT *, [2, 1, 3, 0]::BIGINT[][vec_id % 4 + 1] * 1000000000 + vec_id AS k FROM embeddings) GROUP BY ALL",
+    "matrix_join": "SELECT vec_id % 97 AS id, round(arg_max(embedding[1]::DOUBLE, k), 6) AS first, round(arg_max(list_sum(embedding::DOUBLE[]), k), 6) AS total FROM (SELECT *, ([2, 1, 3, 0]::BIGINT[])[vec_id % 4 + 1] * 1000000000 + vec_id AS k FROM embeddings) GROUP BY ALL",
     "metrics_row": "WITH l AS (SELECT DISTINCT unnest([quality, toxic]) AS v FROM labels), c AS (SELECT a.v AS label, b.v AS pred, (SELECT count(*) FROM labels WHERE quality = a.v AND toxic = b.v) AS n FROM l a CROSS JOIN l b), m AS (SELECT *, sum(n) OVER (PARTITION BY label) AS r, sum(n) OVER (PARTITION BY pred) AS q FROM c) SELECT round(sum(n) FILTER (label = pred) / sum(n)::DOUBLE, 6) AS accuracy, string_agg(printf('%.4f', n / r::DOUBLE), ',' ORDER BY label) FILTER (label = pred) AS recall, string_agg(printf('%.4f', n / q::DOUBLE), ',' ORDER BY label) FILTER (label = pred) AS precision, string_agg(n, ',' ORDER BY label, pred) AS confusion FROM m",
     "accuracy_gains": "WITH s AS (SELECT unnest([3, 5, 7, 11]) AS size, unnest([(quality + doc_id % 3) % 2, (quality + doc_id % 5) % 2, (quality + doc_id % 7) % 2, (quality + doc_id % 11) % 2])::DOUBLE AS hit FROM labels), a AS (SELECT size, avg(hit) AS a FROM s GROUP BY size) SELECT size, round(a, 6) AS accuracy, round(a - lag(a) OVER (ORDER BY size), 6) AS gain FROM a",
     "decode_candidates_top5": f"WITH {WHOLE_BITEXT} SELECT f, rank, e, round(p, 6) AS p FROM (SELECT f, e, p, row_number() OVER (PARTITION BY f ORDER BY p DESC, e)::INT AS rank FROM m0) WHERE rank <= 5",
