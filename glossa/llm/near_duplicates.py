@@ -7,11 +7,11 @@ on. Its sketch is cut into bands, whose hashes are buckets.
 
 Links are confirmed on full sets. No bucket is turned into all its pairs: three
 centres of each bucket are compared with its members; afterwards only pairs of
-one bucket that still lie in different components are compared, in cells of a
-bounded number of members that carry sketches, not sets; the few pairs that no
-sketch refuses meet with their sets. So every pair that shares a bucket ends in
-one component or has been refused by an exact comparison or by a sketch more
-than 5 standard deviations too far off.
+one bucket that still lie in different components are compared, first by
+sketches in cells of a bounded number of members, then, where no sketch refused
+them, by their sets in smaller cells, which give out nothing but links. So every
+pair that shares a bucket ends in one component or has been refused by an exact
+comparison or by a sketch more than 5 standard deviations too far off.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import scan
@@ -91,10 +91,10 @@ def close_sketches(least: float):
     return run
 
 
-#: Members of a bucket on each side of a cell; pairs that leave a cell at once.
-BLOCK, PAIRS = 2048, 1 << 16
-#: Rows of an Arrow batch of texts, each of which may be long.
-TEXTS = 1024
+#: Members of a bucket on each side of a cell of sketches, and of a cell of sets.
+BLOCK, FINE = 4096, 128
+#: Rows of an Arrow batch: of texts, and of sets, each of which may be long.
+TEXTS, SETS = 1024, 256
 
 
 def refusal(percent: int, t: int) -> float:
@@ -103,52 +103,95 @@ def refusal(percent: int, t: int) -> float:
     return q - 5 * math.sqrt(q * (1 - q) / t)
 
 
-def cell_pairs(percent: int, least: float):
-    """Reads cells (sorted by cell, bucket): left rows against right ones of other labels; gives the pairs that neither sizes nor sketches refuse."""
+def by_key(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each key, the first ``n_keys`` columns (longs), of batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in range(n_keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and last != tuple(key[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(key[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def cell_blocks(percent: int, least: float):
+    """Reads cells (sorted by cell, bucket): left rows against right ones of other labels. Pairs that neither sizes nor sketches refuse are dealt into smaller cells.
+
+    Of those each member gives a row: (fine, left, place, partners, did, th);
+    partners are the places of the right rows that a left one is to meet.
+    """
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         left = rows["left"].to_numpy()
-        sizes, vertex, label = rows["n"].to_numpy(), np.stack([rows["did"].to_numpy(), rows["th"].to_numpy()], 1), np.stack([rows["label_did"].to_numpy(), rows["label_th"].to_numpy()], 1)
         x, y = np.flatnonzero(left), np.flatnonzero(~left)
         if not len(x) or not len(y):
             return
+        sizes, vertex, label = rows["n"].to_numpy(), np.stack([rows["did"].to_numpy(), rows["th"].to_numpy()], 1), np.stack([rows["label_did"].to_numpy(), rows["label_th"].to_numpy()], 1)
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(left), -1)
         marks = np.asarray(rows["bands"].combine_chunks().flatten()).reshape(len(left), -1)
-        bucket, found, held = rows["bucket"][0].as_py(), [], 0
+        cell, bucket = (rows[c][0].as_py() for c in ("cell", "bucket"))
         right_sketch, right_marks, right_sizes, right_label = sketch[y], marks[y], sizes[y], label[y]
-        for i in x.tolist():
-            fits = (100 * np.minimum(right_sizes, sizes[i]) >= percent * np.maximum(right_sizes, sizes[i])) & (right_label != label[i]).any(axis=1)
-            at = np.flatnonzero(fits)
-            at = at[(right_sketch[at] == sketch[i]).mean(axis=1) >= least]
-            # a pair leaves the first bucket that it shares
-            at = at[marks[i][(right_marks[at] == marks[i]).argmax(axis=1)] == bucket]
-            found.append((np.repeat(i, len(at)), y[at]))
-            held += len(at)
-            if held >= PAIRS:
-                yield pairs(vertex, found)
-                found, held = [], 0
-        yield pairs(vertex, found)
-
-    def pairs(vertex: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (vertex[np.concatenate([f[k] for f in found])] for k in range(2))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], ["a", "at", "b", "bt"])
+        for first in range(0, len(x), FINE):
+            mine, theirs = [], []
+            for place, i in enumerate(x[first : first + FINE].tolist()):
+                fits = (100 * np.minimum(right_sizes, sizes[i]) >= percent * np.maximum(right_sizes, sizes[i])) & (right_label != label[i]).any(axis=1)
+                at = np.flatnonzero(fits)
+                at = at[(right_sketch[at] == sketch[i]).mean(axis=1) >= least]
+                # a pair is taken in the first bucket that it shares
+                at = at[marks[i][(right_marks[at] == marks[i]).argmax(axis=1)] == bucket]
+                mine.append(np.full(len(at), place))
+                theirs.append(at)
+            a, b = np.concatenate(mine), np.concatenate(theirs)
+            for block in np.unique(b // FINE).tolist():
+                here = b // FINE == block
+                fine = scan.mix(np.array([cell ^ bucket], np.int64).view(np.uint64) ^ scan.mix(np.array([(first << 32) | block], np.uint64)))
+                yield dealt(fine.view(np.int64)[0], a[here], b[here] % FINE, vertex[x[first : first + FINE]], vertex[y[block * FINE : (block + 1) * FINE]])
+
+    def dealt(fine: int, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        lefts, n = np.unique(a, return_counts=True)
+        rights = np.unique(b)
+        places = np.concatenate([lefts, rights])
+        who = np.concatenate([left[lefts], right[rights]])
+        cuts = np.concatenate([[0], np.cumsum(n), np.full(len(rights), len(b))]).astype(np.int32)
+        partners = pa.ListArray.from_arrays(pa.array(cuts), pa.array(b[np.argsort(a, kind="stable")].astype(np.int32)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(places), fine)), pa.array(np.arange(len(places)) < len(lefts)), pa.array(places.astype(np.int32)), partners, pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy())],
+            ["fine", "left", "place", "partners", "did", "th"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and last != tuple(key[a]):
-                    yield from compare(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(key[a])
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+        for rows in by_key(batches, 2):
+            yield from compare(rows)
+
+    return run
+
+
+def fine_links(percent: int):
+    """Reads rows of ``cell_blocks`` with their sets, sorted by fine: gives the linked pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches, 1):
+            left, place = rows["left"].to_pylist(), rows["place"].to_pylist()
+            sets = [np.asarray(rows["items"][i].values) for i in range(len(left))]
+            right = {p: i for i, p in enumerate(place) if not left[i]}
+            vertex = np.stack([rows["did"].to_numpy(), rows["th"].to_numpy()], 1)
+            found = []
+            for i in np.flatnonzero(left).tolist():
+                for p in rows["partners"][i].as_py():
+                    x, y = sets[i], sets[right[p]]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        found.append((i, right[p]))
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*vertex[pairs[:, 0]].T.copy(), *vertex[pairs[:, 1]].T.copy())], ["a", "at", "b", "bt"])
 
     return run
 
@@ -198,10 +241,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
         sized = sized.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
         return sized.select("a", "at", "b", "bt", "sketch_a", "sketch_b").mapInArrow(close_sketches(least), pair)
 
+    def ends() -> list[Column]:
+        return [F.struct(F.col(s).alias("did"), F.col(f"{s}t").alias("th")).alias(n) for s, n in (("a", "u"), ("b", "v"))]
+
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side(sets, "a", "items"), ["a", "at"]).join(side(sets, "b", "items"), ["b", "bt"])
-        u, v = (F.struct(F.col(s).alias("did"), F.col(f"{s}t").alias("th")).alias(n) for s, n in (("a", "u"), ("b", "v")))
-        common = both.select(u, v, F.size(F.array_intersect("items_a", "items_b")).alias("common"), (F.size("items_a") + F.size("items_b")).alias("total"))
+        common = both.select(*ends(), F.size(F.array_intersect("items_a", "items_b")).alias("common"), (F.size("items_a") + F.size("items_b")).alias("total"))
         return common.where(f"100 * common >= {percent} * (total - common)").select("u", "v")
 
     centred = shared.select(F.explode("centres").alias("x"), F.col("node").alias("y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
@@ -226,11 +271,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, rows:
     row, column = (F.when(F.col("s.left") == left, F.col("s.own")).otherwise(F.col("other")) for left in (True, False))
     cells = cells.select(F.xxhash64("bucket", row, column).alias("cell"), "bucket", F.col("s.left").alias("left"), "node.did", "node.th", F.col("label.did").alias("label_did"), F.col("label.th").alias("label_th"))
     cells = cells.join(brief, ["did", "th"]).select("cell", "bucket", "left", "did", "th", "label_did", "label_th", "n", "sketch", "bands")
-    apart = cells.repartition("cell").sortWithinPartitions("cell", "bucket").mapInArrow(cell_pairs(percent, least), pair)
-    found2 = keep(linked(apart), "more-links")
+    apart = cells.repartition("cell").sortWithinPartitions("cell", "bucket").mapInArrow(cell_blocks(percent, least), "fine long, left boolean, place int, partners array<int>, did long, th long")
+    apart = keep(apart, "apart")
+    full = apart.join(sets, ["did", "th"]).select("fine", "left", "place", "partners", "did", "th", "items")
+    with small_batches(spark, SETS):
+        found2 = keep(full.repartition("fine").sortWithinPartitions("fine").mapInArrow(fine_links(percent), pair).select(*ends()), "more-links")
     label2 = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found2))
     of_class = keep(classes.join(label2.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("label")), "of-class")
-    discard(found, found2, label, shared, brief, sets)
+    discard(found, found2, label, shared, brief, sets, apart)
     out = sig.select("did", "th", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left").withColumn("label", F.coalesce("label", node))
     component, kept = F.col("label.did"), F.col("label") == node
     if not by_row:

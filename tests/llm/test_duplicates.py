@@ -5,12 +5,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glossa.llm import repeats, scan
 from glossa.llm.components import components
-from glossa.llm.near_duplicates import near_duplicates
+from glossa.llm.near_duplicates import cell_blocks, near_duplicates, refusal
 from glossa.llm.sketches import fast_sketches
 from glossa.llm.substrings import FingerprintIndex, batches_of, remove_earlier_windows
 from glossa.llm.suffixes import suffix_array
@@ -64,6 +65,22 @@ def test_near_duplicates_of_one_large_group(spark):
     assert sum(r.kept for r in out) == len({r.component_id for r in out})
 
 
+def test_unlike_members_of_a_bucket_leave_no_rows():
+    """2,000 unlike members of one bucket are refused by their sketches; only pairs that are close give rows."""
+    r = np.random.default_rng(5)
+    n, t = 2000, 252
+    sketch = r.integers(0, 4, (n, t)).astype(np.uint8)
+    sketch[1700] = np.where(r.random(t) < 0.95, sketch[3], 9)
+    side = np.arange(n) % 2 == 0
+    side[[3, 1700]] = True, False
+    bands = np.tile(np.arange(42), (n, 1))
+    columns = {"cell": np.zeros(n, np.int64), "bucket": np.zeros(n, np.int64), "left": side, "did": np.arange(n), "th": np.arange(n), "label_did": np.arange(n), "label_th": np.arange(n), "n": np.full(n, 200)}
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), pa.array([s.tobytes() for s in sketch]), pa.array(bands.tolist())], [*columns, "sketch", "bands"])
+    rows = [x for b in cell_blocks(80, refusal(80, t))(iter([batch])) for x in b.to_pylist()]
+    assert [(x["left"], x["did"], len(x["partners"])) for x in rows] == [(True, 3, 1), (False, 1700, 0)]
+    assert rows[0]["partners"] == [rows[1]["place"]] and rows[0]["fine"] == rows[1]["fine"]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert near_duplicates(none).count() == 0
@@ -132,8 +149,6 @@ def test_repeats_in_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(scan, "PIECE", 1500)
     rows = [(r[0], r[1]) for r in odd_documents(5, 20)]
     runs = repeats.start_runs(60, 20)
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_pydict({"did": [r[0] or 0 for r in rows], "th": list(range(len(rows))), "text": [r[1] for r in rows]})
     starts = defaultdict(set)
     for b in runs(iter([batch])):
