@@ -332,3 +332,34 @@ def test_crc_and_hash_of_odd_texts(spark):
     rows = odd_documents(11, 6)
     out = frame(spark, rows).select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("c"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("s")).collect()
     assert Counter((r.doc_id, r.c, r.s) for r in out) == Counter((d, zlib.crc32((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in rows)
+
+
+def test_mix_of_rows_with_one_id_agrees_in_reruns(spark):
+    rows = [(7, f"a{i} b{i} c{i}", "s", None if i % 3 else i) for i in range(90)] + [(None, f"d{i} e f", "t", i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    first, again = (Counter(map(tuple, mix(d).collect())) for d in (docs, docs.repartition(7)))
+    assert first == again
+
+
+def test_good_documents_tell_nulls_apart(spark):
+    r = random.Random(6)
+    long_words, short_words = (" ".join("".join(r.choice("abcdefgh") for _ in range(n)) for _ in range(60)) for n in (11, 5))
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)), None, "x") for i in range(40)]
+    rows += [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(11)) for _ in range(60)), "x", None) for i in range(40, 80)]
+    rows += [(900, long_words, None, "x"), (900, long_words, "x", None), (901, short_words, None, "x"), (901, short_words, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {tuple(x)[::2] + (x.source,) for x in good_documents(docs).collect() if x.doc_id >= 900}
+    assert kept == {(900, "x", None), (901, None, "x")}
+
+
+def test_cards_among_other_digits_and_dates_of_one_form(spark):
+    card = "4068516892505468"
+    texts = [f"card {card} 12/25", f"12 {card} 7", f"{card} {card}", "4068 5168 9250 5468 12 x", f"no {card}1"]
+    out = [x.text for x in pseudonyms.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    new = re.match(r"card (\d{16}) 12/25", out[0])[1]
+    assert new != card and luhn(new)
+    assert out[1:3] == [f"12 {new} 7", f"{new} {new}"] and re.sub(r"\D", "", out[3])[:16] == new and out[3].endswith(" 12 x") and out[4] == texts[4]
+    days = spark.range(0, 73049, 29).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = days.select(F.explode(F.array(F.date_format("d", "dd/MM/yyyy"), F.when(F.day("d") > 12, F.date_format("d", "MM/dd/yyyy")))).alias("s")).where("s is not null")
+    got = forms.select("s", pseudonyms.date(F.col("s"), "k").alias("p")).agg(F.count_distinct("s"), F.count_distinct("p"), F.count_if(pseudonyms.day(F.col("p")).isNull())).first()
+    assert got[0] == got[1] > 4000 and got[2] == 0
