@@ -58,22 +58,25 @@ def window_runs(window: int, k: int):
 
 
 def wanted_windows(window: int):
-    """Rows (w1, w2, did, th, start) of the windows in the wanted runs of (did, th, text, wanted)."""
+    """Rows (w1, w2, did, th, start, again) of the windows in the wanted runs of (did, th, text, wanted); again: an earlier row of the same piece of the batch has the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            dids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for a, b, offs, data in scan.chunks(batch, 2):
                 _, _, h, own = scan.words(data, offs)
                 begins = np.searchsorted(own, np.arange(b - a))
                 w1, w2 = scan.grams(h, window, 3), scan.grams(h, window, 5)
-                for i in range(a, b):
-                    runs = batch.column(3)[i].as_py()
-                    at = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])) if runs else np.zeros(0, np.int64)
-                    x = at + begins[i - a]
-                    yield pa.RecordBatch.from_arrays(
-                        [scan.signed(w1[x]), scan.signed(w2[x]), pa.array([batch.column(0)[i].as_py()] * len(x), pa.int64()), pa.array([batch.column(1)[i].as_py()] * len(x), pa.int64()), pa.array(at)],
-                        ["w1", "w2", "did", "th", "start"],
-                    )
+                order = a + np.lexsort((ths[a:b], dids[a:b]))
+                starts = [np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in batch.column(3)[i].as_py()])) for i in order.tolist()]
+                at, row = np.concatenate(starts), np.repeat(order, [len(x) for x in starts])
+                x = at + begins[row - a]
+                x1, x2 = w1[x], w2[x]
+                # rows stand by place, so the row before an equal one in a stable order of windows is earlier
+                by_window = np.argsort(x1, kind="stable")
+                again = np.zeros(len(x), bool)
+                again[by_window[1:]] = (x1[by_window[1:]] == x1[by_window[:-1]]) & (x2[by_window[1:]] == x2[by_window[:-1]])
+                yield pa.RecordBatch.from_arrays([scan.signed(x1), scan.signed(x2), pa.array(dids[row]), pa.array(ths[row]), pa.array(at), pa.array(again)], ["w1", "w2", "did", "th", "start", "again"])
 
     return run
 
@@ -126,9 +129,11 @@ class FingerprintIndex:
         per_doc = met.where("mixed and first").groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("wanted"), F.max("new").alias("fresh"))
         texts = reduce(DataFrame.unionByName, [*self.texts, batch])
         read = texts.join(per_doc, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", "th", "text", "wanted")
-        seen = read.mapInArrow(wanted_windows(self.window), "w1 long, w2 long, did long, th long, start long")
-        here = F.struct("did", "th", "start")
-        earlier = seen.select("did", "th", "start", (F.min(here).over(Window.partitionBy("w1", "w2")) < here).alias("repeat")).where("repeat")
+        seen = read.mapInArrow(wanted_windows(self.window), "w1 long, w2 long, did long, th long, start long, again boolean")
+        # of a window one row a piece can be the first; the others are dealt by their place, so that no task gathers a window of very many texts
+        here, spread = F.struct("did", "th", "start"), F.when(F.col("again"), F.xxhash64("did", "th", "start"))
+        firsts = Window.partitionBy("w1", "w2", spread)
+        earlier = seen.select("did", "th", "start", (F.col("again") | (F.min(here).over(firsts) < here)).alias("repeat")).where("repeat")
         earlier = earlier.join(met.where("new").select("did", "th").distinct(), ["did", "th"], "left_semi")
         out = keep(spans.unionByName(earlier.select("did", "th", "start", (F.col("start") + F.lit(self.window)).alias("end"))), "spans")
         discard(met)
