@@ -202,15 +202,18 @@ def segments(path: Callable[[], str], end_id: int):
     return run
 
 
-def write_codes(docs: DataFrame, path: Callable[[], str], end_id: int = 1) -> DataFrame:
+def write_codes(docs: DataFrame, path: Callable[[], str], end_id: int = 1, to: str | None = None) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) as segments in ascending doc_id order; the table (part, seq, n_docs, n_ids, segment) as written.
 
     Null text: the end id only. Null doc_id: first. Rows that share a doc_id
     follow each other by text hash. Empty table: no segments. ``path`` gives
-    the tokenizer file's place on the machine that runs a task.
+    the tokenizer file's place on the machine that runs a task. The table goes
+    to the folder ``to`` (which must not exist), or to one of its own among the
+    intermediate tables; segments aren't compressed in it, so they can be
+    addressed there.
     """
     ordered = keyed(docs).repartitionByRange("did", "th").sortWithinPartitions("did", "th")
-    return keep(ordered.mapInArrow(segments(path, end_id), "part long, seq long, n_docs long, n_ids long, segment binary"), "codes", row_group=16 << 20)
+    return keep(ordered.mapInArrow(segments(path, end_id), "part long, seq long, n_docs long, n_ids long, segment binary"), "codes", row_group=16 << 20, compression="uncompressed", to=to)
 
 
 def read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,3 +240,28 @@ def read_codes(table: DataFrame) -> DataFrame:
     """One row per document of the segments in ``table``: doc_id, start, n_tokens, ids_crc32."""
     rows = located(table).select("first", "segment").mapInArrow(read_documents, "did long, start long, n_tokens long, ids_crc32 long")
     return rows.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def read_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, positions, segment) to (position, token): each id by its own codes, none of the others."""
+    for batch in batches:
+        for first, positions, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            s = Segment(raw.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(positions, pa.int64()), pa.array([s.token(p - first) for p in positions], pa.int64())], ["position", "token"])
+
+
+def tokens_at(table: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, token) for the distinct values of ``position`` in ``positions``: the places of ids among all ids of ``table``, from 0.
+
+    Null, negative and too large positions give no row. Segments without a
+    wanted id are not read by Python; positions meet the segments in bins of
+    ``SEGMENT`` ids, and a segment takes at most as many as it has ids.
+    """
+    places = located(table.select("part", "seq", "n_ids")).where("n_ids > 0")
+    bins = F.sequence(F.col("first").bitwiseAND(F.lit(-SEGMENT)), F.col("first") + F.col("n_ids") - 1, F.lit(SEGMENT).cast("long"))
+    places = places.select("part", "seq", "first", "n_ids", F.explode(bins).alias("bin"))
+    wanted = positions.select(F.col("position").cast("long").alias("position")).where("position >= 0").distinct()
+    wanted = wanted.withColumn("bin", F.col("position").bitwiseAND(F.lit(-SEGMENT)))
+    met = wanted.join(places, "bin").where("position >= first and position < first + n_ids")
+    lists = met.groupBy("part", "seq", "first").agg(F.collect_list("position").alias("positions"))
+    return table.join(lists, ["part", "seq"]).select("first", "positions", "segment").mapInArrow(read_tokens, "position long, token long")

@@ -25,12 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def keep(df: DataFrame, name: str, row_group: int = 64 << 20) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
+def keep(df: DataFrame, name: str, row_group: int = 64 << 20, compression: str = "zstd", to: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, or to the folder ``to``, and read it back: cuts the lineage, survives lost executors."""
+    path = to or f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).option("parquet.block.size", row_group).parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    kept._glossa_path = path
+    if not to:
+        kept._glossa_path = path
     return kept
 
 

@@ -3,7 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
-from glossa.llm.codes import Segment, encode, read_codes, write_codes
+from glossa.llm import codes
+from glossa.llm.codes import Segment, encode, read_codes, tokens_at, write_codes
 from glossa.llm.queries import tokenizer
 from tests.llm.fixtures import frame, odd_documents
 
@@ -44,3 +45,22 @@ def test_codes_round_trip(spark):
 
 def test_empty_table(spark):
     assert read_codes(write_codes(frame(spark, []), tokenizer)).count() == 0
+    none = spark.createDataFrame([(0,), (None,)], "position long")
+    assert tokens_at(write_codes(frame(spark, []), tokenizer), none).count() == 0
+
+
+@pytest.mark.parametrize("segment", [1 << 18, 256])
+def test_tokens_by_place(spark, tmp_path, monkeypatch, segment):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(codes, "SEGMENT", segment)
+    monkeypatch.setattr(codes.scan, "PIECE", 1 << 12)
+    t = Tokenizer.from_file(tokenizer())
+    rows = [(d, r[1]) for d, r in enumerate(odd_documents(3))]
+    ids = [x for _, text in rows for x in (*t.encode(text or "", add_special_tokens=False).ids, 1)]
+    to = f"file://{tmp_path}/codes"
+    write_codes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer, to=to)
+    table = spark.read.parquet(to)
+    wanted = [0, 1, 1, len(ids) - 1, len(ids), -1, None, 2**40, *range(5, len(ids), 97)]
+    out = tokens_at(table, spark.createDataFrame([(w,) for w in wanted], "position long")).collect()
+    assert sorted(tuple(r) for r in out) == [(w, ids[w]) for w in sorted({w for w in wanted if w is not None and 0 <= w < len(ids)})]
