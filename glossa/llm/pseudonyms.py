@@ -200,8 +200,11 @@ def cards(text: Column) -> Column:
             lambda near: F.coalesce(F.length(F.get(F.filter(F.array(*(F.regexp_extract(near, rf"^\d(?:[ -]?\d){{{d - 1}}}(?!\d)", 0) for d in CARD_DIGITS)), lambda x: (x != "") & valid_card(x)), F.lit(0))), F.lit(0)),
         )
 
+    # the first part begins the text, whether a card may begin there or not
+    begins = text.rlike(f"^{CARD_START}")
+
     def chosen(parts: Column) -> Column:
-        each = F.transform(parts, lambda x, i: F.struct(F.length(x).alias("chars"), length_at(parts, i).alias("card")))
+        each = F.transform(parts, lambda x, i: F.struct(F.length(x).alias("chars"), F.when((i > 0) | begins, length_at(parts, i)).otherwise(F.lit(0)).alias("card")))
         none = F.array().cast("array<struct<start:int,end:int>>")
 
         def step(s: Column, x: Column) -> Column:
