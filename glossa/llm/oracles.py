@@ -49,11 +49,11 @@ SELECT doc_id, len(w.w) AS n_words, len(w.w) - coalesce(n, 0) AS n_removed, sha2
 
 def rule(metric: str, value: str, below: str, above: int, wider: str) -> str:
     """A document passes if its value lies within the distances allowed around the median of its group."""
-    low = f"{value} - {metric}[2] >= -greatest({below}, 5 * ({metric}[2] - {metric}[1])) * {wider}" if below else "true"
-    return f"coalesce({low} AND {value} - {metric}[2] < greatest({above}, 5 * ({metric}[3] - {metric}[2])) * {wider} + 1, true)"
+    low = f"{value} - {metric}[2] >= -greatest({below}, 10 * ({metric}[2] - {metric}[1]), {metric}[2] * 2 // 5000) * {wider}" if below else "true"
+    return f"coalesce({low} AND {value} - {metric}[2] < greatest({above}, 10 * ({metric}[3] - {metric}[2]), {metric}[2] * 2 // 5000) * {wider} + 1, true)"
 
 
-WIDER = "sqrt(greatest(1.0, 50 / greatest(n_words, 1)::DOUBLE))"
+WIDER = "sqrt(greatest(1.0, 100 / greatest(n_words, 1)::DOUBLE))"
 OP7 = rf"""WITH w AS MATERIALIZED (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -66,7 +66,7 @@ s AS MATERIALIZED (
   FROM w LEFT JOIN rep USING (doc_id)),
 v AS (
   SELECT lang, source, unnest(['mean_chars', 'symbols', 'dup_lines']) AS metric,
-    unnest([least(10000, word_chars * 100 // n_words), least(10000, n_symbols * 1000 // n_words), least(10000, n_dup_lines * 1000 // n_lines)]) AS x
+    unnest(list_transform([word_chars * 100 // n_words, n_symbols * 1000 // n_words, n_dup_lines * 1000 // n_lines], lambda x: CASE WHEN x < 10000 THEN x ELSE x - x % (1::BIGINT << length(bin(x // 10000))) END)) AS x
   FROM s WHERE n_words > 0),
 o AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY ALL),
 l AS (SELECT lang, metric, count(*) AS n, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY ALL),
@@ -77,7 +77,7 @@ q AS (
 p AS (SELECT lang, source, max(q) FILTER (metric = 'mean_chars') AS mean_chars, max(q) FILTER (metric = 'symbols') AS symbols, max(q) FILTER (metric = 'dup_lines') AS dup_lines FROM q GROUP BY ALL),
 b AS (SELECT s.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, mean_chars, symbols, dup_lines FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND {rule("mean_chars", "word_chars * 100 / nullif(n_words, 0)::DOUBLE", "110", 160, WIDER)}
+  NOT base_failed AND {rule("mean_chars", "word_chars * 100 / nullif(n_words, 0)::DOUBLE", "20", 20, WIDER)}
   AND {rule("symbols", "n_symbols * 1000 / nullif(n_words, 0)::DOUBLE", "", 100, "1.0")}
   AND {rule("dup_lines", "n_dup_lines * 1000 / nullif(n_lines, 0)::DOUBLE", "", 500, "1.0")} AS kept
 FROM b"""

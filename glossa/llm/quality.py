@@ -27,11 +27,12 @@ GRID = 10_000
 #: Documents that a group needs for thresholds of its own.
 ENOUGH = 30
 #: Metric, and the least distances below and above the median (in grid steps; null: no bound) that a document may lie at.
-RULES = (("mean_chars", 110, 160), ("symbols", None, 100), ("dup_lines", None, 500))
+#: They stand in where the quartiles of a group leave no spread, as they do where most documents have no symbol and no repeated line.
+RULES = (("mean_chars", 20, 20), ("symbols", None, 100), ("dup_lines", None, 500))
 #: A mean over fewer words than this scatters more; its bounds are wider by the square root of the ratio.
-STEADY = 50
+STEADY = 100
 #: The bound is this often the distance between the median and the quartile, if that is more.
-SPREAD = 5
+SPREAD = 10
 
 #: Groups whose thresholds (some 100 bytes each) go to every task; more are joined over salted keys.
 MOST_GROUPS, SALTS = 100_000, 64

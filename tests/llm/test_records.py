@@ -6,12 +6,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glossa.llm import chat, decontamination, pseudonyms
 from glossa.llm.mixing import copies, mix, n_words, source_targets
+from glossa.llm.oracles import SQL
 from glossa.llm.quality import good_documents, quality
 from glossa.llm.sharding import assign, even_map, grow, map_table, rebalance
 from tests.llm.fixtures import frame, odd_documents
@@ -191,6 +193,19 @@ def test_quality_of_long_unspaced_words(spark):
     rows += [(900, text(900, 900), "zh", "a"), (901, text(5, 5, 60), "zh", "a"), (902, text(60_000, 60_000, 10), "blob", "a")]
     out = {x.doc_id: x.kept for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert {d for d, kept in out.items() if not kept} == {900, 901, 902}
+    db = duckdb.connect()
+    db.register("documents", pa.table({c: [x[i] for x in rows] for i, c in enumerate(("doc_id", "text", "lang", "source"))}))
+    assert dict(db.execute(f"SELECT doc_id, kept FROM ({SQL['op7_quality']})").fetchall()) == out
+
+
+def test_bounds_follow_the_spread_of_the_group(spark):
+    """A group of even texts bounds the mean word length closely, one of mixed texts widely: no cutoff is shared."""
+    even = [(i, " ".join(["abcde", "fghijk"][(i + j) % 2] for j in range(120)), "en", "even") for i in range(60)]
+    mixed = [(100 + i, " ".join("abcdefghijkl"[: 3 + i % 9] for _ in range(120)), "en", "mixed") for i in range(60)]
+    odd = " ".join("abcdefgh" for _ in range(120))
+    out = {x.doc_id: x for x in quality(spark.createDataFrame([*even, *mixed, (900, odd + " one two three four", "en", "even"), (901, odd + " one two three four", "en", "mixed")], "doc_id long, text string, lang string, source string")).collect()}
+    assert out[900].mean_chars_hi == 20 and out[901].mean_chars_hi >= 1000
+
 
 
 # Decontamination
