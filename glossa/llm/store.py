@@ -35,6 +35,16 @@ def keep(df: DataFrame, name: str, row_group: int = 64 << 20, compression: str =
     return kept
 
 
+def keep_sorted(df: DataFrame, name: str, by: str, *then: str) -> DataFrame:
+    """``keep`` as a table in buckets of ``by``, each sorted by it and ``then``: tables of as many buckets are merge-joined on ``by`` without a shuffle of either."""
+    spark, tag = df.sparkSession, uuid.uuid4().hex
+    path, table, n = f"{shared_dir(spark)}/{name}-{tag}", f"glossa_{tag}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by, *then).option("compression", "zstd").option("path", path).saveAsTable(table)
+    kept = spark.table(table)
+    kept._glossa_path, kept._glossa_table = path, table
+    return kept
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what is run inside: Spark counts rows, not bytes, and rows may be long."""
@@ -50,6 +60,8 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``keep`` wrote and nothing reads any more, and free shuffle files of finished steps."""
     for t in tables:
+        if name := getattr(t, "_glossa_table", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         path = getattr(t, "_glossa_path", None)
         if path:
             jvm = t.sparkSession._jvm

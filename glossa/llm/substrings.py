@@ -3,9 +3,10 @@
 A window is ``window`` consecutive words of one text. Equal windows have the
 same least hash over their inner ``k``-word grams, so neighbouring windows with
 one least hash make one row: its fingerprint m, a hash seg of all its words and
-its place. The index holds such rows as runs: immutable tables sorted by m, a
-row for the first place of each (m, seg). A new batch is sorted the same way
-and merge-joined with the runs. Fingerprints that meet are verified: rows equal
+its place. The index holds such rows as runs: immutable tables in buckets of m,
+sorted by m, a row for the first place of each (m, seg). A new batch is dealt
+and sorted the same way and merge-joined with the runs, which are read but not
+shuffled; only rows whose fingerprint the batch has go on. Fingerprints that meet are verified: rows equal
 as a whole (m and seg, 128 bits) are repeats of the first; where rows of one m
 differ, both texts are read again and their windows compared by 128-bit hashes.
 Then the batch becomes a run, and runs of like size are merged into one.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm import scan
-from glossa.llm.store import discard, doc_id_back, keep, keyed
+from glossa.llm.store import discard, doc_id_back, keep, keep_sorted, keyed
 
 WINDOW = 20
 K = 5
@@ -102,6 +103,11 @@ def without_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema({"did": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}))
 
 
+def first_places(rows: DataFrame) -> DataFrame:
+    """The first place of each (m, seg)."""
+    return rows.groupBy("m", "seg").agg(F.min(F.struct("did", "th", "pos")).alias("r")).select("m", "seg", "r.did", "r.th", "r.pos")
+
+
 class FingerprintIndex:
     """Sorted runs over the documents added so far. Documents must come in ascending order of (did, th)."""
 
@@ -114,11 +120,11 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """Spans (did, th, start, end) of words in ``batch`` (did, th, text) that earlier windows cover; ``last``: no batch will follow, so its run isn't written."""
         new = batch.mapInArrow(window_runs(self.window, self.k), "m long, seg long, did long, th long, pos long")
-        if not last:
-            new = keep(new.repartition("m").sortWithinPartitions("m", "seg"), "batch")
+        if self.runs or not last:
+            new = keep_sorted(new, "batch", "m", "seg")
         both = new.withColumn("new", F.lit(True))
         for _, table in self.runs:
-            both = both.unionByName(table.withColumn("new", F.lit(False)))
+            both = both.unionByName(table.join(new.select("m"), "m", "left_semi").withColumn("new", F.lit(False)))
         by_m, by_seg = Window.partitionBy("m"), Window.partitionBy("m", "seg")
         start, n, twice = scan.unpack("pos")
         met = both.select("*", F.count("*").over(by_m).alias("of_m"), F.max("new").over(by_m).alias("fresh"), (F.min("seg").over(by_m) != F.max("seg").over(by_m)).alias("unlike"))
@@ -139,10 +145,9 @@ class FingerprintIndex:
         discard(met)
         if not last:
             self.texts.append(batch)
-            firsts = new.groupBy("m", "seg").agg(F.min(F.struct("did", "th", "pos")).alias("r")).select("m", "seg", "r.did", "r.th", "r.pos")
-            self.runs.append((0, keep(firsts.sortWithinPartitions("m", "seg"), "run")))
-            discard(new)
+            self.runs.append((0, keep_sorted(first_places(new), "run", "m", "seg")))
             self.compact()
+        discard(new)
         return out
 
     def compact(self) -> None:
@@ -150,9 +155,8 @@ class FingerprintIndex:
         while len([x for x in self.runs if x[0] == self.runs[-1][0]]) >= self.fanout:
             level = self.runs[-1][0]
             old = [t for x, t in self.runs if x == level]
-            all_rows = reduce(DataFrame.unionByName, old)
-            firsts = all_rows.groupBy("m", "seg").agg(F.min(F.struct("did", "th", "pos")).alias("r")).select("m", "seg", "r.did", "r.th", "r.pos")
-            self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, keep(firsts.sortWithinPartitions("m", "seg"), "run"))]
+            merged = keep_sorted(first_places(reduce(DataFrame.unionByName, old)), "run", "m", "seg")
+            self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, merged)]
             discard(*old)
 
     def close(self) -> None:
@@ -177,7 +181,7 @@ def batches_of(docs: DataFrame, n_batches: int) -> list[DataFrame]:
     return out
 
 
-def remove_earlier_windows(docs: DataFrame, window: int = WINDOW, k: int = K, n_batches: int = 2, fanout: int = 2) -> DataFrame:
+def remove_earlier_windows(docs: DataFrame, window: int = WINDOW, k: int = K, n_batches: int = 4, fanout: int = 2) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept (words left, joined by one space).
 
     A word goes if a window covers it whose words also start earlier: in a
