@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-None for op2 (keyed permutations), op5 (a tokenizer), op9 (edit distances)
+None for op2 (keyed permutations), op5 and op12 (tokenizers), op9 (edit distances)
 and the pipeline: tests hold those against plain Python. Op4 hashes strings of
 1, 2, 4 ... 128 and then 200 bytes; op6 spells out xxHash64 of a long and
 CRC-32, both of which DuckDB lacks.
@@ -162,4 +162,54 @@ x5 AS (SELECT doc_id, size, text_crc32, (xor(k4, k4 >> 32) & 4095)::INT AS virtu
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id) - 1 AS slot, grown_shard, virtual_slot
 FROM x5 JOIN m ON vslot = virtual_slot"""
 
-SQL: dict[str, str] = {"op1_chat": OP1, "op3_near_duplicates": OP3, "op4_repeats": OP4, "op6_shards": OP6, "op7_quality": OP7, "op8_substrings": OP8, "op10_mixing": OP10}
+
+def word_buckets(table: str, key: str) -> str:
+    """The words of a table's texts with their numbers in a text."""
+    return f"""SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM {table}) GROUP BY ALL"""
+
+
+OP11 = f"""WITH byte AS (SELECT list(list_reduce(range(8)::UBIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {CRC}::UBIGINT) ELSE c >> 1 END, range::UBIGINT) ORDER BY range) AS t FROM range(256)),
+d AS MATERIALIZED ({word_buckets("documents", "doc_id")}),
+b AS MATERIALIZED ({word_buckets("benchmark", "item_id")}),
+crc AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda p: ('0x' || p)::UBIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT % 10000 AS bucket
+  FROM (SELECT w FROM d UNION SELECT w FROM b), byte),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM d JOIN crc USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS t FROM b JOIN crc USING (w) GROUP BY bucket),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+f AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM d JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+z AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN f USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)"""
+
+
+def nearest(books: str) -> str:
+    """Every part of a vector with its nearest entry, ties to the lower index."""
+    d = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT rid, part, m.entry AS entry, m.d AS error FROM (SELECT rid, part, min({{'d': {d}, 'entry': entry}}) AS m FROM p JOIN {books} b USING (part) GROUP BY ALL)"
+
+
+def updated(books: str, found: str) -> str:
+    """The books with used entries replaced by floored means."""
+    return f"""SELECT part, entry, coalesce(y, x) AS x FROM {books} LEFT JOIN (
+  SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY place) AS y FROM (
+    SELECT part, entry, place, sum(v)::DOUBLE AS s, count(*)::DOUBLE AS n FROM (SELECT a.part, a.entry, unnest(range(len(p.x))) AS place, unnest(p.x) AS v FROM {found} a JOIN p USING (rid, part)) GROUP BY ALL) GROUP BY ALL) USING (part, entry)"""
+
+
+OP13_ROUNDS = ",\n".join(f"a{k} AS MATERIALIZED ({nearest(f'b{k}')}),\nb{k + 1} AS MATERIALIZED ({updated(f'b{k}', f'a{k}')})" for k in range(4))
+OP13 = f"""WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) AS rid
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+p AS MATERIALIZED (SELECT rid, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS x FROM v CROSS JOIN (SELECT unnest(range(4)) AS part)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM p WHERE rid <= 256),
+{OP13_ROUNDS},
+a4 AS MATERIALIZED ({nearest("b4")}),
+c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM a4 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b4) AS codebooks_sha256
+FROM v JOIN c USING (rid)"""
+
+SQL: dict[str, str] = {"op1_chat": OP1, "op3_near_duplicates": OP3, "op4_repeats": OP4, "op6_shards": OP6, "op7_quality": OP7, "op8_substrings": OP8, "op10_mixing": OP10, "op11_resampling": OP11, "op13_vector_codes": OP13}

@@ -16,9 +16,12 @@ from glossa.llm.pipeline import run
 from glossa.llm.pseudonyms import pseudonymize
 from glossa.llm.quality import quality
 from glossa.llm.repeats import remove_repeats
+from glossa.llm.resampling import resample
 from glossa.llm.sharding import assign, even_map, grow, map_table, record_size
 from glossa.llm.store import keep
 from glossa.llm.substrings import remove_earlier_windows
+from glossa.llm.transducers import count_tokens
+from glossa.llm.vector_codes import vector_codes
 
 #: The setting that holds the key of pseudonyms, and the key of runs without one: it is public, so they hide nothing.
 KEY_SETTING, PUBLIC_KEY = "spark.glossa.pseudonym.key", "a public key for tests"
@@ -90,12 +93,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), piece_model)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_pseudonyms, op3_near_duplicates, op4_repeats, op5_token_codes, op6_shards, op7_quality, op8_substrings, op9_benchmark_leaks, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_chat, op2_pseudonyms, op3_near_duplicates, op4_repeats, op5_token_codes, op6_shards, op7_quality, op8_substrings, op9_benchmark_leaks, op10_mixing, op11_resampling, op12_token_counts, op13_vector_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
