@@ -47,13 +47,14 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS t FROM w
 SELECT doc_id, len(w.w) AS n_words, len(w.w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
-def rule(metric: str, value: str, below: str, above: int, wider: str) -> str:
-    """A document passes if its value lies within the distances allowed around the median of its group."""
-    low = f"{value} - {metric}[2] >= -greatest({below}, 10 * ({metric}[2] - {metric}[1]), {metric}[2] * 2 // 5000) * {wider}" if below else "true"
-    return f"coalesce({low} AND {value} - {metric}[2] < greatest({above}, 10 * ({metric}[3] - {metric}[2]), {metric}[2] * 2 // 5000) * {wider} + 1, true)"
+def rule(metric: str, value: str, below: bool, above: bool) -> str:
+    """A document passes if its value lies within the distance allowed from the median of its group."""
+    far = f"greatest(1, 8 * greatest(2 * ({metric}.q[3] - {metric}.q[1]), {metric}.l) // 4, {metric}.q[2] // 20) * sqrt(greatest(1.0, 100 / greatest(n_words, 1)::DOUBLE))"
+    sides = ([f"{value} - {metric}.q[2] >= -{far}"] if below else []) + ([f"{value} - {metric}.q[2] <= {far}"] if above else [])
+    return " AND ".join(f"coalesce({x}, true)" for x in sides)
 
 
-WIDER = "sqrt(greatest(1.0, 100 / greatest(n_words, 1)::DOUBLE))"
+VALUES = {"mean_chars": "word_chars * 100 // nullif(n_words, 0)", "marks": "n_marks * 1000 // nullif(n_words, 0)", "variety": "CASE WHEN n_words > 1 THEN floor(1000 * ln(n_distinct::DOUBLE) / ln(n_words::DOUBLE) + 0.000001::DOUBLE)::BIGINT END"}
 OP7 = rf"""WITH w AS MATERIALIZED (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -62,24 +63,24 @@ again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again CROSS JOIN range(5) t(j) GROUP BY doc_id),
 s AS MATERIALIZED (
   SELECT doc_id, lang, source, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^!-/:-@\[-`{{-~]', '', 'g')) AS n_marks, len(list_distinct(w.w)) AS n_distinct
   FROM w LEFT JOIN rep USING (doc_id)),
 v AS (
-  SELECT lang, source, unnest(['mean_chars', 'symbols', 'dup_lines']) AS metric,
-    unnest(list_transform([word_chars * 100 // n_words, n_symbols * 1000 // n_words, n_dup_lines * 1000 // n_lines], lambda x: CASE WHEN x < 10000 THEN x ELSE x - x % (1::BIGINT << length(bin(x // 10000))) END)) AS x
-  FROM s WHERE n_words > 0),
-o AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY ALL),
-l AS (SELECT lang, metric, count(*) AS n, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY ALL),
-a AS (SELECT metric, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY ALL),
+  SELECT lang, source, docs, metric, CASE WHEN x < 10000 THEN x ELSE x - x % (1::BIGINT << length(bin(x // 10000))) END AS x FROM (
+    SELECT lang, source, docs, unnest({list(VALUES)}) AS metric, unnest([{", ".join(VALUES.values())}]) AS x
+    FROM (SELECT lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks, n_distinct, count(*) AS docs FROM s WHERE n_words > 0 GROUP BY ALL)) WHERE x IS NOT NULL),
+u AS (SELECT *, unnest(range(length(bin(docs)))) AS again FROM v),
+o AS (SELECT lang, source, metric, sum(docs) FILTER (again = 0) AS n, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM u GROUP BY ALL),
+l AS (SELECT lang, metric, sum(docs) FILTER (again = 0) AS n, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM u GROUP BY ALL),
+a AS (SELECT metric, quantile_disc(x, [0.25, 0.5, 0.75]) AS q FROM u GROUP BY ALL),
 q AS (
-  SELECT o.lang, o.source, o.metric, CASE WHEN o.n >= 30 THEN o.q WHEN l.n >= 30 THEN l.q ELSE a.q END AS q
+  SELECT o.lang, o.source, o.metric, {{'q': CASE WHEN o.n >= 30 THEN o.q WHEN l.n >= 30 THEN l.q ELSE a.q END, 'l': floor(quantile_cont(o.q[3] - o.q[1], 0.5) FILTER (o.n >= 30) OVER (PARTITION BY o.lang, o.metric))::BIGINT}} AS q
   FROM o JOIN l ON o.metric = l.metric AND o.lang IS NOT DISTINCT FROM l.lang JOIN a ON a.metric = o.metric),
-p AS (SELECT lang, source, max(q) FILTER (metric = 'mean_chars') AS mean_chars, max(q) FILTER (metric = 'symbols') AS symbols, max(q) FILTER (metric = 'dup_lines') AS dup_lines FROM q GROUP BY ALL),
-b AS (SELECT s.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, mean_chars, symbols, dup_lines FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source)
+p AS (SELECT lang, source, {", ".join(f"any_value(q) FILTER (metric = '{m}') AS {m}" for m in VALUES)} FROM q GROUP BY ALL),
+b AS (SELECT s.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, mean_chars, marks, variety FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND {rule("mean_chars", "word_chars * 100 / nullif(n_words, 0)::DOUBLE", "20", 20, WIDER)}
-  AND {rule("symbols", "n_symbols * 1000 / nullif(n_words, 0)::DOUBLE", "", 100, "1.0")}
-  AND {rule("dup_lines", "n_dup_lines * 1000 / nullif(n_lines, 0)::DOUBLE", "", 500, "1.0")} AS kept
+  NOT base_failed AND {rule("mean_chars", VALUES["mean_chars"], True, True)} AND {rule("marks", VALUES["marks"], False, True)} AND {rule("variety", VALUES["variety"], True, False)} AS kept
 FROM b"""
 
 OP10 = f"""WITH d AS (

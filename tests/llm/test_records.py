@@ -145,13 +145,13 @@ def brute_stats(text):
         seen.add(x)
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     again = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
-    return len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", t)), dup, len(again), len(lines)
+    return len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", t)), dup, len(again), len(re.findall(r"[!-/:-@\[-`{-~]", t)), len(set(w))
 
 
 def test_quality(spark):
     rows = odd_documents(9)
     out = quality(frame(spark, seed=9)).collect()
-    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines) for r in out)
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_marks, r.n_distinct) for r in out)
     assert got == Counter((r[0], *brute_stats(r[1])) for r in rows)
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in out)
     assert all(not (r.base_failed and r.kept) for r in out) and any(r.kept for r in out)
@@ -201,12 +201,54 @@ def test_quality_of_long_unspaced_words(spark):
 def test_bounds_follow_the_spread_of_the_group(spark):
     """A group of even texts bounds the mean word length closely, one of mixed texts widely: no cutoff is shared."""
     even = [(i, " ".join(["abcde", "fghijk"][(i + j) % 2] for j in range(120)), "en", "even") for i in range(60)]
-    mixed = [(100 + i, " ".join("abcdefghijkl"[: 3 + i % 9] for _ in range(120)), "en", "mixed") for i in range(60)]
+    mixed = [(100 + i, " ".join("abcdefghijkl"[: 3 + i % 9] for _ in range(120)), "fr", "mixed") for i in range(60)]
     odd = " ".join("abcdefgh" for _ in range(120))
-    out = {x.doc_id: x for x in quality(spark.createDataFrame([*even, *mixed, (900, odd + " one two three four", "en", "even"), (901, odd + " one two three four", "en", "mixed")], "doc_id long, text string, lang string, source string")).collect()}
-    assert out[900].mean_chars_hi == 20 and out[901].mean_chars_hi >= 1000
+    out = {x.doc_id: x for x in quality(spark.createDataFrame([*even, *mixed, (900, odd + " one two three four", "en", "even"), (901, odd + " one two three four", "fr", "mixed")], "doc_id long, text string, lang string, source string")).collect()}
+    assert out[900].mean_chars_far <= 60 and out[901].mean_chars_far >= 1000
 
 
+def prose(r, marks, n=200):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 9))) + r.choice(marks) for _ in range(n))
+
+
+def test_no_fixed_cutoff_gives_the_verdict(spark):
+    """Half of the words of code end in marks and hardly any of plain text: what is usual in one source is odd in the other."""
+    r = random.Random(8)
+    rows = [(i, prose(r, ["", "", "", "", "", ",", "."]), "en", "plain") for i in range(80)]
+    rows += [(100 + i, prose(r, [";", "()", "{}", "", ""]), "en", "code") for i in range(80)]
+    rows += [(900, prose(r, [";", "()", "{}", "", ""]), "en", "plain"), (901, prose(r, ["{};", "(){}", "[]<>!!"]), "en", "code")]
+    out = {x.doc_id: x for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[900].base_failed and {d for d, x in out.items() if not x.kept} == {900, 901}
+    rate = {d: x.n_marks / x.n_words for d, x in out.items()}
+    assert rate[900] <= max(v for d, v in rate.items() if 100 <= d < 200)  # a cutoff that drops 900 drops good code
+
+
+def test_copies_do_not_narrow_the_bounds(spark):
+    r = random.Random(9)
+    some = [(i, prose(r, ["", "", ",", "."]), "en", "s") for i in range(60)]
+    bounds = []
+    for copies in (0, 500):
+        rows = some + [(1000 + i, some[0][1], "en", "s") for i in range(copies)]
+        out = quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+        assert all(x.kept for x in out)
+        bounds.append((out[0].mean_chars_far, out[0].marks_far, out[0].variety_far))
+    assert all(0.7 * a <= b <= 1.3 * a for a, b in zip(*bounds, strict=True))
+
+
+def test_tasks_of_null_and_empty_texts(spark, tmp_path):
+    """Tasks, files and tables whose texts are all null or empty."""
+    kind = "doc_id long, text string, lang string, source string"
+    nothing = spark.createDataFrame([(i, None if i % 2 else "", "en", "a") for i in range(8)], kind)
+    assert Counter((x.n_words, x.n_marks, x.base_failed, x.kept) for x in quality(nothing).collect()) == {(0, 0, True, False): 8}
+    assert good_documents(nothing).count() == 0
+    r = random.Random(1)
+    good = spark.createDataFrame([(100 + i, prose(r, ["", ","]), "en", "a") for i in range(40)], kind)
+    nothing.limit(3).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    good.coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert quality(docs).where("kept").count() == good_documents(docs).count() == 40
+    assert good_documents(good.limit(0)).count() == 0
+
 
 # Decontamination
 
