@@ -105,12 +105,13 @@ def text_stats(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.stack([n_words, chars, symbols, n_dup, n_repeat, marks, n_words - np.bincount(own[said], minlength=m)], axis=1)
 
 
-def measured(keep_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(``keep_rows`` columns, text) to those columns and STATS."""
+def measured(keep_rows: int, inside: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(``keep_rows`` columns, text) to those columns and STATS; ``inside``: the text is a field of the first column, a whole row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, offs, data in scan.chunks(batch, keep_rows):
+            texts = pa.RecordBatch.from_arrays([batch.column(0).field("text")], ["text"]) if inside else batch.select([keep_rows])
+            for a, b, offs, data in scan.chunks(texts, 0):
                 s = text_stats(data, offs)
                 names = [*batch.schema.names[:keep_rows], *STATS]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in range(keep_rows)), *(pa.array(s[:, j]) for j in range(len(STATS)))], names)
@@ -207,6 +208,6 @@ def good_documents(docs: DataFrame) -> DataFrame:
     pair = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())])
     stats = keep(docs.select(*groups, text_column()).mapInArrow(measured(2), T.StructType([*pair, *numbers])), "stats")
     limits = keep(thresholds(sketches(stats)), "limits")
-    rows = docs.select(F.struct("*").alias("row"), *groups, text_column())
-    again = rows.mapInArrow(measured(3), T.StructType([rows.schema["row"], *pair, *numbers]))
+    rows = docs.select(F.struct("*").alias("row"), *groups)
+    again = rows.mapInArrow(measured(3, inside=True), T.StructType([rows.schema["row"], *pair, *numbers]))
     return verdict(again, limits).where("kept").select("row.*")
