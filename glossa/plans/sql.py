@@ -64,14 +64,16 @@ c{i} AS (SELECT e, f, sum(c) AS c FROM j{i} GROUP BY ALL),
 m{i} AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS p FROM c{i})"""
 
 
+def em_steps(n: int, limit: str = "") -> str:
+    return ", ".join([BITEXT.replace("%LIMIT%", limit), *(em(i) for i in range(1, n + 1))])
+
+
 def em_query(n: int) -> str:
-    steps = ", ".join([BITEXT.replace("%LIMIT%", ""), *(em(i) for i in range(1, n + 1))])
-    return f"WITH {steps} SELECT e, count(*) AS n_f, round(max(p), 6) AS top_p, round(sum(p * p), 6) AS sum_p2 FROM m{n} GROUP BY e"
+    return f"WITH {em_steps(n)} SELECT e, count(*) AS n_f, round(max(p) + 1e-9, 6) AS top_p, round(sum(p * p) + 1e-9, 6) AS sum_p2 FROM m{n} GROUP BY e"
 
 
-def em_of_first(n: int) -> str:
-    steps = ", ".join([BITEXT.replace("%LIMIT%", f" ORDER BY conv_id, turn LIMIT {n}"), em(1)])
-    return f"SELECT * FROM (WITH {steps} SELECT {n} AS size, e, count(*) AS n_f, round(max(p), 6) AS top_p, round(sum(p * p), 6) AS sum_p2 FROM m1 GROUP BY e)"
+def em_of_first(size: int, n: int) -> str:
+    return f"SELECT * FROM (WITH {em_steps(n, f' ORDER BY conv_id, turn LIMIT {size}')} SELECT {size} AS size, e, count(*) AS n_f, round(max(p) + 1e-9, 6) AS top_p, round(sum(p * p) + 1e-9, 6) AS sum_p2 FROM m{n} GROUP BY e UNION ALL SELECT {size}, unnest(['SENTSTART', 'SENTEND']), 1, 1.0, 1.0)"
 
 
 def grams(t: str, n: int) -> str:
@@ -199,7 +201,8 @@ SQL: dict[str, str] = {
     "ibm1_init": f"WITH {WHOLE_BITEXT} SELECT e, count(*) AS n_f, round(max(p), 6) AS p FROM m0 GROUP BY e",
     "ibm1_em_step": em_query(1),
     "ibm1_em2": em_query(2),
-    "ibm1_size_sweep": f"{em_of_first(50)} UNION ALL {em_of_first(200)}",
+    "ibm1_train": f"WITH {em_steps(50)} SELECT e, count(*) AS n_f, round(max(p), 6) AS top_p FROM m50 GROUP BY e UNION ALL SELECT unnest(['SENTSTART', 'SENTEND']), 1, 1.0::DOUBLE",
+    "ibm1_size_sweep": " UNION ALL ".join(em_of_first(size, 10) for size in (1_000, 10_000, 15_000, 30_000)),
     "decode_score": f"""WITH {WHOLE_BITEXT},
   t AS (SELECT f_toks FROM bitext WHERE turn % 4 = 0), u AS (SELECT w, count(*) AS c FROM (SELECT unnest(f_toks) AS w FROM t) GROUP BY w),
   g AS (SELECT b[1] AS w1, b[2] AS w2, count(*) AS c12 FROM (SELECT unnest({grams('f_toks', 2)}) AS b FROM t WHERE len(f_toks) > 1) GROUP BY ALL),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -23,3 +24,27 @@ def cut_folder(spark: SparkSession) -> None:
         if not where and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="glossa-"))
+
+
+def bucketed(df: DataFrame, by: str, deal: bool = True) -> DataFrame:
+    """``df`` written to the checkpoint folder in buckets of ``by`` and read again: tables of one ``by`` are joined and grouped on it without a shuffle.
+
+    ``deal`` False: ``df`` stems from such tables and is dealt by ``by`` already.
+    """
+    spark, name = df.sparkSession, f"glossa_{uuid.uuid4().hex}"
+    cut_folder(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    (df.repartition(buckets, by) if deal else df).write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out._glossa_table, out._glossa_path = name, path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that ``bucketed`` wrote and nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._glossa_table}")
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._glossa_path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
