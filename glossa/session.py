@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,14 @@ def drop(*tables: DataFrame | None) -> None:
             t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._glossa_table}")
             at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._glossa_path)
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def held(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for what is planned and run inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
