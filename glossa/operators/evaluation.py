@@ -42,32 +42,29 @@ def bleu(candidate: Column, references: list[Column], n: int) -> Column:
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     """Substitutions, insertions, deletions on the path that prefers deletion, then insertion, then (mis)match.
 
-    Rows of the table are NumPy arrays; the path is walked back over it, so
-    memory is the product of both lengths.
+    The counts of a cell's path go along with its distance, a row at a time:
+    from above, from above and left, or from the last cell to the left that is
+    reached otherwise. Memory is a few rows, whatever the product of the
+    lengths.
     """
     names: dict[str, int] = {}
     r = np.array([names.setdefault(w, len(names)) for w in ref], np.int64)
     h = np.array([names.setdefault(w, len(names)) for w in hyp], np.int64)
     steps = np.arange(len(h) + 1)
-    table = np.empty((len(r) + 1, len(h) + 1), np.int32)
-    table[0] = steps
+    dist, ins, dels = steps, steps, np.zeros(len(h) + 1, np.int64)
     for i in range(1, len(r) + 1):
-        above = table[i - 1]
-        row = np.empty(len(h) + 1, np.int64)
-        row[0] = i
-        np.minimum(above[1:] + 1, above[:-1] + (h != r[i - 1]), out=row[1:])
-        table[i] = np.minimum.accumulate(row - steps) + steps
-    i, j, s, ins, d = len(r), len(h), 0, 0, 0
-    while i or j:
-        now = table[i, j]
-        if i and now == table[i - 1, j] + 1:
-            i, d = i - 1, d + 1
-        elif j and now == table[i, j - 1] + 1:
-            j, ins = j - 1, ins + 1
-        else:
-            s += int(r[i - 1] != h[j - 1])
-            i, j = i - 1, j - 1
-    return s, ins, d
+        near = np.empty(len(h) + 1, np.int64)
+        near[0] = i
+        np.minimum(dist[1:] + 1, dist[:-1] + (h != r[i - 1]), out=near[1:])
+        now = np.minimum.accumulate(near - steps) + steps
+        deleted = now == dist + 1
+        inserted = ~deleted
+        inserted[0] = False
+        inserted[1:] &= now[1:] == now[:-1] + 1
+        back = steps - ~deleted
+        last = np.maximum.accumulate(np.where(inserted, 0, steps))
+        dels, ins, dist = (dels[back] + deleted)[last], ins[back][last] + steps - last, now
+    return int(dist[-1] - ins[-1] - dels[-1]), int(ins[-1]), int(dels[-1])
 
 
 def word_errors(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -185,6 +185,42 @@ ANOVA = "f AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS feature, u
 
 CLITICS = "(?i)" + "|".join([f"({'|'.join(CLITICS_BEFORE_SPACE)})" + r"\s+", r"\s+" + f"({'|'.join(CLITICS_AFTER_SPACE)})", f"({'|'.join(CLITICS_ANYWHERE)})" + r"\s*"])
 
+ANOVA_P = """v AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings),
+c AS (SELECT feature, label, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM v GROUP BY ALL),
+s AS (SELECT feature, (count(*) - 1)::DOUBLE AS d1, (sum(n) - count(*))::DOUBLE AS d2, ((sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f FROM c GROUP BY feature),
+w AS (SELECT *, d2 / (d2 + d1 * f) AS x, d1 * f / (d2 + d1 * f) AS y, d2 / (d2 + d1 * f) <= (d2 / 2 + 1) / (d2 / 2 + d1 / 2 + 2) AS low FROM s),
+t AS MATERIALIZED (SELECT feature, f, low, CASE WHEN low THEN d2 ELSE d1 END / 2 AS a, CASE WHEN low THEN d1 ELSE d2 END / 2 AS b, CASE WHEN low THEN x ELSE y END AS x, CASE WHEN low THEN y ELSE x END AS y FROM w),
+r AS (
+  SELECT feature, a, b, x, 1 AS k, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS g FROM t
+  UNION ALL
+  SELECT feature, a, b, x, k + 1, 1 + top / c, 1 / (1 + top * d), g * (1 + top / c) / (1 + top * d)
+  FROM (SELECT *, CASE WHEN k % 2 = 1 THEN m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) ELSE -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) END AS top FROM (SELECT *, ((k + 1) // 2)::DOUBLE AS m FROM r WHERE k < 1000))),
+anova AS (
+  SELECT feature, f, CASE WHEN low THEN i ELSE 1 - i END AS p
+  FROM (SELECT feature, f, low, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(y)) * g / a AS i FROM t JOIN (SELECT feature, g FROM r WHERE k = 1000) USING (feature)))"""
+
+INFLECTED = f"""counts AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (SELECT unnest({TRANSCRIPT}) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) WHERE regexp_full_match(word, '[a-z]{{3,}}') GROUP BY word),
+forms AS (
+  SELECT word || e AS word, t AS tag, word AS lemma FROM counts, (SELECT unnest(['s', 'es', 'ed', 'en', 'er', 't']) AS e, unnest(['NNS', 'NNS', 'VBD', 'VBN', 'JJR', 'VBN']) AS t) WHERE word || e NOT LIKE '%ies' OR word LIKE '%y'
+  UNION ALL SELECT left(word, length(word) - 1) || 'ies', 'NNS', word FROM counts WHERE word LIKE '%y'),
+inflected AS MATERIALIZED (SELECT word, tag, lemma FROM forms JOIN counts USING (word))"""
+
+#: All endings of up to five letters, and the whole word behind a blank.
+ENDINGS = "list_append(list_transform(range(0, least(5, length(word)) + 1), lambda k: right(word, k)), ' ' || word)"
+
+
+def scripts(rows: str) -> str:
+    """The commonest edit script of each ending, without those that say what a shorter one says."""
+    same = "len(list_filter(range(1, least(length(word), length(lemma)) + 1), lambda i: left(word, i) = left(lemma, i)))"
+    return f"""cuts AS (SELECT word, tag, length(word) - {same} AS cut, substr(lemma, {same} + 1) AS add FROM {rows}),
+seen AS (SELECT t AS tag, ending, cut, add, count(*) AS n FROM (SELECT *, unnest({ENDINGS}) AS ending FROM (SELECT *, unnest([tag, '*']) AS t FROM cuts)) WHERE length(ending) >= cut GROUP BY ALL),
+top AS MATERIALIZED (SELECT tag, ending, cut, add, n FROM seen QUALIFY row_number() OVER (PARTITION BY tag, ending ORDER BY n DESC, cut, add) = 1),
+learned AS MATERIALIZED (
+  SELECT a.* FROM top a LEFT JOIN top b ON a.tag = b.tag AND a.ending <> '' AND b.ending = CASE WHEN a.ending LIKE ' %' THEN right(a.ending, least(5, length(a.ending) - 1)) ELSE substr(a.ending, 2) END
+  WHERE b.tag IS NULL OR (a.cut, a.add) <> (b.cut, b.add))"""
+
+
 SQL: dict[str, str] = {
     "text_newline_strip": f"SELECT doc_id, md5({STRIP.format('replace(text, chr(10), chr(32))')}) AS body_md5 FROM documents",
     "text_url_strip": f"SELECT page_id, md5(regexp_replace(html, {q(URL)}, ' ', 'g')) AS body_md5 FROM pages",
@@ -235,6 +271,15 @@ SQL: dict[str, str] = {
     "class_metrics": "WITH l AS (SELECT DISTINCT unnest([quality, toxic]) AS v FROM labels) SELECT v AS label, round(count_if(quality = v AND toxic = v) / count_if(quality = v)::DOUBLE, 6) AS recall, round(count_if(quality = v AND toxic = v) / count_if(toxic = v)::DOUBLE, 6) AS precision, round(avg((quality = toxic)::INT), 6) AS accuracy FROM l CROSS JOIN labels GROUP BY v",
     "anova_f": "WITH f AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT feature, label, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM f GROUP BY ALL) SELECT feature::INT AS feature, round(((sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), 6) AS f FROM c GROUP BY feature",
     "class_means": "SELECT label, feature::INT AS feature, round(avg(x), 6) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL",
+    "anova_p": f"WITH RECURSIVE {ANOVA_P} SELECT feature::INT AS feature, round(f, 6) AS f, round(p, 9) AS p FROM anova",
+    "mean_p": f"WITH RECURSIVE {ANOVA_P} SELECT feature::INT % 2 AS half, round(avg(p), 9) AS mean_p FROM anova GROUP BY half",
+    "lemma_scripts": f"WITH {INFLECTED}, {scripts('inflected')} SELECT tag, ending, cut, add, n FROM learned",
+    "lemma_held_out": f"""WITH {INFLECTED}, part AS (SELECT *, ('0x' || substr(md5('401|' || word), 1, 8))::BIGINT % 5 AS fold FROM inflected),
+known AS (SELECT word, tag, lemma FROM part WHERE fold <> 0), {scripts("known")},
+held AS (SELECT word, tag, lemma AS want, row_number() OVER () AS i FROM part WHERE fold = 0),
+tries AS (SELECT i, word, h.tag = l.tag AS own, length(ending) AS n, cut, add FROM (SELECT *, unnest({ENDINGS}) AS ending FROM held) h JOIN learned l USING (ending) WHERE l.tag IN (h.tag, '*') AND (cut < length(word) OR add <> '')),
+best AS (SELECT i, max({{'own': own, 'n': n, 'cut': cut, 'add': add}}) AS b FROM tries GROUP BY i)
+SELECT tag, count(*) AS words, count(*) FILTER (coalesce(left(word, length(word) - b.cut) || b.add, word) = want) AS right_ FROM held LEFT JOIN best USING (i) GROUP BY tag""",
     "paired_t": "SELECT l_returnflag, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4) AS t, (count(*) - 1)::DOUBLE AS df FROM lineitem GROUP BY l_returnflag",
     "train_test_split": f"SELECT doc_id, {HASH} < {int(0.2 * 2**32)} AS test FROM documents",
     "kfold_assign": f"SELECT doc_id, ({HASH} % 5)::INT AS fold FROM documents",

@@ -178,7 +178,9 @@ def test_statistics(spark):
     assert statistics.circular_sample(rows.limit(0), ["id"], 5, 5).count() == 0
     with pytest.raises(ValueError):
         statistics.check_sample_size(200_273)
-    assert abs(statistics.f_tail(4.0, 2, 20) - 1.4**-10) < 1e-12 and abs(statistics.t_tails(2.776445, 4) - 0.05) < 1e-6
+    f, t = statistics.f_tail(F.lit(4.0), F.lit(2.0), F.lit(20.0)), statistics.t_tails(F.lit(2.776445), F.lit(4.0))
+    tails = spark.range(1).select(f.alias("f"), t.alias("t")).first()
+    assert abs(tails.f - 1.4**-10) < 1e-12 and abs(tails.t - 0.05) < 1e-6
     data = spark.createDataFrame([(i, i % 2, [float(i % 2) + i * 0.01, 1.0]) for i in range(20)], "id long, label int, features array<double>")
     a = {r.feature: (r.f, r.p) for r in statistics.anova(data).collect()}
     assert a[0][1] < 1e-10 and math.isnan(a[1][0]) and math.isnan(a[1][1])
