@@ -43,11 +43,23 @@ def bucketed(df: DataFrame, by: str, deal: bool = True) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again."""
+    spark = df.sparkSession
+    cut_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/glossa_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._glossa_table, out._glossa_path = None, path
+    return out
+
+
 def drop(*tables: DataFrame | None) -> None:
-    """Delete tables that ``bucketed`` wrote and nothing reads any more."""
+    """Delete tables that ``bucketed`` or ``written`` wrote and nothing reads any more."""
     for t in tables:
         if t is not None:
-            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._glossa_table}")
+            if t._glossa_table:
+                t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._glossa_table}")
             at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._glossa_path)
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
