@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions.text import strip
 from glossa.operators.features import last_wins, positional_features
+from glossa.sources.ranges import numbered_lines, read_json_arrays, read_matrices
 
 
 def read_comments(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, body, cat, file_pos) from files that each hold a JSON array of JSON strings; the file's name is the class."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("cat"))
-    rows = raw.select("cat", F.posexplode(F.from_json("value", "array<string>")).alias("file_pos", "j"))
+    """(id, body, cat, file_pos) from files that each hold a JSON array of JSON strings; the file's name is the class. Files of any size are read in ranges."""
+    element = F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>")[0]
+    rows = read_json_arrays(spark, folder).select(F.col("file").alias("cat"), F.col("pos").cast("int").alias("file_pos"), element.alias("j"))
     return rows.select(F.get_json_object("j", "$.id").alias("id"), F.get_json_object("j", "$.body").alias("body"), "cat", "file_pos")
 
 
@@ -35,9 +34,12 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """(doc, line_no, text) of the files in ``folder`` with that suffix; doc is the name without it."""
-    raw = spark.read.option("pathGlobFilter", f"*.{suffix}").text(folder, wholetext=True)
-    rows = raw.select(F.regexp_replace(F.col("_metadata.file_name"), rf"\.{suffix}$", "").alias("doc"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("line_no", "text"))
-    return rows.select("doc", F.col("line_no").cast("long").alias("line_no"), "text")
+    lines = numbered_lines(spark, folder, f"*.{suffix}")
+    return lines.select(F.regexp_replace(file_name(), rf"\.{suffix}$", "").alias("doc"), "line_no", "text")
+
+
+def file_name() -> Column:
+    return F.url_decode(F.element_at(F.split("path", "/"), -1))
 
 
 def read_pairs(spark: SparkSession, folder: str, e: str = "e", f: str = "f") -> DataFrame:
@@ -50,48 +52,20 @@ def read_test_triples(spark: SparkSession, source: str, human: str, machine: str
     """(line_no, src, ref_human, ref_machine) of three aligned files."""
 
     def one(path: str, name: str) -> DataFrame:
-        raw = spark.read.text(path, wholetext=True)
-        return raw.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("line_no", name))
+        return numbered_lines(spark, path).select("line_no", F.col("text").alias(name))
 
     return one(source, "src").join(one(human, "ref_human"), "line_no").join(one(machine, "ref_machine"), "line_no")
 
 
 def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     """(speaker, utt, t, x) from <speaker>/*npy files of (T, d) matrices."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*npy").load(folder).select("path", "content")
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import numpy as np
-
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                x = np.load(io.BytesIO(content))
-                *_, speaker, utt = path.split("/")
-                yield pd.DataFrame({"speaker": speaker, "utt": utt, "t": range(len(x)), "x": list(x.astype(float))})
-
-    return raw.mapInPandas(load, "speaker string, utt string, t long, x array<double>")
+    parts = F.split("path", "/")
+    return read_matrices(spark, folder, "*npy").select(F.element_at(parts, -2).alias("speaker"), F.element_at(parts, -1).alias("utt"), F.col("row").alias("t"), F.col("features").alias("x"))
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, features) of the sole array of each npy or npz file at ``path``; a file is one value."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import numpy as np
-
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                x = np.load(io.BytesIO(content))
-                x = x[x.files[0]] if hasattr(x, "files") else x
-                for at in range(0, len(x), 8192):
-                    part = x[at : at + 8192]
-                    yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "row": range(at, at + len(part)), "features": list(part.astype(float))})
-
-    return raw.mapInPandas(load, "file string, row long, features array<double>")
+    """(file, row, features) of the sole array of each npy or npz file at ``path``."""
+    return read_matrices(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "row", "features")
 
 
 def read_external_features(spark: SparkSession, folder: str, classes: tuple[str, ...] = ("Alt", "Center", "Left", "Right"), ids: str = "{}_IDs.txt", matrix: str = "{}_feats.dat.npy") -> DataFrame:
@@ -101,20 +75,18 @@ def read_external_features(spark: SparkSession, folder: str, classes: tuple[str,
         head, tail = (re.escape(x) for x in pattern.split("{}"))
         return F.regexp_extract(file, f"^{head}(.*){tail}$", 1)
 
-    lines = spark.read.text([f"{folder}/{ids.format(c)}" for c in classes], wholetext=True).select(named(ids, F.col("_metadata.file_name")).alias("cat"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("row", "id"))
+    lines = numbered_lines(spark, [f"{folder}/{ids.format(c)}" for c in classes]).select(named(ids, file_name()).alias("cat"), F.col("line_no").alias("row"), F.col("text").alias("id"))
     rows = reduce(DataFrame.unionByName, [read_matrix(spark, f"{folder}/{matrix.format(c)}") for c in classes])
-    return positional_features(lines.select("cat", F.col("row").cast("long").alias("row"), strip(F.col("id")).alias("id")), rows.select(named(matrix, F.col("file")).alias("cat"), "row", F.col("features").alias("feats")), classes)
+    return positional_features(lines.select("cat", "row", strip(F.col("id")).alias("id")), rows.select(named(matrix, F.col("file")).alias("cat"), "row", F.col("features").alias("feats")), classes)
 
 
 def read_transcripts(spark: SparkSession, folder: str, names: dict[str, str]) -> DataFrame:
     """(speaker, line_no, system, text) of <speaker>/<file> for the speakers that have all of ``names`` (system to file name)."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    parts = F.split(F.col("_metadata.file_path"), "/")
     table = F.create_map(*(F.lit(x) for s, n in names.items() for x in (n, s)))
-    rows = raw.select(F.element_at(parts, -2).alias("speaker"), table[F.element_at(parts, -1)].alias("system"), "value").where("system is not null")
+    speaker = F.url_decode(F.element_at(F.split("path", "/"), -2))
+    rows = numbered_lines(spark, folder, recursive=True).select(speaker.alias("speaker"), table[file_name()].alias("system"), "line_no", "text").where("system is not null")
     complete = rows.groupBy("speaker").agg(F.count_distinct("system").alias("n")).where(F.col("n") == len(names)).select("speaker")
-    lines = rows.join(complete, "speaker", "left_semi").select("speaker", "system", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("line_no", "text"))
-    return lines.select("speaker", F.col("line_no").cast("long").alias("line_no"), "system", "text")
+    return rows.join(complete, "speaker", "left_semi").select("speaker", "line_no", "system", "text")
 
 
 def write_json(df: DataFrame, path: str) -> None:
