@@ -140,25 +140,40 @@ def hold_out(utterances: DataFrame, id_: str, seed: int = 401) -> DataFrame:
     return utterances.withColumn("test", F.row_number().over(order) == 1)
 
 
+#: Bytes of models that go to every task; beyond, models and utterances meet in blocks of about so many.
+BLOCK_BYTES = 32 << 20
+
+
 def identify(tests: DataFrame, model: DataFrame, k: int = 1) -> DataFrame:
     """(truth, utt, speaker, loglik, rank <= k, correct) of ``tests`` (truth, utt, x), every utterance against every model.
 
-    The models, few rows of fixed width, go to all tasks in a batch that is
-    checked: beyond ``MOST_MODELS`` components the join is left to Spark.
-    NaN likelihoods rank last; ties by speaker.
+    Models of a checked size go to all tasks. More are cut into blocks, and the
+    utterances too: each block of utterances is dealt to each of models, where
+    its k best are picked, so only those are shuffled on. NaN likelihoods rank
+    last; ties by speaker.
     """
-    small = model.count() <= MOST_MODELS
-    mixes = packed(model)
-    scored = tests.crossJoin(F.broadcast(mixes) if small else mixes)
+    size = model.agg(F.sum((F.size("mu") + F.size("var")) * 8 + F.octet_length("speaker") + 32)).first()[0] or 0
+    mixes, here = packed(model), ["truth", "utt"]
+    if size <= BLOCK_BYTES:
+        scored = tests.crossJoin(F.broadcast(mixes))
+    else:
+        held = tests.agg(F.sum(F.size("x") * 8 + 32)).first()[0] or 0
+        n_models, n_tests = -(-size // BLOCK_BYTES), max(1, -(-held // BLOCK_BYTES))
+        blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        left = tests.withColumns({"_t": F.pmod(F.xxhash64("truth", "utt"), F.lit(n_tests)), "_m": blocks(n_models)})
+        right = mixes.withColumns({"_m": F.pmod(F.xxhash64("speaker"), F.lit(n_models)), "_t": blocks(n_tests)})
+        scored, here = left.join(right.hint("merge"), ["_t", "_m"]), ["_t", "_m", "truth", "utt"]
     joint = F.transform("parts", lambda p: safe_ln(p["w"]) + log_density(F.col("x"), p["mu"], p["var"]))
-    frames = scored.select("truth", "utt", "speaker", log_sum_exp(joint).alias("ll"))
-    total = frames.groupBy("truth", "utt", "speaker").agg(F.coalesce(nan_low(F.sum("ll")), F.lit(NEG_INF)).alias("loglik"))
-    rank = F.row_number().over(Window.partitionBy("truth", "utt").orderBy(F.col("loglik").desc(), "speaker"))
-    out = total.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select("truth", "utt", "speaker", "loglik", "rank", (F.col("truth").cast("string") == F.col("speaker")).alias("correct"))
+    frames = scored.select(*here, "speaker", log_sum_exp(joint).alias("ll"))
+    total = frames.groupBy(*here, "speaker").agg(F.coalesce(nan_low(F.sum("ll")), F.lit(NEG_INF)).alias("loglik"))
 
+    def best(rows: DataFrame, by: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("loglik").desc(), "speaker"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
-MOST_MODELS = 4096
+    if len(here) > 2:
+        total = best(total, here).select("truth", "utt", "speaker", "loglik")
+    return best(total, ["truth", "utt"]).select("truth", "utt", "speaker", "loglik", "rank", (F.col("truth").cast("string") == F.col("speaker")).alias("correct"))
 
 
 def open_set(model: DataFrame, speakers: DataFrame, trained: int) -> DataFrame:
