@@ -2,40 +2,63 @@
 
 A window is ``window`` consecutive words of one text. Equal windows have the
 same least hash over their inner ``k``-word grams, so neighbouring windows with
-one least hash make one row: its fingerprint m, a hash seg of all its words and
-its place. The index holds such rows as runs: immutable tables in buckets of m,
-sorted by m, a row for the first place of each (m, seg). A new batch is dealt
-and sorted the same way and merge-joined with the runs, which are read but not
-shuffled; only rows whose fingerprint the batch has go on. Fingerprints that meet are verified: rows equal
-as a whole (m and seg, 128 bits) are repeats of the first; where rows of one m
-differ, both texts are read again and their windows compared by 128-bit hashes.
-Then the batch becomes a run, and runs of like size are merged into one.
+one least hash make one row: its fingerprint m, a hash seg of all its words, its
+place, and a 48-bit hash of each of its windows. The index holds such rows as
+runs: immutable tables in buckets of m, sorted by m. A new batch is dealt and
+sorted the same way and merge-joined with the runs, which are read but not
+shuffled; only rows whose fingerprint the batch has go on. Fingerprints that
+meet are verified: rows equal as a whole (m and seg, 128 bits) are repeats of
+the first; where rows of one m differ, their windows are compared by m and
+hash (112 bits). No text is read again. Then the batch becomes a run, and runs
+of like size are merged into one, which keeps the first place of each (m, seg).
+
+An index under a path of its own lasts: a manifest, written anew after each
+batch, names its runs, and a later session goes on from there.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.llm import scan
-from glossa.llm.store import discard, doc_id_back, keep, keep_sorted, keyed
+from glossa.llm.store import discard, doc_id_back, keep, keyed, shared_dir
 
 WINDOW = 20
 K = 5
+#: Bytes of a window's hash; windows that an earlier one of the same piece of a batch equals have none, as they decide nothing more.
+HASH = 6
+REPEAT = bytes(HASH)
+ROW = "m long, seg long, did long, th long, pos long, hashes binary"
+
+
+def window_hashes(h: np.ndarray, where: np.ndarray, own: np.ndarray, dids: np.ndarray, ths: np.ndarray, window: int) -> np.ndarray:
+    """``HASH`` bytes of each window at ``where``, in words; zeros where an equal window stands at an earlier place (did, th, start)."""
+    w = scan.grams(h, window, 3)[where]
+    place = np.argsort(np.argsort(np.lexsort((ths, dids)), kind="stable")[own[where]], kind="stable")
+    by_window = place[np.argsort(w[place], kind="stable")]
+    text = own[where][by_window]
+    other = (text[1:] == text[:-1]) | (dids[text[1:]] != dids[text[:-1]]) | (ths[text[1:]] != ths[text[:-1]])
+    out = w.view(np.uint8).reshape(-1, 8)[:, 8 - HASH :].copy()
+    out[~out.any(axis=1), 0] = 1
+    out[by_window[1:][(w[by_window[1:]] == w[by_window[:-1]]) & other]] = 0
+    return out
 
 
 def window_runs(window: int, k: int):
-    """Rows (m, seg, did, th, pos) of all windows of (did, th, text); pos as in ``scan.pack``, in words."""
+    """Rows (m, seg, did, th, pos, hashes) of all windows of (did, th, text); pos as in ``scan.pack``, in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, offs, data in scan.chunks(batch, 2):
+            for a, b, offs, data in scan.chunks(batch, 2):
                 _, _, h, own = scan.words(data, offs)
                 hashes, w = scan.grams(h, k), window - k + 1
                 mins = scan.window_min(hashes, w)
@@ -50,38 +73,17 @@ def window_runs(window: int, k: int):
                 raw = memoryview(h.tobytes())
                 seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * s : 8 * (s + c + window - 1)]) for s, c in zip(start.tolist(), n.tolist(), strict=True)), np.uint64, len(start))
                 rows = pa.array(a + own[start])
+                dids, ths = (batch.column(c)[a:b].to_numpy(zero_copy_only=False) for c in (0, 1))
+                each = window_hashes(h, where, own, dids, ths, window)
+                places = pa.py_buffer((np.append(at, len(where)) * HASH).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [scan.signed(mins[start]), scan.signed(seg), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(scan.pack(start - begins[own[start]], n, twice))],
-                    ["m", "seg", "did", "th", "pos"],
+                    [scan.signed(mins[start]), scan.signed(seg), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(scan.pack(start - begins[own[start]], n, twice)), pa.Array.from_buffers(pa.binary(), len(at), [None, places, pa.py_buffer(each)])],
+                    ["m", "seg", "did", "th", "pos", "hashes"],
                 )
 
     return run
 
 
-def wanted_windows(window: int):
-    """Rows (w1, w2, did, th, start, again) of the windows in the wanted runs of (did, th, text, wanted); again: an earlier row of the same piece of the batch has the window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for a, b, offs, data in scan.chunks(batch, 2):
-                _, _, h, own = scan.words(data, offs)
-                begins = np.searchsorted(own, np.arange(b - a))
-                w1, w2 = scan.grams(h, window, 3), scan.grams(h, window, 5)
-                order = a + np.lexsort((ths[a:b], dids[a:b]))
-                starts = [np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in batch.column(3)[i].as_py()])) for i in order.tolist()]
-                at, row = np.concatenate(starts), np.repeat(order, [len(x) for x in starts])
-                x = at + begins[row - a]
-                x1, x2 = w1[x], w2[x]
-                # rows stand by place, so the row before an equal one in a stable order of windows is earlier
-                by_window = np.argsort(x1, kind="stable")
-                again = np.zeros(len(x), bool)
-                again[by_window[1:]] = (x1[by_window[1:]] == x1[by_window[:-1]]) & (x2[by_window[1:]] == x2[by_window[:-1]])
-                yield pa.RecordBatch.from_arrays([scan.signed(x1), scan.signed(x2), pa.array(dids[row]), pa.array(ths[row]), pa.array(at), pa.array(again)], ["w1", "w2", "did", "th", "start", "again"])
-
-    return run
-
-
 def without_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(did, th, text, spans of words) to what is left: words joined by one space."""
     for batch in batches:
@@ -105,23 +107,63 @@ def without_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def first_places(rows: DataFrame) -> DataFrame:
     """The first place of each (m, seg)."""
-    return rows.groupBy("m", "seg").agg(F.min(F.struct("did", "th", "pos")).alias("r")).select("m", "seg", "r.did", "r.th", "r.pos")
+    return rows.groupBy("m", "seg").agg(F.min(F.struct("did", "th", "pos", "hashes")).alias("r")).select("m", "seg", "r.did", "r.th", "r.pos", "r.hashes")
 
 
 class FingerprintIndex:
-    """Sorted runs over the documents added so far. Documents must come in ascending order of (did, th)."""
+    """Sorted runs over the documents added so far. Documents must come in ascending order of (did, th).
+
+    With a ``path`` the runs stand there, and an index that the path holds
+    already is opened, with the window, k and buckets that it was made with.
+    Without one they are intermediate tables, deleted by ``close``. A batch
+    that was cut off leaves the manifest, and so the index, as it was.
+    """
 
-    def __init__(self, window: int = WINDOW, k: int = K, fanout: int = 2):
-        self.window, self.k, self.fanout = window, k, fanout
+    def __init__(self, window: int = WINDOW, k: int = K, fanout: int = 2, path: str | None = None, spark: SparkSession | None = None):
+        self.spark = spark or SparkSession.getActiveSession()
+        self.window, self.k, self.fanout, self.path = window, k, fanout, path
+        self.buckets, self.version = int(self.spark.conf.get("spark.sql.shuffle.partitions")), 0
         #: (level, table): a table of level l + 1 is merged from ``fanout`` of level l.
         self.runs: list[tuple[int, DataFrame]] = []
-        self.texts: list[DataFrame] = []
+        if path and (found := self.manifest()):
+            self.version, self.window, self.k, self.buckets = (found[x] for x in ("version", "window", "k", "buckets"))
+            self.runs = [(level, self.table(at)) for level, at in found["runs"]]
+
+    def manifest(self) -> dict | None:
+        """The newest manifest at the path."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        rows = self.spark.read.schema("version long, body string").json(f"{self.path}/manifests/*").orderBy(F.desc("version")).limit(1).collect()
+        return json.loads(rows[0].body) if rows else None
+
+    def save(self) -> None:
+        """A manifest that names the present runs; each version is a folder of its own, so none is half written."""
+        if self.path:
+            self.version += 1
+            body = {"version": self.version, "window": self.window, "k": self.k, "buckets": self.buckets, "runs": [(level, t._glossa_path) for level, t in self.runs]}
+            self.spark.createDataFrame([(self.version, json.dumps(body))], "version long, body string").coalesce(1).write.json(f"{self.path}/manifests/{self.version:012d}")
+
+    def table(self, path: str, rows: DataFrame | None = None, deal: bool = False) -> DataFrame:
+        """A run: ``rows`` written in buckets of m, or what stands at ``path``."""
+        name = f"glossa_{uuid.uuid4().hex}"
+        if rows is None:
+            columns = ", ".join(ROW.split(", "))
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (m) SORTED BY (m, seg) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        else:
+            (rows.repartition(self.buckets, "m") if deal else rows).write.bucketBy(self.buckets, "m").sortBy("m", "seg").option("compression", "zstd").option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out._glossa_path, out._glossa_table = path, name
+        return out
+
+    def place(self) -> str:
+        return f"{self.path or shared_dir(self.spark)}/run-{uuid.uuid4().hex}"
 
     def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
-        """Spans (did, th, start, end) of words in ``batch`` (did, th, text) that earlier windows cover; ``last``: no batch will follow, so its run isn't written."""
-        new = batch.mapInArrow(window_runs(self.window, self.k), "m long, seg long, did long, th long, pos long")
+        """Spans (did, th, start, end) of words in ``batch`` (did, th, text) that earlier windows cover; ``last``: no batch will follow, so its run isn't kept."""
+        new = batch.mapInArrow(window_runs(self.window, self.k), ROW)
         if self.runs or not last:
-            new = keep_sorted(new, "batch", "m", "seg")
+            new = self.table(self.place(), new, deal=True)
         both = new.withColumn("new", F.lit(True))
         for _, table in self.runs:
             both = both.unionByName(table.join(new.select("m"), "m", "left_semi").withColumn("new", F.lit(False)))
@@ -130,38 +172,46 @@ class FingerprintIndex:
         met = both.select("*", F.count("*").over(by_m).alias("of_m"), F.max("new").over(by_m).alias("fresh"), (F.min("seg").over(by_m) != F.max("seg").over(by_m)).alias("unlike"))
         met = met.where(F.col("fresh") & ((F.col("of_m") > 1) | twice))
         place = F.struct("did", "th", start.alias("start"))
-        met = keep(met.select("new", "did", "th", start.alias("start"), n.alias("n"), (F.col("unlike") | twice).alias("mixed"), (F.min(place).over(by_seg) == place).alias("first")), "met")
+        met = met.select("new", "m", "did", "th", start.alias("start"), n.alias("n"), (F.col("unlike") | twice).alias("mixed"), (F.min(place).over(by_seg) == place).alias("first"), "hashes")
+        met = keep(met.withColumn("hashes", F.when(F.col("mixed") & F.col("first"), F.col("hashes"))).where("hashes is not null or (new and not first)"), "met")
         spans = met.where("new and not first").select("did", "th", "start", (F.col("start") + F.col("n") + F.lit(self.window - 1)).alias("end"))
-        per_doc = met.where("mixed and first").groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("wanted"), F.max("new").alias("fresh"))
-        texts = reduce(DataFrame.unionByName, [*self.texts, batch])
-        read = texts.join(per_doc, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", "th", "text", "wanted")
-        seen = read.mapInArrow(wanted_windows(self.window), "w1 long, w2 long, did long, th long, start long, again boolean")
-        # of a window one row a piece can be the first; the others are dealt by their place, so that no task gathers a window of very many texts
-        here, spread = F.struct("did", "th", "start"), F.when(F.col("again"), F.xxhash64("did", "th", "start"))
-        firsts = Window.partitionBy("w1", "w2", spread)
-        earlier = seen.select("did", "th", "start", (F.col("again") | (F.min(here).over(firsts) < here)).alias("repeat")).where("repeat")
-        earlier = earlier.join(met.where("new").select("did", "th").distinct(), ["did", "th"], "left_semi")
-        out = keep(spans.unionByName(earlier.select("did", "th", "start", (F.col("start") + F.lit(self.window)).alias("end"))), "spans")
+        # windows of rows that are equal as a whole count once, and those of one piece of a batch too
+        places = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("start"), F.substring("hashes", i * HASH + 1, F.lit(HASH)).alias("w"))))
+        each = met.where("mixed and first").select("new", "m", "did", "th", places.alias("x")).select("new", "m", "did", "th", "x.start", "x.w")
+        known = each.where(F.col("new") & (F.col("w") == F.lit(REPEAT))).select("did", "th", "start")
+        here = F.struct("did", "th", "start")
+        open_ = each.where(F.col("w") != F.lit(REPEAT)).withColumn("repeat", F.min(here).over(Window.partitionBy("m", "w")) < here)
+        repeats = known.unionByName(open_.where("new and repeat").select("did", "th", "start"))
+        out = keep(spans.unionByName(repeats.select("did", "th", "start", (F.col("start") + F.lit(self.window)).alias("end"))), "spans")
         discard(met)
-        if not last:
-            self.texts.append(batch)
-            self.runs.append((0, keep_sorted(first_places(new), "run", "m", "seg")))
-            self.compact()
-        discard(new)
+        if last:
+            discard(new)
+        else:
+            self.runs.append((0, new))
+            old = self.compact()
+            self.save()
+            discard(*old)
         return out
 
-    def compact(self) -> None:
-        """Merge ``fanout`` runs of one level into one of the next, which keeps the first place of each (m, seg)."""
+    def compact(self) -> list[DataFrame]:
+        """Merge ``fanout`` runs of one level into one of the next, which keeps the first place of each (m, seg); the merged ones, which may go."""
+        gone = []
         while len([x for x in self.runs if x[0] == self.runs[-1][0]]) >= self.fanout:
             level = self.runs[-1][0]
             old = [t for x, t in self.runs if x == level]
-            merged = keep_sorted(first_places(reduce(DataFrame.unionByName, old)), "run", "m", "seg")
+            merged = self.table(self.place(), first_places(reduce(DataFrame.unionByName, old)))
             self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, merged)]
-            discard(*old)
+            gone += old
+        return gone
 
     def close(self) -> None:
-        discard(*(t for _, t in self.runs))
-        self.runs, self.texts = [], []
+        """Delete an index without a path; one with a path stays."""
+        for _, t in self.runs:
+            if self.path:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t._glossa_table}")
+        if not self.path:
+            discard(*(t for _, t in self.runs))
+        self.runs = []
 
 
 def batches_of(docs: DataFrame, n_batches: int) -> list[DataFrame]:
@@ -181,20 +231,22 @@ def batches_of(docs: DataFrame, n_batches: int) -> list[DataFrame]:
     return out
 
 
-def remove_earlier_windows(docs: DataFrame, window: int = WINDOW, k: int = K, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+def remove_earlier_windows(docs: DataFrame, window: int = WINDOW, k: int = K, n_batches: int = 4, fanout: int = 2, path: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept (words left, joined by one space).
 
     A word goes if a window covers it whose words also start earlier: in a
     smaller doc_id, or in the same text further left; the input decides, not
-    what is left of it. The documents pass in ``n_batches`` through one index.
+    what is left of it. The documents pass in ``n_batches`` through one index;
+    one at ``path`` lasts, and what it holds from earlier calls counts as
+    earlier, so later calls must bring greater doc_ids.
     Null text: no words. Null doc_id: less than all others. Rows that share a
     doc_id are ordered by a hash of the text; rows equal in doc_id and text are
     one document and lose the same words. Texts of fewer words than ``window``
     stay. Empty table: no rows. Other columns are ignored.
     """
-    index = FingerprintIndex(window, k, fanout)
+    index = FingerprintIndex(window, k, fanout, path, docs.sparkSession)
     parts = batches_of(docs, n_batches)
-    spans = [index.add(part, last=i == len(parts) - 1) for i, part in enumerate(parts)]
+    spans = [index.add(part, last=not path and i == len(parts) - 1) for i, part in enumerate(parts)]
     index.close()
     lists = reduce(DataFrame.unionByName, spans).distinct().groupBy("did", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = keyed(docs).join(lists, ["did", "th"], "left").select("did", "th", "text", "spans")

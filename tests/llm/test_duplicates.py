@@ -193,3 +193,63 @@ def test_index_compacts(spark):
     assert len(index.runs) < 5
     assert len({level for level, _ in index.runs}) == len(index.runs)
     index.close()
+
+
+LATER = """
+import sys
+from pyspark.sql import SparkSession
+from glossa.llm.substrings import remove_earlier_windows
+shared, docs, index, out = sys.argv[1:]
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "7").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", shared).getOrCreate()
+remove_earlier_windows(spark.read.parquet(docs), n_batches=2, path=index).write.parquet(out)
+"""
+
+
+def test_a_later_session_goes_on(spark, tmp_path):
+    """The index lasts: a second program, with other settings, finds what the first one added."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    docs = frame(spark, seed=6).where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    cut = sorted(r.doc_id for r in docs.collect())[docs.count() * 2 // 3]
+    index = f"file://{tmp_path}/index"
+    first = remove_earlier_windows(docs.where(F.col("doc_id") < cut), n_batches=2, path=index).collect()
+    docs.where(F.col("doc_id") >= cut).write.parquet(str(tmp_path / "later"))
+    program = tmp_path / "later.py"
+    program.write_text(LATER)
+    root = str(Path(__file__).resolve().parents[2])
+    subprocess.run([sys.executable, str(program), f"file://{tmp_path}/shared", str(tmp_path / "later"), index, str(tmp_path / "out")], check=True, cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": root}, timeout=300)
+    got = [*first, *spark.read.parquet(str(tmp_path / "out")).collect()]
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = brute_windows(rows, 20)
+    assert {(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == {(k, *v) for k, v in want.items()} and len(got) == len(want)
+    again = FingerprintIndex(path=index, spark=spark)
+    assert again.version == 4 and {level for level, _ in again.runs} == {2}
+    again.close()
+
+
+def test_a_batch_reads_no_earlier_texts_and_shuffles_no_run(spark):
+    import contextlib
+    import io
+
+    index, plans = FingerprintIndex(fanout=9, spark=spark), []
+    parts = batches_of(frame(spark, seed=6), 3)
+    index.add(parts[0])
+    index.add(parts[1])
+    real = index.table
+
+    def seen(path, rows=None, deal=False):
+        if rows is not None and not deal:
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                rows.explain("simple")
+            plans.append(out.getvalue())
+        return real(path, rows, deal)
+
+    index.table, index.fanout = seen, 2
+    index.compact()
+    assert plans and all("Exchange" not in p for p in plans)
+    index.close()
