@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,15 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it isn't installed; the driver serves it, nothing is shared by path."""
+    root, at = Path(__file__).resolve().parent, f"{tempfile.mkdtemp(prefix='glossa-')}/glossa.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(at)
+
+
 def cut_folder(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the session names in spark.checkpoint.dir; a local session without one gets a folder of our own."""
     if not spark.sparkContext.getCheckpointDir():
