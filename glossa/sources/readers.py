@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import strip
 from glossa.operators.features import last_wins, positional_features
+from glossa.sources.ordered import write_ordered
 from glossa.sources.ranges import numbered_lines, read_json_arrays, read_matrices
 
 
@@ -119,5 +120,5 @@ def write_ragged(rows: DataFrame, path: str, order: list[str]) -> None:
 
 
 def write_lines(rows: DataFrame, path: str, order: list[str]) -> None:
-    """The column ``value`` of ``rows`` as one text file, in ``order``; a report is small."""
-    rows.orderBy(*order).select("value").coalesce(1).write.mode("overwrite").text(path)
+    """The column ``value`` of ``rows`` as one text file, in ``order``: tasks write their part, the commit joins them."""
+    write_ordered(rows.orderBy(*order).select("value"), path)

@@ -94,3 +94,23 @@ def test_stream_matches_batch(spark, tmp_path):
     q.stop()
     key = F.to_json("toks").alias("k")
     assert sorted(r.k for r in spark.table("normalised").select(key).collect()) == sorted(r.k for r in normalised_stream(rows).select(key).collect())
+
+
+def test_ordered_reports(spark, tmp_path):
+    from glossa.sources.ordered import write_ordered
+
+    rows = spark.range(5000).repartition(7).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id").cast("string")).alias("value"))
+    readers.write_lines(rows, str(tmp_path / "r"), ["k"])
+    text = "".join(f"{'' if i % 10 == 0 else i}\n" for i in range(5000))
+    assert [f.name for f in (tmp_path / "r").iterdir()] == ["part-00000.txt"] and (tmp_path / "r" / "part-00000.txt").read_text() == text
+    bad = rows.select(F.when(F.col("k") == 4000, F.raise_error(F.lit("lost"))).otherwise(F.col("value")).alias("value"))
+    for folder in ("r", "new"):
+        try:
+            write_ordered(bad, str(tmp_path / folder))
+            raise AssertionError("no error")
+        except Exception as e:
+            assert "lost" in str(e)
+    assert (tmp_path / "r" / "part-00000.txt").read_text() == text
+    assert not list((tmp_path / "new").glob("part-*"))
+    readers.write_lines(rows.limit(0), str(tmp_path / "r"), ["k"])
+    assert (tmp_path / "r" / "part-00000.txt").read_text() == ""
