@@ -69,7 +69,8 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     for n in a.sizes:
         said = alignment.decode(words, models.where(F.col("size") == n), uni, bi)
         lines = said.join(tests, said["sid"] == tests["line_no"])
-        rows = lines.select(F.lit(n).alias("model"), "line_no", *(evaluation.bleu(F.col("words"), [F.col("ref_human"), F.col("ref_machine")], k).alias(f"bleu{k}") for k in (1, 2, 3)))
+        scores = lines.select("line_no", evaluation.bleu_scores(F.col("words"), [F.col("ref_human"), F.col("ref_machine")]).alias("s"))
+        rows = scores.select(F.lit(n).alias("model"), "line_no", *(F.col("s")[k - 1].alias(f"bleu{k}") for k in (1, 2, 3)))
         scored = rows if scored is None else scored.unionByName(rows)
     scored = scored.checkpoint()
     each = scored.select("model", "line_no", F.explode(F.array(*(F.struct(F.lit(k).alias("n"), F.col(f"bleu{k}").alias("bleu")) for k in (1, 2, 3)))).alias("s")).select("model", "line_no", "s.n", "s.bleu")

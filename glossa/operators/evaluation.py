@@ -32,11 +32,31 @@ def brevity_penalty(candidate: Column, references: list[Column]) -> Column:
     return F.when(q < 1, F.lit(1.0)).otherwise(F.exp(1 - q))
 
 
+def gram_hashes(toks: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of ``toks``."""
+    return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.xxhash64(F.slice(toks, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def bleu_scores(candidate: Column, references: list[Column], orders: Sequence[int] = (1, 2, 3)) -> Column:
+    """``bleu`` of each of ``orders`` as an array; precisions are taken once for all of them, over 64-bit hashes of n-grams."""
+
+    def precision(n: int) -> Column:
+        missing = gram_hashes(candidate, n)
+        for r in references:
+            missing = F.array_except(missing, gram_hashes(r, n))
+        return once(gram_hashes(candidate, n), lambda own: once(missing, lambda gone: F.when(F.size(own) > 0, F.size(F.filter(own, lambda g: ~F.array_contains(gone, g))) / F.size(own))))
+
+    def mean(p: Column, n: int) -> Column:
+        some = F.slice(p, 1, n)
+        return F.when(F.exists(some, lambda x: x.isNull()), None).when(F.exists(some, lambda x: x == 0), 0.0).otherwise(F.exp(F.aggregate(some, F.lit(0.0), lambda s, x: s + F.log(x)) / n))
+
+    ps = F.array(*(precision(n) for n in range(1, max(orders) + 1)))
+    return once(F.struct(brevity_penalty(candidate, references).alias("bp"), ps.alias("p")), lambda x: F.array(*(x["bp"] * mean(x["p"], n) for n in orders)))
+
+
 def bleu(candidate: Column, references: list[Column], n: int) -> Column:
     """Brevity penalty times the geometric mean of the precisions of orders 1 to n; a zero precision gives 0."""
-    ps = F.array(*(ngram_precision(candidate, references, k) for k in range(1, n + 1)))
-    mean = once(ps, lambda p: F.when(F.exists(p, lambda x: x.isNull()), None).when(F.exists(p, lambda x: x == 0), 0.0).otherwise(F.exp(F.aggregate(p, F.lit(0.0), lambda s, x: s + F.log(x)) / n)))
-    return brevity_penalty(candidate, references) * mean
+    return bleu_scores(candidate, references, (n,))[0]
 
 
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:

@@ -34,8 +34,11 @@ def sentence_scores(sents: DataFrame, train: DataFrame, deltas: Sequence[float],
     is unseen and delta is 0.
     """
     g, k = list(group), list(keys)
-    uni = train.select(*g, F.explode("toks").alias("w1")).groupBy(*g, "w1").agg(F.count("*").alias("c1"))
-    pairs = train.select(*g, F.explode(ngrams(F.col("toks"), 2)).alias("b")).groupBy(*g, F.col("b")[0].alias("w1"), F.col("b")[1].alias("w2")).agg(F.count("*").alias("c12"))
+    # a sentence's last token stands before a blank, which is no token, so that the pairs hold all counts of words too
+    ended = F.when(F.size("toks") > 0, F.concat(ngrams(F.col("toks"), 2), F.array(F.array(F.element_at("toks", -1), F.lit(" ")))))
+    pairs = train.select(*g, F.explode(ended).alias("b")).select(*g, F.col("b")[0].alias("w1"), F.col("b")[1].alias("w2")).where("w1 is not null and w2 is not null")
+    pairs = pairs.groupBy(*g, "w1", "w2").agg(F.count("*").alias("c12"))
+    uni = pairs.groupBy(*g, "w1").agg(F.sum("c12").alias("c1"))
     size = uni.groupBy(*g).agg(F.count("*").alias("v")) if g else uni.agg(F.count("*").alias("v"))
     own = sents.select(*g, *k, F.size("toks").alias("n_tokens"), F.explode_outer(ngrams(F.col("toks"), 2)).alias("b"))
     own = own.groupBy(*g, *k, "n_tokens", F.col("b")[0].alias("w1"), F.col("b")[1].alias("w2")).agg(F.count("*").alias("times"))

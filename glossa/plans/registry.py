@@ -265,7 +265,8 @@ def bleu_brevity(spark, d):
 @query
 def bleu_combined(spark, d):
     t = turn_pairs(spark, d).where("c is not null")
-    return t.select("conv_id", "turn", *(r6(evaluation.bleu(F.col("a"), [F.col("b"), F.col("c")], n)).alias(f"bleu{n}") for n in (1, 2, 3)))
+    scores = t.select("conv_id", "turn", evaluation.bleu_scores(F.col("a"), [F.col("b"), F.col("c")]).alias("s"))
+    return scores.select("conv_id", "turn", *(r6(F.col("s")[n - 1]).alias(f"bleu{n}") for n in (1, 2, 3)))
 
 
 def word_errors(spark, d):
@@ -285,7 +286,7 @@ def wer_summary(spark, d):
 @query
 def bleu_report(spark, d):
     t = turn_pairs(spark, d).where("c is not null")
-    scores = t.select((F.col("turn") % 3).alias("model"), *(evaluation.bleu(F.col("a"), [F.col("b"), F.col("c")], n).alias(f"bleu{n}") for n in (1, 2, 3)))
+    scores = t.select((F.col("turn") % 3).alias("model"), evaluation.bleu_scores(F.col("a"), [F.col("b"), F.col("c")]).alias("s")).select("model", *(F.col("s")[n - 1].alias(f"bleu{n}") for n in (1, 2, 3)))
     return evaluation.bleu_report(scores, ["model"]).select("model", "n", "lines", r6("mean_bleu").alias("mean_bleu"))
 
 
