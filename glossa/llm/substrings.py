@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm import scan
 from glossa.llm.store import discard, doc_id_back, keep, keyed, shared_dir
+from glossa.session import held
 
 WINDOW = 20
 K = 5
@@ -164,16 +165,20 @@ class FingerprintIndex:
         new = batch.mapInArrow(window_runs(self.window, self.k), ROW)
         if self.runs or not last:
             new = self.table(self.place(), new, deal=True)
-        both = new.withColumn("new", F.lit(True))
-        for _, table in self.runs:
-            both = both.unionByName(table.join(new.select("m"), "m", "left_semi").withColumn("new", F.lit(False)))
+        # a union of tables of one bucketing stays dealt by m, if no expression has to be made below it, so neither runs nor batch are shuffled again
+        both = reduce(DataFrame.unionByName, [new, *(t.join(new.select("m"), "m", "left_semi") for _, t in self.runs)])
         by_m, by_seg = Window.partitionBy("m"), Window.partitionBy("m", "seg")
         start, n, twice = scan.unpack("pos")
-        met = both.select("*", F.count("*").over(by_m).alias("of_m"), F.max("new").over(by_m).alias("fresh"), (F.min("seg").over(by_m) != F.max("seg").over(by_m)).alias("unlike"))
-        met = met.where(F.col("fresh") & ((F.col("of_m") > 1) | twice))
+        met = both.select("*", F.count("*").over(by_m).alias("of_m"), F.min("seg").over(by_m).alias("least_seg"), F.max("seg").over(by_m).alias("greatest_seg"))
+        fresh = F.lit(True)  # each m here is one of the batch's
+        if self.runs and (least := new.agg(F.min(F.struct("did", "th")).alias("k")).first().k):
+            fresh = (F.col("did") > least.did) | ((F.col("did") == least.did) & (F.col("th") >= least.th))
+        met = met.where((F.col("of_m") > 1) | twice).withColumns({"new": fresh, "unlike": F.col("least_seg") != F.col("greatest_seg")})
         place = F.struct("did", "th", start.alias("start"))
         met = met.select("new", "m", "did", "th", start.alias("start"), n.alias("n"), (F.col("unlike") | twice).alias("mixed"), (F.min(place).over(by_seg) == place).alias("first"), "hashes")
-        met = keep(met.withColumn("hashes", F.when(F.col("mixed") & F.col("first"), F.col("hashes"))).where("hashes is not null or (new and not first)"), "met")
+        met = met.withColumn("hashes", F.when(F.col("mixed") & F.col("first"), F.col("hashes"))).where("hashes is not null or (new and not first)")
+        with held(self.spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):  # else the buckets below the union aren't used
+            met = keep(met, "met")
         spans = met.where("new and not first").select("did", "th", "start", (F.col("start") + F.col("n") + F.lit(self.window - 1)).alias("end"))
         # windows of rows that are equal as a whole count once, and those of one piece of a batch too
         places = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("start"), F.substring("hashes", i * HASH + 1, F.lit(HASH)).alias("w"))))
