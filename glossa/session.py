@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -30,6 +31,24 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(at)
 
 
+_reached: set[str] = set()
+
+
+def reach(spark: SparkSession) -> None:
+    """``ship``, once for an application, if its workers can't import this package."""
+
+    def found(name: str) -> bool:
+        from importlib.util import find_spec
+
+        return find_spec(name) is not None
+
+    app = spark.sparkContext.applicationId
+    if app not in _reached:
+        if not spark.range(1).select(F.udf(found, "boolean")(F.lit(Path(__file__).resolve().parent.name)).alias("found")).first().found:
+            ship(spark)
+        _reached.add(app)
+
+
 def cut_folder(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the session names in spark.checkpoint.dir; a local session without one gets a folder of our own."""
     if not spark.sparkContext.getCheckpointDir():

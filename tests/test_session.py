@@ -10,9 +10,9 @@ import sys
 sys.path.insert(0, sys.argv[1])  # the driver's only
 from pyspark.sql import functions as F
 from glossa.functions.comments import decode_entities
-from glossa.session import session, ship
+from glossa.session import reach, session
 spark = session("local-cluster[1,1,1024]", **{"spark.ui.enabled": "false"})
-ship(spark)
+reach(spark)
 print("found", [r.x for r in spark.createDataFrame([("a &amp; b",)], "s string").select(decode_entities("s").alias("x")).collect()])
 """
 
