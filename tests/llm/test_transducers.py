@@ -69,10 +69,21 @@ def test_memory_is_bounded(monkeypatch):
     assert len(t.keys) <= 400 and len(t.steps) <= 60 and len(t.fits) <= 60
 
 
-def test_other_models_are_refused(tmp_path):
-    with pytest.raises(OSError):
+def test_other_models_are_refused(tmp_path, monkeypatch):
+    import sentencepiece
+
+    with pytest.raises(RuntimeError):
         compiled(str(tmp_path / "none.model"))
 
+    class Unigram(sentencepiece.SentencePieceProcessor):
+        def encode(self, text, **others):
+            return [0] * len(text)
+
+    (tmp_path / "m.model").symlink_to(piece_model())
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Unigram)
+    with pytest.raises(ValueError, match="kind"):
+        compiled(str(tmp_path / "m.model"))
+
 
 @pytest.mark.parametrize(("long", "fan"), [(1 << 20, 64), (40, 2), (40, 5)])
 def test_table(spark, monkeypatch, long, fan):
