@@ -87,20 +87,86 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     return int(dist[-1] - ins[-1] - dels[-1]), int(ins[-1]), int(dels[-1])
 
 
+def edit_counts_of(pairs: Sequence[tuple[list[str], list[str]]]) -> list[tuple[int, int, int]]:
+    """``edit_counts`` of many pairs; those of like length go a row at a time together, up to ``CELLS`` cells a row."""
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]) // 8, len(pairs[i][0])))
+    at = 0
+    while at < len(order):
+        end, wide, high = at, 0, 0
+        while end < len(order):
+            r, h = pairs[order[end]]
+            if end > at and ((end - at + 1) * (max(wide, len(h)) + 1) > CELLS or (end - at + 1) * max(high, len(r)) > 16 * CELLS):
+                break
+            wide, high, end = max(wide, len(h)), max(high, len(r)), end + 1
+        for i, found in zip(order[at:end], _edit_counts_side_by_side([pairs[i] for i in order[at:end]], wide), strict=True):
+            out[i] = found
+        at = end
+    return out
+
+
+def _edit_counts_side_by_side(pairs: list[tuple[list[str], list[str]]], wide: int) -> list[tuple[int, int, int]]:
+    names: dict[str, int] = {}
+    n = np.array([len(r) for r, _ in pairs])
+    ends = np.array([len(h) for _, h in pairs])
+    refs, hyps = np.full((len(pairs), max(int(n.max()), 1)), -1, np.int32), np.full((len(pairs), wide), -2, np.int32)
+    for k, (r, h) in enumerate(pairs):
+        refs[k, : len(r)] = [names.setdefault(w, len(names)) for w in r]
+        hyps[k, : len(h)] = [names.setdefault(w, len(names)) for w in h]
+    steps = np.arange(wide + 1, dtype=np.int32)
+    dist = np.repeat(steps[None], len(pairs), 0)
+    ins, dels = dist, np.zeros_like(dist)
+    out = np.zeros((len(pairs), 3), np.int64)
+    alive = np.arange(len(pairs))
+    for i in range(int(n.max()) + 1):
+        if i:
+            near = np.empty_like(dist)
+            near[:, 0] = i
+            np.minimum(dist[:, 1:] + 1, dist[:, :-1] + (hyps != refs[:, i - 1, None]), out=near[:, 1:])
+            now = np.minimum.accumulate(near - steps, axis=1) + steps
+            deleted = now == dist + 1
+            inserted = ~deleted
+            inserted[:, 0] = False
+            inserted[:, 1:] &= now[:, 1:] == now[:, :-1] + 1
+            last = np.maximum.accumulate(np.where(inserted, 0, steps), axis=1)
+            kept = np.take_along_axis(deleted, last, 1)
+            back = last - ~kept
+            dels = np.take_along_axis(dels, back, 1) + kept
+            ins = np.take_along_axis(ins, back, 1) + steps - last
+            dist = now
+        over = n[alive] == i
+        if over.any():
+            rows, col = np.flatnonzero(over), ends[alive[over]]
+            d, a, b = dist[rows, col], ins[rows, col], dels[rows, col]
+            out[alive[over]] = np.stack([d - a - b, a, b], 1)
+            alive, dist, ins, dels, refs, hyps = alive[~over], dist[~over], ins[~over], dels[~over], refs[~over], hyps[~over]
+    return [tuple(x) for x in out.tolist()]
+
+
+#: Cells of a row of edit tables that are filled side by side, a 16th of the words of their references; pairs that a task takes together.
+CELLS, SLICE = 1 << 14, 1024
+
+
 def word_errors(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` with s, i, d, n_ref and wer of ``pairs`` (keys, ref, hyp: arrays of tokens); an empty reference: infinity."""
+    """``keys`` with s, i, d, n_ref and wer of ``pairs`` (keys, ref, hyp: arrays of tokens); an empty reference: infinity.
+
+    Rows are few bytes but much work, so they are dealt anew into a fixed number
+    of parts; parts of few bytes would be joined into long tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = len(keys)
-            found = [edit_counts(r or [], h or []) for r, h in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True)]
-            n = [len(r or []) for r in b.column(k).to_pylist()]
-            cols = [pa.array([f[j] for f in found], pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], *cols, pa.array(n, pa.int64())], [*keys, "s", "i", "d", "n_ref"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                k = len(keys)
+                refs = [r or [] for r in b.column(k).to_pylist()]
+                found = edit_counts_of(list(zip(refs, (h or [] for h in b.column(k + 1).to_pylist()), strict=True)))
+                cols = [pa.array([f[j] for f in found], pa.int64()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:k], *cols, pa.array([len(r) for r in refs], pa.int64())], [*keys, "s", "i", "d", "n_ref"])
 
     src = pairs.select(*keys, "ref", "hyp")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[: len(keys)]) + ", s long, i long, d long, n_ref long"
-    out = src.mapInArrow(run, schema)
+    out = src.repartition(max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * pairs.sparkSession.sparkContext.defaultParallelism), *keys).mapInArrow(run, schema)
     wrong = (F.col("s") + F.col("i") + F.col("d")).cast("double")
     return out.withColumn("wer", F.when(F.col("n_ref") == 0, F.lit(float("inf"))).otherwise(F.try_divide(wrong, F.col("n_ref"))))
 

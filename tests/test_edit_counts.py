@@ -1,0 +1,40 @@
+"""Edit counts of many pairs together against one by one."""
+
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from glossa.operators import evaluation
+from glossa.operators.evaluation import edit_counts, edit_counts_of, word_errors
+
+
+def some_pairs(n, longest, seed=3):
+    r = random.Random(seed)
+    words = [[r.choice("abcde") for _ in range(r.randint(0, longest))] for _ in range(2 * n)]
+    return list(zip(words[:n], words[n:], strict=True))
+
+
+def test_many_pairs_equal_single_ones(monkeypatch):
+    pairs = [*some_pairs(400, 30), ([], []), (["a"], []), ([], ["a", "b"]), (["x"] * 50, ["y"] * 3)]
+    want = [edit_counts(a, b) for a, b in pairs]
+    for cells in (1, 100, 1 << 14):
+        monkeypatch.setattr(evaluation, "CELLS", cells)
+        assert edit_counts_of(pairs) == want
+    assert edit_counts_of([]) == []
+
+
+def test_many_pairs_are_faster():
+    pairs = some_pairs(1500, 60)
+    t = time.process_time()
+    one_by_one = [edit_counts(a, b) for a, b in pairs]
+    t, u = time.process_time() - t, time.process_time()
+    assert edit_counts_of(pairs) == one_by_one
+    assert time.process_time() - u < t / 2
+
+
+def test_small_rows_are_dealt_over_all_tasks(spark):
+    one = spark.range(64).coalesce(1).select("id", F.split(F.lit("a b c"), " ").alias("ref"), F.split(F.lit("a c"), " ").alias("hyp"))
+    out = word_errors(one, ["id"])
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert {tuple(r)[1:] for r in out.collect()} == {(0, 0, 1, 3, 1 / 3)}
