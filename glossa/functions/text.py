@@ -15,8 +15,10 @@ FRENCH_CONTRACTIONS = ("l'", "c'", "j'", "t'", "qu'", "puisqu'", "lorsqu'")
 URL = r"https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 SPLIT_OFF = r"([.!?,:;()+\-<>=\"])"
 
-#: White space as regular expressions take it, with the four separators that they leave out.
-WHITE = r"[\s\x1C-\x1F]"
+#: White space as regular expressions take it, with the four separators that they leave out, by its characters.
+WHITE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The same as a class; the flag for Unicode classes, which is slow, isn't needed.
+WHITE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 PUNCT_CLASS = r"!-/:-@\[-`{-~"
 NOT_APOSTROPHE = r"!-&(-/:-@\[-`{-~"
@@ -50,7 +52,7 @@ def once(value: Column, use) -> Column:
 
 def strip(c: Column) -> Column:
     """Outer white space of any kind removed."""
-    return F.regexp_replace(c, rf"(?U)^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARACTERS))
 
 
 def remove_newlines(c: Column) -> Column:
@@ -105,7 +107,8 @@ def normalise_transcript(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """White-space tokens, none of them empty."""
-    return F.filter(F.split(c, rf"(?U){WHITE}+"), lambda x: x != "")
+    # a split at one blank needs no regular expression, which would be compiled for each row; most white space is a blank already
+    return F.array_remove(F.split(F.regexp_replace(c, WHITE.replace("\\x20", "\\x1F"), " "), " "), "")
 
 
 def single_space_tokens(c: Column) -> Column:
@@ -129,6 +132,14 @@ def ngrams(toks: Column, n: int) -> Column:
     return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.slice(toks, i, n))).otherwise(empty)
 
 
+def bigram_pairs(toks: Column, last: str | None = None) -> Column:
+    """Bigrams as structs (w1, w2), by whole columns; with ``last`` each last token stands before it too."""
+    n = F.greatest(F.size(toks) - 1, F.lit(0))
+    if last is None:
+        return F.arrays_zip(F.slice(toks, 1, n).alias("w1"), F.slice(toks, 2, n).alias("w2"))
+    return F.when(F.size(toks) > 0, F.arrays_zip(toks.alias("w1"), F.concat(F.slice(toks, 2, n), F.array(F.lit(last))).alias("w2")))
+
+
 def without_markers(toks: Column) -> Column:
     """Tokens without the first and last."""
     return F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
