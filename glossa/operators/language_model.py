@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.guards import safe_log2
-from glossa.functions.text import ngrams
+from glossa.functions.text import bigram_pairs, ngrams
+from glossa.session import written
 
 
 def unigrams(sents: DataFrame, toks: str = "toks") -> DataFrame:
@@ -29,25 +30,39 @@ def sentence_scores(sents: DataFrame, train: DataFrame, deltas: Sequence[float],
     """(group, keys, delta, n_tokens, logprob, finite) of ``sents`` (group, keys, toks) under the model of ``train`` (group, toks).
 
     ``group`` columns part both tables into models of their own. All deltas
-    are scored in one job: bigrams are counted per sentence, joined with the
-    model once and then spread over the deltas. finite is false where a bigram
-    is unseen and delta is 0.
+    are scored in one job: the model is looked up once for each distinct
+    bigram, its counts meet the sentences' bigrams by one shuffle of those and
+    go on to the sentence as numbers, where all deltas are summed side by side.
+    Words travel as 64-bit hashes, in a bigram with another one for each place.
+    finite is false where a bigram is unseen and delta is 0.
     """
     g, k = list(group), list(keys)
     # a sentence's last token stands before a blank, which is no token, so that the pairs hold all counts of words too
-    ended = F.when(F.size("toks") > 0, F.concat(ngrams(F.col("toks"), 2), F.array(F.array(F.element_at("toks", -1), F.lit(" ")))))
-    pairs = train.select(*g, F.explode(ended).alias("b")).select(*g, F.col("b")[0].alias("w1"), F.col("b")[1].alias("w2")).where("w1 is not null and w2 is not null")
-    pairs = pairs.groupBy(*g, "w1", "w2").agg(F.count("*").alias("c12"))
-    uni = pairs.groupBy(*g, "w1").agg(F.sum("c12").alias("c1"))
+    pair = ["_w1", "_w2"]
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.select(*(c for c in rows.columns if c not in ("w1", "w2")), F.col("w1").isNotNull().alias("some"), *(F.xxhash64(F.lit(seed), name).alias(f"_{name}") for seed, name in enumerate(("w1", "w2"))))
+
+    # outer, as the filter that Spark puts before an inner one makes the tokens twice
+    learned = hashed(train.select(*g, F.inline_outer(bigram_pairs(F.col("toks"), " "))).where("w1 is not null and w2 is not null"))
+    own = hashed(sents.select(*g, *k, F.size("toks").alias("n_tokens"), F.inline_outer(bigram_pairs(F.col("toks")))))
+    # the model's bigrams and those to look up in one table
+    both = learned.select(*g, *pair, F.lit(1).alias("n"), F.lit(False).alias("wanted")).unionByName(own.where("some").select(*g, *pair, F.lit(0).alias("n"), F.lit(True).alias("wanted")))
+    both = written(both.groupBy(*g, *pair).agg(F.sum("n").alias("c12"), F.max("wanted").alias("wanted")))
+    uni = both.where("c12 > 0").groupBy(*g, "_w1").agg(F.sum("c12").alias("c1"))
     size = uni.groupBy(*g).agg(F.count("*").alias("v")) if g else uni.agg(F.count("*").alias("v"))
-    own = sents.select(*g, *k, F.size("toks").alias("n_tokens"), F.explode_outer(ngrams(F.col("toks"), 2)).alias("b"))
-    own = own.groupBy(*g, *k, "n_tokens", F.col("b")[0].alias("w1"), F.col("b")[1].alias("w2")).agg(F.count("*").alias("times"))
-    seen = own.join(pairs, [*g, "w1", "w2"], "left").join(uni, [*g, "w1"], "left").na.fill(0, ["c12", "c1"])
-    seen = seen.join(size, g) if g else seen.crossJoin(F.broadcast(size))  # one row
-    spread = seen.withColumn("delta", F.explode(F.array(*map(F.lit, map(float, deltas)))))
-    bad = (F.col("c12") + F.col("delta")) == 0
-    score = F.when(F.col("w1").isNull(), 0.0).when(~bad, F.col("times") * log2_probability(F.col("c12"), F.col("c1"), F.col("delta"), F.col("v"))).otherwise(0.0)
-    rows = spread.groupBy(*g, *k, "n_tokens", "delta").agg(F.sum(score).alias("sum"), F.max(bad & F.col("w1").isNotNull()).alias("bad"))
+    known = both.where("wanted").drop("wanted").join(uni, [*g, "_w1"], "left")
+    seen = own.join(known, [*g, *pair], "left").select(*g, *k, "n_tokens", "some", F.coalesce("c12", F.lit(0)).alias("c12"), F.coalesce("c1", F.lit(0)).alias("c1"))
+    seen = seen.repartition(*k)
+    seen = seen.join(F.broadcast(size), g) if g else seen.crossJoin(F.broadcast(size))  # a row per group
+
+    def of(delta: Column) -> tuple[Column, Column]:
+        bad = F.col("some") & (F.col("c12") + delta == 0)
+        return F.sum(F.when(F.col("some") & ~bad, log2_probability(F.col("c12"), F.col("c1"), delta, F.col("v"))).otherwise(0.0)), F.max(bad)
+
+    sums = [(F.lit(float(x)), *of(F.lit(float(x)))) for x in deltas]
+    rows = seen.groupBy(*g, *k, "n_tokens").agg(F.array(*(F.struct(delta.alias("delta"), total.alias("sum"), bad.alias("bad")) for delta, total, bad in sums)).alias("s"))
+    rows = rows.select(*g, *k, "n_tokens", F.inline("s"))
     return rows.select(*g, *k, "delta", "n_tokens", F.when(F.col("bad"), F.lit(float("-inf"))).otherwise(F.col("sum")).alias("logprob"), (~F.col("bad")).alias("finite"))
 
 
