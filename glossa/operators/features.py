@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ SLANG = (
 CLASS_CODES = {"Left": 0, "Center": 1, "Right": 2, "Alt": 3}
 LEXICON_A = ("aoa", "img", "fam")
 LEXICON_B = ("v", "a", "d")
+#: Bytes of the lexicons, a hundred more for each word, up to which they go to every task.
+LEXICON_BYTES = 64 << 20
 
 
 def tagged_sentences(body: Column) -> Column:
@@ -89,15 +93,29 @@ def lexicon_stats(tokens: DataFrame, lexicon: DataFrame, columns: tuple[str, ...
 
     ``fold`` lower-cases the words before the lookup. Ids without any match are absent.
     """
-    words = tokens.groupBy("id", (F.lower("word") if fold else F.col("word")).alias("w")).agg(F.count("*").alias("n"))
-    lex = lexicon.select(F.col(key).alias("w"), *(F.col(c).try_cast("double").alias(c) for c in columns))
-    hits = words.join(lex, "w")
-    own = {c: F.when(F.col(c).isNotNull(), F.col("n")) for c in columns}
-    mean = {c: F.try_divide(F.sum(F.col("n") * F.col(c)), F.sum(own[c])) for c in columns}
-    # squares about a value of the column itself, so that no digits are lost
-    sums = hits.groupBy("id").agg(*(m.alias(f"mean_{c}") for c, m in mean.items()))
-    spread = hits.join(sums, "id").groupBy("id").agg(*(F.first(f"mean_{c}").alias(f"mean_{c}") for c in columns), *(F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col(c) - F.col(f"mean_{c}")) * (F.col(c) - F.col(f"mean_{c}"))), F.sum(own[c]))).alias(f"std_{c}") for c in columns))
-    return spread.select("id", *(F.coalesce(f"{p}_{c}", F.lit(0.0)).alias(f"{p}_{c}") for p in ("mean", "std") for c in columns))
+    return lexicons_stats(tokens, [(lexicon, columns, fold)], key)
+
+
+def lexicons_stats(tokens: DataFrame, lexicons: list[tuple[DataFrame, tuple[str, ...], bool]], key: str = "word") -> DataFrame:
+    """``lexicon_stats`` of several (lexicon, columns, fold) at once; 0 where a lexicon has no match but another has.
+
+    Lexicons up to ``LEXICON_BYTES`` go to every task, so only an id's sums are
+    shuffled, once for each task that holds words of it; beyond that a text's
+    distinct words meet them by shuffling. Deviations are central moments, so no
+    digits are lost.
+    """
+    most = max(len(columns) for _, columns, _ in lexicons)
+    parts = [x.select(F.lit(i).alias("of"), F.col(key).alias("w"), *((F.col(columns[j]).try_cast("double") if j < len(columns) else F.lit(None).cast("double")).alias(f"_{j}") for j in range(most))) for i, (x, columns, _) in enumerate(lexicons)]
+    lex = reduce(DataFrame.unionByName, parts)
+    few = (lex.agg(F.sum(F.octet_length("w") + 100)).first()[0] or 0) <= LEXICON_BYTES
+    looked_up = F.array(*(F.struct(F.lit(i).alias("of"), (F.lower("word") if fold else F.col("word")).alias("w")) for i, (_, _, fold) in enumerate(lexicons)))
+    words = tokens.select("id", F.explode(looked_up).alias("x")).select("id", "x.of", "x.w")
+    if few:
+        hits = words.join(F.broadcast(lex), ["of", "w"])
+    else:
+        hits = words.groupBy("id", "of", "w").agg(F.count("*").cast("int").alias("n")).join(lex, ["of", "w"]).withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    named = [(f"{p}_{c}", f(F.when(F.col("of") == i, F.col(f"_{j}")))) for i, (_, columns, _) in enumerate(lexicons) for p, f in (("mean", F.avg), ("std", F.stddev_pop)) for j, c in enumerate(columns)]
+    return hits.groupBy("id").agg(*(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in named))
 
 
 def feature_rows(comments: DataFrame, lexicon_a: DataFrame, lexicon_b: DataFrame, strict: bool = True) -> DataFrame:
@@ -105,10 +123,9 @@ def feature_rows(comments: DataFrame, lexicon_a: DataFrame, lexicon_b: DataFrame
     base = comments.select("id", "cat", native_features("body", strict).alias("f"))
     base = base.select("id", "cat", "f.*")
     toks = comments.select("id", F.explode(F.transform(F.flatten(tagged_sentences(F.col("body"))), lambda t: t["word"])).alias("word"))
-    a = lexicon_stats(toks, lexicon_a, LEXICON_A, fold=True)
-    b = lexicon_stats(toks, lexicon_b, LEXICON_B, fold=False)
+    stats = lexicons_stats(toks, [(lexicon_a, LEXICON_A, True), (lexicon_b, LEXICON_B, False)])
     names = [*base.columns[2:], *(f"{p}_{c}" for cols in (LEXICON_A, LEXICON_B) for p in ("mean", "std") for c in cols)]
-    joined = base.join(a, "id", "left").join(b, "id", "left")
+    joined = base.join(stats, "id", "left")
     return joined.select("id", "cat", F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in names)).alias("features"))
 
 
