@@ -5,9 +5,10 @@ Equal strings of ``length`` bytes have the same least hash over their inner
 neighbouring starts with one hash is one row (a start costs about 1/65 row).
 A hash seen once, in one run and place, is no repeat. Of those seen more often, runs that are equal as
 a whole are repeats; the different runs of one hash are sorted as suffixes by
-grouping (``suffixes``), and neighbours in that order that share ``length``
-bytes are repeats. So suffix arrays are built over just the text that may hold
-repeats, in many tasks, each over a bounded buffer.
+grouping (``suffixes``), those of many hashes side by side, and neighbours in
+that order that share ``length`` bytes are repeats. So suffix arrays are built
+over just the text that may hold repeats, in many tasks, each over a bounded
+buffer.
 
 A hash with very many different runs (a common passage in unlike surroundings)
 would be one large buffer. It is dealt once more by hashes of all ``length`` bytes
@@ -27,12 +28,16 @@ from pyspark.sql import functions as F
 
 from glossa.llm import scan
 from glossa.llm.store import discard, doc_id_back, keep, keyed
-from glossa.llm.suffixes import suffix_array
+from glossa.llm.suffixes import suffix_array, suffix_arrays
 
 LENGTH = 200
 K = 72
-#: Size of a buffer that is sorted at once (small enough for a processor cache); different runs of a hash beyond which it is dealt anew.
-BUFFER, CROWD = 1 << 14, 512
+#: Bytes of runs that are sorted at once, each hash by itself; different runs of a hash beyond which it is dealt anew.
+BUFFER, CROWD = 1 << 19, 512
+#: Suffixes that are sorted one by one in the time that a step of texts side by side takes at least.
+SIDE = 20
+#: Starts whose bytes are compared at once; bytes of texts that are scanned at once (small enough for a processor cache).
+COMPARED, SCANNED = 4096, 1 << 18
 
 
 def string_hashes(data: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -57,7 +62,7 @@ def start_runs(length: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, all_offs, all_data in scan.chunks(batch, 2):
+            for a, _, all_offs, all_data in scan.chunks(batch, 2, SCANNED):
                 for offs, base, lo, hi in pieces(all_offs):
                     data = all_data[lo:hi]
                     hashes, w = string_hashes(data, k, 7), length - k + 1
@@ -98,42 +103,63 @@ def contents(length: int):
     return run
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> list[tuple[int, int, int]]:
-    """(piece, first start, starts) for the runs of starts in ``pieces`` whose ``length`` bytes start elsewhere in them too."""
-    data = b"".join(pieces)
-    ends = np.cumsum([len(p) for p in pieces])
-    order = np.array(suffix_array(data), np.int64)
-    piece = np.searchsorted(ends, order, "right")
-    fits = order + length <= ends[piece]
-    order, piece = order[fits], piece[fits]
-    hit = np.zeros(len(data) + 1, bool)
-    last = b""
-    for i, s in enumerate(order.tolist()):
-        now = data[s : s + length]
-        if now == last:
-            hit[s] = hit[order[i - 1]] = True
-        last = now
-    own = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0))
+def suffix_orders(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Suffixes of each text ``data[offs[i] : offs[i + 1]]`` in ascending order, one text after the other, as positions in ``data``.
+
+    Texts go side by side but for the longest ones, which would go on when the others have ended.
+    """
+    lengths = np.diff(offs)
+    falling = np.argsort(-lengths, kind="stable")
+    each = lengths[falling]
+    alone = int(np.argmin(np.concatenate([[0], np.cumsum(each)]) + SIDE * np.append(each, 0)))
+    order = np.empty(len(data), np.int64)
+    for i in falling[:alone].tolist():
+        order[offs[i] : offs[i + 1]] = np.array(suffix_array(data[offs[i] : offs[i + 1]]), np.int64) + offs[i]
+    if alone < len(lengths):
+        rest = np.ones(len(lengths), bool)
+        rest[falling[:alone]] = False
+        where = np.flatnonzero(np.repeat(rest, lengths))
+        order[where] = where[suffix_arrays(data[where], np.concatenate([[0], np.cumsum(lengths[rest])]))]
+    return order
+
+
+def same_as_next(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes from each start but the last equal those from the next one."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    same = np.empty(max(len(starts) - 1, 0), bool)
+    for i in range(0, len(same), COMPARED):
+        some = windows[starts[i : i + COMPARED + 1]]
+        same[i : i + COMPARED] = (some[1:] == some[:-1]).all(1)
+    return same
+
+
+def repeated_starts(pieces: list[bytes], keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, first start and number of starts of the runs in ``pieces`` whose ``length`` bytes start elsewhere in pieces of one key too; equal keys are neighbours."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(sizes)
+    own = np.repeat(np.arange(len(pieces)), sizes)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    order = suffix_orders(data, np.append((ends - sizes)[first], len(data)))
+    order = order[order + length <= ends[own[order]]]
+    same = same_as_next(data, order, length) & (keys[own[order[1:]]] == keys[own[order[:-1]]]) if len(order) else np.zeros(0, bool)
+    hit = np.zeros(len(data), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
     where = np.flatnonzero(hit)
-    if not len(where):
-        return []
     new = np.ones(len(where), bool)
     new[1:] = (np.diff(where) > 1) | (own[where[1:]] != own[where[:-1]])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(where)))
-    begins = ends - np.diff(ends, prepend=0)
-    return [(int(own[s]), int(s - begins[own[s]]), int(c)) for s, c in zip(where[first], n, strict=True)]
+    at = np.flatnonzero(new)
+    piece = own[where[at]]
+    return piece, where[at] - (ends - sizes)[piece], np.diff(np.append(at, len(where)))
 
 
 def sorted_groups(length: int):
     """Reads rows (m, did, th, start, bytes) that are sorted by m; gives (did, th, start, n) of repeated starts."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_starts([r[4] for r in rows], length)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[p][1] for p, _, _ in found], pa.int64()), pa.array([rows[p][2] for p, _, _ in found], pa.int64()), pa.array([rows[p][3] + s for p, s, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int32())],
-            ["did", "th", "start", "n"],
-        )
+        m, did, th, start = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+        piece, first, n = repeated_starts([r[4] for r in rows], m, length)
+        return pa.RecordBatch.from_arrays([pa.array(did[piece]), pa.array(th[piece]), pa.array(start[piece] + first), pa.array(n.astype(np.int32))], ["did", "th", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

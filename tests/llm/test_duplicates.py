@@ -14,7 +14,7 @@ from glossa.llm.components import components
 from glossa.llm.near_duplicates import cell_blocks, near_duplicates, refusal
 from glossa.llm.sketches import fast_sketches
 from glossa.llm.substrings import FingerprintIndex, batches_of, remove_earlier_windows
-from glossa.llm.suffixes import suffix_array
+from glossa.llm.suffixes import suffix_array, suffix_arrays
 from tests.llm.fixtures import frame, odd_documents
 
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -121,6 +121,36 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_side_by_side():
+    r = random.Random(6)
+    odd = [b"", b"a", b"a" * 700, b"ab" * 200, b"", bytes(range(256)) * 2, b"\xff\x00" * 90, b""]
+    for t in range(40):
+        texts = [bytes(r.choice(b"ab" if i % 3 else b"abcd") for _ in range(r.randint(0, 40))) * (3 if i % 5 == 0 else 1) for i in range(r.randint(0, 60))] + odd * (t % 4 == 0)
+        offs = 5 + np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        found = suffix_arrays(np.frombuffer(b"#####" + b"".join(texts) + b"##", np.uint8), offs)
+        assert [[p - a for p in found[a - 5 : b - 5].tolist()] for a, b in zip(offs.tolist(), offs[1:].tolist(), strict=False)] == [suffix_array(x) for x in texts]
+
+
+@pytest.mark.parametrize("compared", [4096, 3])
+def test_groups_of_runs_are_sorted_side_by_side(monkeypatch, compared):
+    """Many small groups and a large one: the small ones take no sort of their own, one suffix after the other; groups hold repeats apart."""
+    r = random.Random(7)
+    alone, kinds = [], []
+    monkeypatch.setattr(repeats, "COMPARED", compared, raising=False)
+    monkeypatch.setattr(repeats, "suffix_array", lambda x: alone.append(len(x)) or suffix_array(x))
+    common = r.randbytes(40)
+    for m in range(120):
+        for _ in range(60 if m == 50 else 2):
+            kinds.append((m, r.randbytes(r.randint(1, 15)) + common[: r.randint(10, 40)] + r.choice([b"", b"x", common])))
+    rows = [(m, i % 7, i, 100 * i, x) for i, (m, x) in enumerate(kinds)]
+    schema = pa.schema({"m": pa.int64(), "did": pa.int64(), "th": pa.int64(), "start": pa.int64(), "bytes": pa.binary()})
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in part], schema) for part in (rows[:100], rows[100:103], rows[103:])]
+    found = Counter((x["did"], x["th"], s) for b in repeats.sorted_groups(30)(iter(batches)) for x in b.to_pylist() for s in range(x["start"], x["start"] + x["n"]))
+    seen = Counter((m, x[i : i + 30]) for m, x in kinds for i in range(len(x) - 29))
+    assert found == Counter((d, th, start + i) for m, d, th, start, x in rows for i in range(len(x) - 29) if seen[m, x[i : i + 30]] > 1)
+    assert found and sum(alone) <= sum(len(x) for m, x in kinds if m == 50)
+
+
 def brute_repeats(rows, length):
     texts = [(d, (t or "").encode()) for d, t in rows]
     seen = Counter(x[i : i + length] for _, x in texts for i in range(len(x) - length + 1))
